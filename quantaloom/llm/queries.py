@@ -6,17 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, license_scan, source_mixing
+from . import ann, bpe, embedding_dedup, jaccard_join, language_id, license_scan, source_mixing, substring_dedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": language_id.query,
+        "op2_warc_revisits": warc.query,
+        "op3_jaccard_join": jaccard_join.query,
         "op5_byte_bpe": bpe.query,
+        "op6_embedding_dedup": embedding_dedup.query,
+        "op7_vp_tree_search": ann.query,
         "op8_source_mixing": source_mixing.query,
         "op9_license_scan": license_scan.query,
+        "op10_substring_dedup": substring_dedup.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc_revisits": warc.ORACLE, "op6_embedding_dedup": embedding_dedup.ORACLE}
