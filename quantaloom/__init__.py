@@ -1,0 +1,25 @@
+"""Spark-native analytics over asset x date panels."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
+from pyspark.sql import SparkSession
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, unless PYTHONPATH already leads them to it; once per application."""
+    here = Path(__file__).resolve().parent
+    if str(here.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    name = f"quantaloom-{spark.sparkContext.applicationId}.zip"
+    path = Path(tempfile.gettempdir()) / name
+    if path.exists():
+        return
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    spark.sparkContext.addPyFile(str(path))
