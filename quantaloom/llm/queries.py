@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, embedding_dedup, jaccard_join, language_id, license_scan, source_mixing, substring_dedup, warc
+from . import ann, bpe, embedding_dedup, jaccard_join, language_id, license_scan, quality_rules, source_mixing, substring_dedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": language_id.query,
         "op2_warc_revisits": warc.query,
         "op3_jaccard_join": jaccard_join.query,
+        "op4_quality_rules": quality_rules.query,
         "op5_byte_bpe": bpe.query,
         "op6_embedding_dedup": embedding_dedup.query,
         "op7_vp_tree_search": ann.query,
