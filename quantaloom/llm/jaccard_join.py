@@ -8,10 +8,13 @@ A set has signatures for its own band and for the next.
 
 1. Equal sets are one class, told by a 64-bit hash of the set; a task sends a class's signatures once.
 2. Signatures are shuffled and sorted; classes that share one form a bucket.  Buckets of equal members are told once.
-3. Every class is compared, exactly, with the least hub that it meets; the links found form components.
-4. Buckets that are still of several components are compared across these, in square blocks: sizes and parity sketches (the
-   parity of hash bits, whose distance never exceeds the symmetric difference) rule out most pairs, and the
-   rest are compared exactly.
+3. In a few rounds every class is compared, exactly, with the hub (least member of a bucket) that it shares most signatures with and
+   that is not yet in its component; the links found form components.
+4. Hubs whose buckets' members are still of several components have them compared across these, in square blocks, and what may
+   link is compared exactly.
+
+Before contents move, sizes and parity sketches (the parities of hash bits, whose distance never exceeds the symmetric
+difference) rule out what can't link.
 
 No bucket's pairs are written out, nothing is capped, and no link between different sets is lost.
 """
@@ -30,12 +33,13 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .hashing import groups, mix64, salts, shingles, word_hashes
-from .workspace import materialize, table
+from .workspace import materialize, release, table
 
 _SALT = salts(64, 31)
 SEEN = 1 << 20
 RUN = 1 << 16
 BLOCK = 2048
+ROUNDS = 3
 
 
 @dataclass
@@ -104,15 +108,16 @@ def _fold(sketch: np.ndarray, words: int) -> np.ndarray:
 
 
 def set_sizes(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """(id, n, h) of documents (id, text): size of the shingle set and its hash (null if empty)."""
+    """(id, n, h, sketch) of documents (id, text): size of the shingle set, its hash and its sketch (null if empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, sets in _sets(b, 1, scheme.width):
                 h = pa.array([int(_key(u).view(np.int64)) if len(u) else None for u in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(u) for u in sets], pa.int64()), h], names=["id", "n", "h"])
+                sketch = pa.array([scheme.sketch(u).tobytes() if len(u) else None for u in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(u) for u in sets], pa.int64()), h, sketch], names=["id", "n", "h", "sketch"])
 
-    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, n long, h long")
+    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, n long, h long, sketch binary")
 
 
 def _signed(docs: DataFrame, scheme: Scheme) -> DataFrame:
@@ -139,9 +144,9 @@ def _signed(docs: DataFrame, scheme: Scheme) -> DataFrame:
 
 
 def _bucketed(signed: DataFrame) -> DataFrame:
-    """(bucket, hub, member) of signatures that several classes share; the hub is the least member and a member itself.
+    """(bucket, hub, member, votes) of signatures that several classes share; the hub is the least member and a member itself.
 
-    Rows come in order of (sig, h).  Of buckets with equal members a task tells one.  A bucket of more than RUN members is told in
+    ``votes`` is the number of signatures of a batch that have these very members.  Rows come in order of (sig, h).  Of buckets with equal members a task tells one.  A bucket of more than RUN members is told in
     pieces under one name.
     """
 
@@ -163,9 +168,9 @@ def _bucketed(signed: DataFrame) -> DataFrame:
                 name[0], hub[0], some[0] = long_hub[0], long_hub[1], True
             elif size[0] >= RUN:
                 name[0] = s[0]
-            _, first = np.unique(name, return_index=True)
-            fresh = np.zeros(len(name), bool)
-            fresh[first] = True
+            _, first, times = np.unique(name, return_index=True, return_counts=True)
+            fresh, votes = np.zeros(len(name), bool), np.ones(len(name), np.int64)
+            fresh[first], votes[first] = True, times
             fresh &= some
             for i in np.flatnonzero(fresh).tolist():
                 if (key := int(name[i])) in told and not (long_hub and key == long_hub[0]):
@@ -176,7 +181,7 @@ def _bucketed(signed: DataFrame) -> DataFrame:
                     told.add(key)
             rows = np.repeat(fresh, size)
             if rows.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size)[rows]), pa.array(np.repeat(hub, size)[rows]), pa.array(h[rows])], names=["bucket", "hub", "member"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size)[rows]), pa.array(np.repeat(hub, size)[rows]), pa.array(h[rows]), pa.array(np.repeat(votes, size)[rows])], names=["bucket", "hub", "member", "votes"])
 
         for b in batches:
             if not b.num_rows:
@@ -197,20 +202,30 @@ def _bucketed(signed: DataFrame) -> DataFrame:
         if len(held_s):
             yield from tell(held_s, held_h)
 
-    return signed.repartition("sig").sortWithinPartitions("sig", "h").mapInArrow(run, "bucket long, hub long, member long")
+    return signed.repartition("sig").sortWithinPartitions("sig", "h").mapInArrow(run, "bucket long, hub long, member long, votes long")
 
 
-def _contents(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """(h, n, items binary, sketch binary) of documents (id, text), one each."""
+def _contents(docs: DataFrame, classes: DataFrame, pairs: DataFrame, scheme: Scheme) -> DataFrame:
+    """(h, items binary) of the classes in ``pairs`` (a, b), from one document of each, written to the shared folder."""
+    wanted = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
+    chosen = materialize(classes.select("h", "id").join(wanted, "h", "left_semi").select(F.col("id").alias("c")).distinct(), "chosen")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
             for _, sets in _sets(b, 1, scheme.width):
-                h = pa.array([int(_key(u).view(np.int64)) for u in sets], pa.int64())
-                items, sketches = pa.array([u.tobytes() for u in sets], pa.binary()), pa.array([scheme.sketch(u).tobytes() for u in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([h, pa.array([len(u) for u in sets], pa.int64()), items, sketches], names=["h", "n", "items", "sketch"])
+                h, items = [], []
+                for u in sets:
+                    if len(u) and (key := int(_key(u).view(np.int64))) not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(key)
+                        h.append(key)
+                        items.append(u.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(items, pa.binary())], names=["h", "items"])
 
-    return docs.mapInArrow(run, "h long, n long, items binary, sketch binary")
+    found = docs.join(chosen, docs["id"].eqNullSafe(chosen["c"]), "left_semi").select("id", "text").mapInArrow(run, "h long, items binary")
+    return materialize(found, "contents")
 
 
 def _verified(pairs: DataFrame, contents: DataFrame, scheme: Scheme) -> DataFrame:
@@ -241,6 +256,24 @@ def _verified(pairs: DataFrame, contents: DataFrame, scheme: Scheme) -> DataFram
     return mine.unionByName(hubs).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).select("a", "b", "items").mapInArrow(run, "a long, b long")
 
 
+def _may_link(pairs: DataFrame, classes: DataFrame, scheme: Scheme) -> DataFrame:
+    """``pairs`` (a, b, votes) without those that sizes and sketches rule out."""
+    side = lambda x: classes.select(F.col("h").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = scheme.differ(batch.column(3).to_numpy(), batch.column(4).to_numpy())
+            keep = np.abs(batch.column(3).to_numpy() - batch.column(4).to_numpy()) <= most
+            for i in np.flatnonzero(keep).tolist():
+                x, y = np.frombuffer(batch.column(5)[i].as_buffer(), np.uint64), np.frombuffer(batch.column(6)[i].as_buffer(), np.uint64)
+                least = min(len(x), len(y))
+                keep[i] = np.bitwise_count(_fold(x, least) ^ _fold(y, least)).sum() <= most[i]
+            yield batch.select(["a", "b", "votes"]).filter(pa.array(keep))
+
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "votes", "na", "nb", "sa", "sb")
+    return joined.mapInArrow(run, "a long, b long, votes long")
+
+
 def _across(rows: DataFrame, scheme: Scheme) -> DataFrame:
     """Pairs (a, b) of members of one bucket and different components that sizes and sketches don't rule out.
 
@@ -258,17 +291,20 @@ def _across(rows: DataFrame, scheme: Scheme) -> DataFrame:
         n, comp, member, side = (f[c].to_numpy() for c in ("n", "comp", "member", "own"))
         lo, hi = int(f["lo"].iloc[0]), int(f["hi"].iloc[0])
         left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
-        a, b = [], []
-        for i in left.tolist():
-            to = right[right > i] if lo == hi else right
-            most = scheme.differ(n[i], n[to])
-            to = to[(comp[to] != comp[i]) & (np.abs(n[to] - n[i]) <= most)]
-            most = scheme.differ(n[i], n[to])
-            far = np.bitwise_count(words[to] ^ words[i]).sum(1, dtype=np.int64)
-            for j in to[far <= most].tolist():
-                a.append(min(member[i], member[j]))
-                b.append(max(member[i], member[j]))
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for at in range(0, len(left), 64):
+            rows = left[at : at + 64]
+            most = scheme.differ(n[rows][:, None], n[right][None, :])
+            may = (comp[rows][:, None] != comp[right][None, :]) & (np.abs(n[rows][:, None] - n[right][None, :]) <= most)
+            if lo == hi:
+                may &= rows[:, None] < right[None, :]
+            i, j = np.nonzero(may)
+            for k in range(0, len(i), 1 << 16):
+                x, y = rows[i[k : k + (1 << 16)]], right[j[k : k + (1 << 16)]]
+                near = np.bitwise_count(words[x] ^ words[y]).sum(1, dtype=np.int64) <= scheme.differ(n[x], n[y])
+                a.append(np.minimum(member[x[near]], member[y[near]]))
+                b.append(np.maximum(member[x[near]], member[y[near]]))
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return dealt.groupBy("bucket", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
 
@@ -285,20 +321,36 @@ def jaccard_components(docs: DataFrame, scheme: Scheme | None = None, *, id_col:
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sizes = materialize(set_sizes(base, scheme), "set-sizes")
     buckets = materialize(_bucketed(_signed(base.where("text is not null"), scheme)), "buckets")
-    # One document of each class that shares a bucket with another class.
-    wanted = sizes.join(buckets.select(F.col("member").alias("h")).distinct(), "h", "left_semi").groupBy("h").agg(F.min("id").alias("id"))
-    chosen = base.join(materialize(wanted, "chosen").select("id"), "id", "left_semi")
-    contents = materialize(_contents(chosen, scheme).dropDuplicates(["h"]), "contents")
-
-    first = materialize(buckets.groupBy("member").agg(F.min("hub").alias("a")).where("a < member").select("a", F.col("member").alias("b")), "first-pairs")
-    links = materialize(_verified(first, contents, scheme), "links")
-    comps = materialize(connected_components(links), "comps").select(F.col("node").alias("member"), F.col("component").alias("comp"))
-    rows = buckets.select("bucket", "member").distinct().join(comps, "member", "left").withColumn("comp", F.coalesce("comp", "member"))
+    release(docs.sparkSession)
+    classes = sizes.join(buckets.select(F.col("member").alias("h")).distinct(), "h", "left_semi").groupBy("h")
+    classes = materialize(classes.agg(F.first("n").alias("n"), F.min("id").alias("id"), F.first("sketch").alias("sketch")), "classes")
+    pairs = buckets.where("hub < member").groupBy(F.col("hub").alias("a"), F.col("member").alias("b")).agg(F.sum("votes").alias("votes"))
+    pairs = materialize(_may_link(pairs, classes, scheme), "hub-pairs")
+    contents = _contents(base, classes, pairs, scheme)
+    release(docs.sparkSession)
+    tested = links = comps = None
+    for _ in range(ROUNDS):
+        ask = pairs
+        if comps is not None:
+            ask = pairs.join(tested, ["a", "b"], "left_anti").join(comps.withColumnsRenamed({"member": "a", "comp": "ca"}), "a", "left").join(comps.withColumnsRenamed({"member": "b", "comp": "cb"}), "b", "left")
+            ask = ask.where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+        ask = materialize(ask.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", "b"), "asked")
+        found = materialize(_verified(ask, contents, scheme), "links")
+        tested, links = (ask, found) if links is None else (tested.unionByName(ask), links.unionByName(found))
+        comps = materialize(connected_components(links), "comps").select(F.col("node").alias("member"), F.col("component").alias("comp"))
+        if not found.limit(1).count():
+            break
+    # What the rounds left open: pairs with hubs, and pairs without.  The buckets of a hub are joined to one, since they mostly
+    # have the same members, whose pairs would otherwise be looked at for each signature.
+    apart = pairs.join(comps.withColumnsRenamed({"member": "a", "comp": "ca"}), "a", "left").join(comps.withColumnsRenamed({"member": "b", "comp": "cb"}), "b", "left")
+    apart = apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    rows = buckets.where("hub < member").select(F.col("hub").alias("bucket"), "member").distinct().join(comps, "member", "left").withColumn("comp", F.coalesce("comp", "member"))
     rows = materialize(rows, "bucket-comps")
     open_ones = rows.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("bucket")
-    rows = rows.join(open_ones, "bucket").join(contents.select(F.col("h").alias("member"), "n", "sketch"), "member")
-    more = materialize(_across(rows, scheme).join(first, ["a", "b"], "left_anti"), "more-pairs")
-    links = links.unionByName(_verified(more, contents, scheme))
+    rows = rows.join(open_ones, "bucket").join(classes.select(F.col("h").alias("member"), "n", "sketch"), "member")
+    more = materialize(_across(rows, scheme).unionByName(apart).distinct().join(tested, ["a", "b"], "left_anti"), "more-pairs")
+    release(docs.sparkSession)
+    links = links.unionByName(_verified(more, _contents(base, classes, more, scheme), scheme))
     comps = connected_components(links).select(F.col("node").alias("h"), F.col("component").alias("comp"))
 
     named = sizes.join(comps, "h", "left").withColumn("comp", F.coalesce("comp", "h"))
