@@ -277,12 +277,13 @@ def _may_link(pairs: DataFrame, classes: DataFrame, scheme: Scheme) -> DataFrame
 def _across(rows: DataFrame, scheme: Scheme) -> DataFrame:
     """Pairs (a, b) of members of one bucket and different components that sizes and sketches don't rule out.
 
-    ``rows``: (bucket, member, comp, n, sketch).  A large bucket is dealt to square blocks.
+    ``rows``: (bucket, member, comp, n, sketch, hubs), the hubs being all buckets of the member.  A pair is told by the least bucket
+    that it shares, hence once.  A large bucket is dealt to square blocks.
     """
     blocks = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")
     dealt = rows.join(blocks, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "member", "comp", "n", "sketch")
+    dealt = dealt.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "member", "comp", "n", "sketch", "hubs")
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("member", ignore_index=True).drop_duplicates("member", ignore_index=True)
@@ -291,7 +292,8 @@ def _across(rows: DataFrame, scheme: Scheme) -> DataFrame:
         n, comp, member, side = (f[c].to_numpy() for c in ("n", "comp", "member", "own"))
         lo, hi = int(f["lo"].iloc[0]), int(f["hi"].iloc[0])
         left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        bucket, hubs = int(f["bucket"].iloc[0]), [set(x.tolist()) for x in f["hubs"]]
+        a, b = [], []
         for at in range(0, len(left), 64):
             rows = left[at : at + 64]
             most = scheme.differ(n[rows][:, None], n[right][None, :])
@@ -302,11 +304,13 @@ def _across(rows: DataFrame, scheme: Scheme) -> DataFrame:
             for k in range(0, len(i), 1 << 16):
                 x, y = rows[i[k : k + (1 << 16)]], right[j[k : k + (1 << 16)]]
                 near = np.bitwise_count(words[x] ^ words[y]).sum(1, dtype=np.int64) <= scheme.differ(n[x], n[y])
-                a.append(np.minimum(member[x[near]], member[y[near]]))
-                b.append(np.maximum(member[x[near]], member[y[near]]))
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+                for u, v in zip(x[near].tolist(), y[near].tolist(), strict=True):
+                    if min(hubs[u] & hubs[v]) == bucket:
+                        a.append(min(member[u], member[v]))
+                        b.append(max(member[u], member[v]))
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    return dealt.groupBy("bucket", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
+    return dealt.groupBy("bucket", "lo", "hi").applyInPandas(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, scheme: Scheme | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -348,6 +352,9 @@ def jaccard_components(docs: DataFrame, scheme: Scheme | None = None, *, id_col:
     rows = materialize(rows, "bucket-comps")
     open_ones = rows.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("bucket")
     rows = rows.join(open_ones, "bucket").join(classes.select(F.col("h").alias("member"), "n", "sketch"), "member")
+    # A member has no more hubs than signatures.
+    hubs = buckets.where("hub < member").groupBy("member").agg(F.collect_set("hub").alias("hubs"))
+    rows = rows.join(hubs, "member")
     more = materialize(_across(rows, scheme).unionByName(apart).distinct().join(tested, ["a", "b"], "left_anti"), "more-pairs")
     release(docs.sparkSession)
     links = links.unionByName(_verified(more, _contents(base, classes, more, scheme), scheme))
