@@ -1,10 +1,13 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut into sentences; every run of several consecutive sentences that holds enough words is hashed, in lower case
-and with single spaces.  The hashes are reduced to the first document of each, joined back to the runs globally, and
-every sentence that a run other than the first occurrence covers is removed.  Documents are ordered by id,
+A text is cut into sentences; from every sentence on, and up to every sentence, the shortest run of several consecutive sentences
+that holds enough words is hashed, in lower case and with single spaces.  The hashes are reduced to the first document of each, joined
+back to the runs globally, and every sentence that a run other than the first occurrence covers is removed.  Documents are ordered by id,
 occurrences within one by position.
 
+That covers every repeated run of enough words, however many sentences it has: the shortest run from each of its sentences lies within
+it, but for the last few, and these are in the shortest run up to its end.
+
 Hashes are pre-aggregated before they move, so a passage that is in very many documents is one row per task; a join
 partition that it makes large can be split, as nothing needs a hash's runs in one place.
 """
@@ -13,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +28,13 @@ from pyspark.sql.types import IntegerType, StructType
 from .hashing import mix64, salts
 from .workspace import materialize, table
 
-#: (sentences, least words): every run of so many consecutive sentences with so many words at least is compared.
-SPANS = ((3, 12), (2, 20))
+#: (sentences, least words): every run of so many consecutive sentences or more with so many words at least is compared.  A sentence has
+#: one word at least, so that a run of over 12 sentences holds one of 12: these are all lengths that a run of 12 words need have.
+SPANS = ((2, 20), *((n, 12) for n in range(3, 13)))
+#: Scripts written without spaces: Thai, Lao, Burmese, Khmer, kana, Chinese characters.  Two characters count as a word.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+#: So many characters count as a word at least, for what has no spaces in other scripts (encoded data, addresses).
+LONG_WORD = 20
 _CUT = re.compile(r"((?<=[.!?])\s+|(?<=[。！？])|\s*\n\s*)")
 
 
@@ -35,27 +44,49 @@ def pieces(text: str) -> tuple[list[str], list[int]]:
     return found, [i for i in range(0, len(found), 2) if found[i] and not found[i].isspace()]
 
 
+def sizes(sentences: list[str]) -> np.ndarray:
+    """The words of each sentence (lower case, single spaces), one at least; by characters where there are no spaces."""
+    own = [max(t.count(" ") + 1, len(t) // LONG_WORD) for t in sentences]
+    if _UNSPACED.search("".join(sentences)):
+        own = [n + len(_UNSPACED.findall(t)) // 2 for n, t in zip(own, sentences, strict=True)]
+    return np.array(own, np.int64)
+
+
+@cache
+def _minima(lengths: tuple[tuple[int, int], ...]) -> list[tuple[int, int]]:
+    """``lengths`` without those that others imply."""
+    return [(k, w) for k, w in set(lengths) if not any(j <= k and v <= w for j, v in set(lengths) - {(k, w)})]
+
+
+def shortest_runs(size: np.ndarray, lengths: tuple[tuple[int, int], ...] = SPANS) -> tuple[np.ndarray, np.ndarray]:
+    """(first sentence, sentences) of the shortest run from each sentence on, and up to each, that reaches one of ``lengths``; each once."""
+    n = len(size)
+    total = np.r_[0, np.cumsum(size)]
+    at = np.arange(n + 1)
+    end, start = np.full(n + 1, n + 1), np.full(n + 1, -1)
+    for k, least in _minima(tuple(lengths)):
+        end = np.minimum(end, np.maximum(at + k, np.searchsorted(total, total + least)))
+        start = np.maximum(start, np.minimum(at - k, np.searchsorted(total, total - least, side="right") - 1))
+    on, back = end <= n, start >= 0
+    runs = np.unique(np.r_[at[on] * (n + 1) + end[on], start[back] * (n + 1) + at[back]])
+    return runs // (n + 1), runs % (n + 1) - runs // (n + 1)
+
+
 def spans(text: str, lengths: tuple[tuple[int, int], ...] = SPANS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first sentence, sentences, whether the text has it earlier) of each run of a text."""
     found, at = pieces(text)
-    words = [found[i].lower().split() for i in at]
-    h = np.array([xxhash.xxh3_64_intdigest(" ".join(w)) for w in words], np.uint64)
-    total = np.r_[0, np.cumsum([len(w) for w in words], dtype=np.int64)]
-    hashes, where, size = [], [], []
-    for n, least in lengths:
-        if len(h) >= n:
-            run = np.full(len(h) - n + 1, n, np.uint64)
-            for k, c in enumerate(salts(n, 900 + n)):
-                run = run + h[k : k + len(run)] * c
-            own = np.flatnonzero(total[n:] - total[:-n] >= least)
-            hashes.append(mix64(run)[own])
-            where.append(own)
-            size.append(np.full(len(own), n))
-    if not hashes:
-        return np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 2, np.empty(0, bool)
-    hashes, where, size = map(np.concatenate, (hashes, where, size))
+    sentences = [" ".join(found[i].lower().split()) for i in at]
+    h = np.array([xxhash.xxh3_64_intdigest(t) for t in sentences], np.uint64)
+    where, size = shortest_runs(sizes(sentences), lengths)
+    hashes = np.empty(len(where), np.uint64)
+    for n in np.unique(size).tolist():
+        own = np.flatnonzero(size == n)
+        run = np.full(len(own), n, np.uint64)
+        for k, c in enumerate(salts(n, 900 + n)):
+            run += h[where[own] + k] * c
+        hashes[own] = mix64(run)
     again = np.ones(len(hashes), bool)
-    again[np.unique(hashes, return_index=True)[1]] = False  # the first place of each: runs of one length stand in order
+    again[np.unique(hashes, return_index=True)[1]] = False  # the first place of each: runs stand in order
     return hashes, where, size, again
 
 
@@ -71,7 +102,7 @@ def repeated_runs(docs: DataFrame, *, lengths: tuple[tuple[int, int], ...] = SPA
             def flush() -> pa.RecordBatch:
                 h, at, size, again = (np.concatenate(c) for c in columns)
                 ids = b.column(0).take(pa.array(np.concatenate(rows)))
-                return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids, pa.array(at.astype(np.int32)), pa.array(size.astype(np.int8)), pa.array(again)], names=["h", "id", "at", "size", "again"])
+                return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids, pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(again)], names=["h", "id", "at", "size", "again"])
 
             for i, t in enumerate(b.column(1)):
                 found = spans(t.as_py(), lengths)
@@ -86,7 +117,7 @@ def repeated_runs(docs: DataFrame, *, lengths: tuple[tuple[int, int], ...] = SPA
             if held:
                 yield flush()
 
-    runs = materialize(base.mapInArrow(run, f"h long, id {kind}, at int, size byte, again boolean"), "sentence-runs")
+    runs = materialize(base.mapInArrow(run, f"h long, id {kind}, at int, size int, again boolean"), "sentence-runs")
     first = runs.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max(F.col("again").cast("int")).alias("twice")).where("first < last or twice = 1").select("h", "first")
     later = runs.join(first, "h").where("id != first or again")
     return later.groupBy("id").agg(F.collect_list(F.struct("at", "size")).alias("runs"))
@@ -95,7 +126,8 @@ def repeated_runs(docs: DataFrame, *, lengths: tuple[tuple[int, int], ...] = SPA
 def remove_repeats(docs: DataFrame, *, lengths: tuple[tuple[int, int], ...] = SPANS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated sentences cut out of the text, and n_sentences and n_removed (int) added (replaced if there).
 
-    A document's sentence goes if a run that covers it occurs in a document of smaller id or earlier in its own text.  Texts without such
+    A document's sentence goes if a run that covers it, of any length that reaches one of ``lengths``, occurs in a document of smaller id or
+    earlier in its own text.  Texts without such
     a sentence come back unchanged, null as null; a text wholly repeated becomes empty.  Rows with a null id are neither
     compared nor changed; rows that repeat an id count as one document.  Other columns are kept.
     """

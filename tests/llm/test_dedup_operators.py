@@ -350,3 +350,45 @@ def test_substrings(spark):
     assert got[3].n_removed >= 9 and len(got[40].text) < 40 and passage[4] in got[0].text
     assert set(df.columns) | {"n_sentences"} == set(substring_dedup.remove_repeats(df).columns)
     assert substring_dedup.remove_repeats(df.limit(0)).count() == 0
+
+
+def brute_passages(rows):
+    """Sentences in any repeated run of 2 sentences and 20 words, or 3 and 12, or more, whatever its length."""
+    seen, out = {}, {}
+    for i, t in sorted(rows):
+        found, at = substring_dedup.pieces(t)
+        words = [found[k].lower().split() for k in at]
+        size = [1 + len(s[0].rstrip("\u3002")) // 2 if s[0][0] > "\u3000" else len(s) for s in words]
+        for k in range(len(at)):
+            for e in range(k + 2, len(at) + 1):
+                if sum(size[k:e]) >= (20 if e == k + 2 else 12):
+                    key = tuple(map(tuple, words[k:e]))
+                    seen.setdefault(key, (i, k))
+                    if seen[key] != (i, k):
+                        out.setdefault(i, set()).update(range(k, e))
+    return out
+
+
+def test_passages_of_short_sentences(spark):
+    rng = np.random.default_rng(12)
+    word = lambda: f"w{rng.integers(4000)}"
+    shout = " ".join(f"Stop{i}!" for i in range(40))
+    menu = "\n".join(f"Soup {i}" for i in range(20))
+    ends = "Yes. No. " + " ".join(f"{word()} {word()} {word()} {word()} {word()} {word()}." for _ in range(4)) + " Oh. Ah."
+    unspaced = "".join("".join(chr(0x4E00 + int(rng.integers(9000))) for _ in range(9)) + "\u3002" for _ in range(3))
+    few = " ".join(f"Go{i}." for i in range(11))
+    rows = []
+    for i in range(24):
+        lead, tail = (" ".join(word() for _ in range(int(rng.integers(1, 7)))) + "." for _ in range(2))
+        rows.append((i, "\n".join([lead, (shout, menu, ends, unspaced, few, "Ha. " * 30)[i % 6], tail])))
+    rows += [(50 + i, " ".join(f"{'ab'[int(b)]}." for b in rng.integers(0, 2, 25))) for i in range(6)]
+    want = brute_passages(rows)
+    got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: len(want.get(i, ())) for i, _ in rows}
+    assert [got[i] for i in range(6, 11)] == [40, 20, 8, 3, 0] and got[5] >= 18
+
+
+def test_passages_without_spaces_in_other_scripts():
+    lines = [f"{i}" * 76 for i in range(8)]
+    assert substring_dedup.sizes(lines).tolist() == [3] * 8 and substring_dedup.sizes(["one two", "\u4e00" * 9]).tolist() == [2, 5]
+    assert len(substring_dedup.spans("\n".join(lines))[0])
