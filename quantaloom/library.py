@@ -25,11 +25,14 @@ def batches(formulas: Sequence[str], size: int = BATCH) -> Iterator[list[str]]:
         yield list(formulas[at : at + size])
 
 
-def measure(panel: Panel, formulas: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(IC series, share of missing cells) of a batch of formulas, in long form; ``panel`` has fwd."""
-    named = {f"f{i}": f for i, f in enumerate(formulas)}
-    wide = evaluate(panel.df, named, panel.n_dates, keep=["fwd"])
-    long = to_long(wide, list(named))
+def signals(panel: Panel, formulas: Sequence[str]) -> DataFrame:
+    """A batch of formulas as columns f0, f1, ... beside fwd, which ``panel`` has."""
+    return evaluate(panel.df, {f"f{i}": f for i, f in enumerate(formulas)}, panel.n_dates, keep=["fwd"])
+
+
+def measure(panel: Panel, formulas: Sequence[str], wide: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(IC series, share of missing cells) of a batch of formulas, in long form; ``wide``: their signals, if at hand."""
+    long = to_long(signals(panel, formulas) if wide is None else wide, [f"f{i}" for i in range(len(formulas))])
     absent = long.groupBy("name").agg(F.avg(F.col("value").isNull().cast("double")).alias("missing"))
     return ic_series(long), absent
 
@@ -58,7 +61,8 @@ def screen(
     need = hlz_threshold(len(formulas)) if use_hlz else 0.0
     passed: list[Screened] = []
     for part in batches(good, batch):
-        ics, absent = measure(panel, part)
+        wide = signals(panel, part).persist()
+        ics, absent = measure(panel, part, wide)
         ics = ics.persist()
         stats = ic_summary(ics).join(absent, "name").where((F.col("missing") <= most_missing) & (F.col("n_days") >= least_days) & (F.abs("ic_mean") >= ic_threshold))
         if positive_only:
@@ -74,6 +78,7 @@ def screen(
         for r in ics.where(F.col("name").isin(list(kept)) & F.col("ic").isNotNull()).select("name", "t", "ic").collect() if kept else []:
             series[r["name"]][r["t"]] = r["ic"]
         ics.unpersist()
+        wide.unpersist()
         passed += [Screened(part[int(n[1:])], r["ic_mean"], r["icir"], r["ic_t"], r["oos_ic"], series[n]) for n, r in kept.items()]
     passed.sort(key=lambda s: (-s.ic_mean, s.expression))
     return dedup(passed, max_corr, max_keep) if always_dedup or len(passed) > max_keep else passed

@@ -16,7 +16,7 @@ from quantaloom.functions import analytics, ic, performance
 from quantaloom.generate import candidates, engineered
 from quantaloom.plans.compiler import evaluate
 from quantaloom.sources import fundamentals
-from quantaloom.sources.panel import build_panel, common_dates, universe, with_forward
+from quantaloom.sources.panel import Panel, build_panel, common_dates, universe, with_forward
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -268,10 +268,11 @@ add("ic_histogram", lambda spark, d: rounded(ic.histogram(ic.ic_series(signals(s
 
 
 def screened(spark: SparkSession, d: str, formulas: list[str] | None = None) -> DataFrame:
-    """The screen over a hundred enumerated candidates, in batches of one plan each."""
+    """The screen over all candidates up to depth 2, in batches of one plan each over a panel that is computed once."""
     p = fixtures.panel(spark, d, "f3")
-    chosen = formulas if formulas is not None else candidates(2)[::150]
-    found = lib.screen(p, chosen, ic_threshold=0.005, max_keep=10_000)
+    p = Panel(p.df.persist(), p.n_dates)
+    found = lib.screen(p, formulas if formulas is not None else candidates(2), ic_threshold=0.005, max_keep=10_000)
+    p.df.unpersist()
     rows = [(s.expression, s.ic_mean, s.icir, s.t_stat) for s in found]
     return rounded(spark.createDataFrame(rows, "expression string, ic_mean double, icir double, t_stat double"))
 

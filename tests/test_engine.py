@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quantaloom import backtest as bt
 from quantaloom import combine as cb
+from quantaloom import queries
 from quantaloom.functions import analytics, ic, performance
 from quantaloom.library import FactorLibrary, FactorRecord, Screened, dedup, screen
 from quantaloom.memory import ExperienceMemory, domain
@@ -205,6 +206,20 @@ def test_adaptive_weights_against_direct_solution():
     assert min(got) == 60 and np.allclose(got[60], np.linalg.solve(a.T @ a + 1e-4 * np.eye(2), a.T @ b)) and np.allclose(got[61], got[60])
 
 
+def test_registered_screen_takes_every_candidate(spark, panel, monkeypatch):
+    asked = []
+    monkeypatch.setattr(queries.fixtures, "panel", lambda *_: Panel(panel.df.select("*"), panel.n_dates))
+    monkeypatch.setattr(queries.lib, "screen", lambda p, formulas, **_: asked.extend(formulas) or [Screened("x", 0.1, 0.2, 3.0, 0.1, np.zeros(2))])
+    assert queries.screened(spark, "").count() == 1
+    assert asked == queries.candidates(2) and len(asked) == 15_152
+
+
+def test_screen_in_batches_equals_one_batch(panel):
+    chosen = ["cs_rank(close)", "ts_mean(close, 5)", "ts_std(returns, 10)", "cs_rank(volume)", "neg(close)"]
+    one, many = (screen(panel, chosen, ic_threshold=0.0, batch=n) for n in (64, 2))
+    assert len(one) == 5 and [(s.expression, round(s.ic_mean, 12)) for s in one] == [(s.expression, round(s.ic_mean, 12)) for s in many]
+
+
 def test_screen_library_mining_service(spark, panel, tmp_path):
     found = screen(panel, ["cs_rank(close)", "neg(cs_rank(close))", "ts_mean(close, 90) - ts_mean(close, 90)", "nope(close)"], ic_threshold=0.01)
     assert {s.expression for s in found} >= {"cs_rank(close)"} and found[0].ic_mean >= found[-1].ic_mean
