@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantaloom import ship
@@ -25,7 +25,10 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by five-word shingles at a Jaccard similarity of 0.8 or more, the one of the smallest id."""
+    """Of each group of documents linked by five-word shingles at a Jaccard similarity of 0.8 or more, the one of the smallest id.
+
+    Rows that repeat that id all stay, and so do copies with a null id.
+    """
     found = jaccard_join.jaccard_components(docs, jaccard_join.Scheme(width=5, num=80, den=100))
     others = found.where("component_id < doc_id").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(others, "doc_id", "left_anti").select(*COLUMNS)
@@ -41,10 +44,15 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them: none, once, or up to three times.
 
-    Documents that share an id share a number of copies, the largest drawn.
+    Every row gets a number of copies of its own, those with a null id and those that repeat an id too: what is drawn for an id, source and
+    number of words is dealt to the rows that have them, the order of which does not matter to the mix.
     """
-    mixed = source_mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
-    taken = docs.select(*COLUMNS).join(mixed, "doc_id")
+    key = ["doc_id", "source", "size"]
+    mixed = source_mixing.mix(docs).select(*key, "copies", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("copies"))).alias("nth")).where("copies > 0")
+    mixed = mixed.select(*[F.col(c).alias(f"__{c}") for c in (*key, "nth")], "copies")
+    rows = docs.select(*COLUMNS, F.coalesce(F.regexp_count("text", F.lit(source_mixing.WORD)), F.lit(0)).cast("long").alias("size"))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text", "lang", "n_chars"))))
+    taken = rows.join(mixed, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*key, "nth")])
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 

@@ -31,3 +31,15 @@ def test_every_operator_is_registered():
     for n in range(1, 11):
         assert len([x for x in names if x.startswith(f"op{n}_")]) == 1
     assert "pipeline" in names and set(entry.oracle_sql()) <= set(names)
+
+
+def test_mixture_keeps_what_is_drawn_for_null_and_repeated_ids(spark):
+    rows = [(None if i % 3 == 0 else i // 2, " ".join(f"w{i}x{k}" for k in range(3 + i % 4)), "en", None if i % 5 == 0 else f"s{i % 2}", i) for i in range(60)]
+    df = docs(spark, rows)
+    drawn = cp.source_mixing.mix(df).groupBy("doc_id", "source", "size").sum("copies").collect()
+    want = {tuple(r)[:3]: r[3] for r in drawn if r[3]}
+    got = {}
+    for r in cp.mixture(spark, df, "").collect():
+        key = (r.doc_id, r.source, len(r.text.split()))
+        got[key] = got.get(key, 0) + 1
+    assert got == want and any(k[0] is None for k in got)
