@@ -194,7 +194,7 @@ def _bucketed(signed: DataFrame) -> DataFrame:
                 long_hub = None
                 s, h = s[last:], h[last:]
             if len(h) > RUN:
-                hub = long_hub or (int(s[0]), int(h[0]))
+                hub = long_hub if long_hub and long_hub[0] == s[0] else (int(s[0]), int(h[0]))
                 yield from tell(s, h)
                 long_hub = hub
                 s, h = s[:0], h[:0]

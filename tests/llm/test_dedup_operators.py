@@ -207,6 +207,24 @@ def test_runs_over_batches():
         jaccard_join.RUN = old
 
 
+def test_long_runs_that_meet_at_a_batch_border(monkeypatch):
+    """Two long runs in turn, the first of which ends with its batch: every piece of the second is told under its least member."""
+    sig, h = np.repeat([1, 2], [3, 9]), np.r_[1:4, 1:10]
+
+    class Fake:
+        def repartition(self, *_):
+            return self
+
+        sortWithinPartitions = repartition
+
+        def mapInArrow(self, f, _):
+            parts = [pa.RecordBatch.from_arrays([pa.array(sig[i : i + 3]), pa.array(h[i : i + 3])], names=["sig", "h"]) for i in range(0, 12, 3)]
+            return [tuple(r.values())[:3] for b in f(iter(parts)) for r in b.to_pylist()]
+
+    monkeypatch.setattr(jaccard_join, "RUN", 2)
+    assert {x for x in jaccard_join._bucketed(Fake()) if x[0] == 2} == {(2, 1, k) for k in range(1, 10)}
+
+
 def test_word_hashes_in_pieces(monkeypatch):
     texts = pa.array(["a bb  ccc\td\n", None, "", "ddd" * 50 + " e " * 60, "é A"])
     want, offsets = hashing.word_hashes(texts)
