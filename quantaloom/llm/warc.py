@@ -58,7 +58,7 @@ class _Reader:
         self.file, self.held = None, b""
 
     def feed(self, file: str, fragment: bytes) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
-        """(headers, HTTP head, payload) of the record that ends with this fragment, if one does."""
+        """(headers, HTTP head, payload) of the records that end with this fragment: none, one, or, if a payload ends like a separator, more."""
         if file != self.file:
             if self.held:
                 raise ValueError(f"{self.file}: the last record is cut short")
@@ -66,18 +66,23 @@ class _Reader:
             fragment = fragment.removeprefix(VERSION)
         elif self.held:
             fragment = self.held + BREAK + fragment
-        head, _, block = fragment.partition(b"\r\n\r\n")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n"))}
-        n = int(headers.get("content-length", "0"))
-        if len(block) < n:
-            self.held = fragment
-            return
-        self.held = b""
-        if headers.get("content-type", "").startswith("application/http"):
-            http, _, payload = block[:n].partition(b"\r\n\r\n")
-        else:
-            http, payload = b"", block[:n]
-        yield headers, http, payload
+        while True:
+            head, _, block = fragment.partition(b"\r\n\r\n")
+            headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n"))}
+            n = int(headers.get("content-length", "0"))
+            if len(block) < n:
+                self.held = fragment
+                return
+            self.held = b""
+            if headers.get("content-type", "").startswith("application/http"):
+                http, _, payload = block[:n].partition(b"\r\n\r\n")
+            else:
+                http, payload = b"", block[:n]
+            yield headers, http, payload
+            rest = block[n:]
+            if not rest.startswith(BREAK):
+                return
+            fragment = rest.removeprefix(BREAK)
 
     def close(self) -> None:
         if self.held:

@@ -89,6 +89,15 @@ def test_warc_again_keeps_revisits(spark):
     assert a == b and sorted(r.record_type for r in a) == ["response", "revisit", "revisit"]
 
 
+def test_warc_payload_that_ends_like_a_separator(spark):
+    end = "x" * 1200 + "\r\n\r\nWARC/1.1"
+    rows = [(1, "u", end), (2, "u", "second"), (3, "u", "\r\n\r\nWARC/1.1"), (4, "u", "\r\n\r\nWARC/1.1"), (5, "u", end), (6, "u", "last")]
+    path = shared_dir(spark, "t")
+    warc.write_warc(warc.page_records(pages(spark, rows).coalesce(1)), path)
+    got = {int(r.record_id.rpartition(":")[2]): bytes(r.payload).decode() for r in warc.read_warc(spark, path, payload=True).collect()}
+    assert got == {i: t for i, _, t in rows}
+
+
 def test_warc_empty_and_truncated(spark):
     _, out = run_warc(spark, pages(spark, []))
     assert warc.read_warc(spark, out).count() == 0
