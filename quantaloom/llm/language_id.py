@@ -23,7 +23,7 @@ ORDERS = (1, 2, 3)
 PIECE_CHARS = 1 << 18
 #: Rows that a language's counts are learned from, about; a language with fewer rows is learned from all of them.
 ROWS_PER_LANGUAGE = 8000
-#: Languages told apart at most, the most frequent ones; bounds the model at LANGUAGES * 2**BITS numbers.
+#: Languages that a model is learned for at most; bounds the model at LANGUAGES * 2**BITS numbers.  More are an error.
 LANGUAGES = 256
 _LETTER = regex.compile(r"\p{L}")
 _FOLD = np.arange(128, dtype=np.uint32)
@@ -99,15 +99,18 @@ class LanguageModel:
 
 def fit(
     rows: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
-    rows_per_language: int = ROWS_PER_LANGUAGE, smoothing: float = 0.3,
+    rows_per_language: int = ROWS_PER_LANGUAGE, smoothing: float = 0.3, max_languages: int = LANGUAGES,
 ) -> LanguageModel:
     """Learn from rows with a language and a text, at most about ``rows_per_language`` of each language, drawn by a hash of the id.
 
     Rows with a null text or language teach nothing; without any row the model knows no language and answers 'und'.
-    The languages' odds come from the counts of all rows.
+    The languages' odds come from the counts of all rows.  Every language that occurs is learned; more than ``max_languages`` of them are
+    a ValueError, as the model is held in memory.
     """
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.lit(5)).alias("h")).where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
+    if len(counts) > max_languages:
+        raise ValueError(f"More than {max_languages} languages: raise max_languages to learn all of them")
     languages = sorted(counts)
     if not languages:
         return LanguageModel([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0))

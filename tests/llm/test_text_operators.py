@@ -246,3 +246,10 @@ def test_edited_templates_are_found(spark):
     got = {r.doc_id: r.spans for r in license_scan.scan(docs(spark, rows)).collect()}
     assert [x["label"] for x in got[1]] == ["mit"] and got[1][0]["first"] == 1 and got[1][0]["cover"] > 0.6
     assert not got[2] and not got[3]
+
+
+def test_languages_beyond_the_bound_are_an_error(spark):
+    df = spark.createDataFrame([(i, f"text {i} in l{i % 3}", f"l{i % 3}") for i in range(30)], "doc_id long, text string, lang string")
+    assert language_id.fit(df, max_languages=3).languages == ["l0", "l1", "l2"]
+    with pytest.raises(ValueError, match="More than 2 languages"):
+        language_id.fit(df, max_languages=2)
