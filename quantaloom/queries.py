@@ -366,7 +366,8 @@ add("combine_adaptive", lambda spark, d: rounded(bt.combine(_wide(spark, d), ["m
 
 
 def walked(spark: SparkSession, d: str, backend: str = "ridge") -> DataFrame:
-    r = cb.walk_forward(_wide(spark, d), ["momentum", "calm"], backend=backend, train=120, step=120, trees=3)
+    """The combiner with the test step and number of trees of the program that this follows; the training window is that of a short calendar."""
+    r = cb.walk_forward(_wide(spark, d), ["momentum", "calm"], backend=backend, train=120, step=60, trees=300)
     return rounded(spark.createDataFrame([(backend, r.ic_mean, r.icir, r.positive, r.folds)], "backend string, ic_mean double, icir double, positive double, folds int"))
 
 

@@ -220,6 +220,14 @@ def test_screen_in_batches_equals_one_batch(panel):
     assert len(one) == 5 and [(s.expression, round(s.ic_mean, 12)) for s in one] == [(s.expression, round(s.ic_mean, 12)) for s in many]
 
 
+def test_registered_walk_forward_has_the_reference_configuration(spark, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(queries, "_wide", lambda *_: None)
+    monkeypatch.setattr(queries.cb, "walk_forward", lambda *_, **how: asked.update(how) or cb.CombinerReport("gbt", np.ones(3), {}, {}, 4))
+    assert queries.walked(spark, "", "gbt").count() == 1
+    assert (asked["step"], asked["trees"]) == (60, 300) and len(cb.folds(345, asked["train"], asked["step"])) == 4
+
+
 def test_screen_library_mining_service(spark, panel, tmp_path):
     found = screen(panel, ["cs_rank(close)", "neg(cs_rank(close))", "ts_mean(close, 90) - ts_mean(close, 90)", "nope(close)"], ic_threshold=0.01)
     assert {s.expression for s in found} >= {"cs_rank(close)"} and found[0].ic_mean >= found[-1].ic_mean
