@@ -142,7 +142,8 @@ def walk_forward(wide: DataFrame, names: Sequence[str], *, backend: str = "ridge
     """Fit on a window, skip a purge gap, predict the next dates, move on; daily Spearman of predictions and fwd.
 
     Rows with every signal and fwd count, on dates with at least ``least`` of them.  'ridge' is exact: one aggregation
-    gives every date's moments, and the folds' windows are sums of these.  'gbt' trains one MLlib model per fold.
+    gives every date's moments, and the folds' windows are sums of these.  'gbt' trains one MLlib model per fold,
+    of ``trees`` trees or fewer: it ends at the first one that makes the error of the held-out rows larger.
     """
     n_dates = wide.agg(F.max("t")).first()[0] + 1
     plan = folds(n_dates, train, step, purge)
@@ -177,7 +178,7 @@ def walk_forward(wide: DataFrame, names: Sequence[str], *, backend: str = "ridge
             sample = vectors.where((F.col("t") >= a) & (F.col("t") < b)).withColumn("__check", F.pmod(F.xxhash64("code", "date"), F.lit(100)) < 15)
             if sample.limit(100).count() < 100:
                 continue
-            model = GBTRegressor(featuresCol="__features", labelCol="fwd", maxIter=trees, maxDepth=6, maxBins=128, stepSize=0.05, seed=42, validationIndicatorCol="__check").fit(sample)
+            model = GBTRegressor(featuresCol="__features", labelCol="fwd", maxIter=trees, maxDepth=6, maxBins=128, stepSize=0.05, seed=42, validationIndicatorCol="__check", validationTol=0.0).fit(sample)
             used += 1
             importance += model.featureImportances.toArray()
             part = model.transform(vectors.where((F.col("t") >= s) & (F.col("t") < e))).select("code", "date", "t", "fwd", F.col("prediction").alias("value"))
