@@ -45,44 +45,54 @@ class MinimalPerfectHash:
 
     Keys fall into buckets by one hash; each bucket, largest first, gets the smallest displacement that sends
     its keys to free slots.  Buckets of one key point at a free slot directly (a negative displacement).
+    Displacements are tried up to a bound; where a bucket finds none, all keys are hashed anew by the next seed.
+    Keys must differ; a repeated one is a ValueError.
     """
 
     def __init__(self, keys: list[bytes], load: float = 2.0) -> None:
+        if len(set(keys)) < len(keys):
+            raise ValueError("a key is repeated")
         self.keys = keys
         n = self.n = max(1, len(keys))
         self.m = max(1, int(n / load))
+        for self.seed in range(256):  # a seed fails for few and small key sets; that all of these fail has no odds to speak of
+            if self._place():
+                return
+        raise ValueError("no seed separates the keys")
+
+    def _place(self) -> bool:
+        """Whether every bucket finds a displacement under this seed; sets ``shift`` (by bucket) and ``at`` (key by slot)."""
+        n, most = self.n, max(1024, 8 * self.n)
         buckets: dict[int, list[int]] = {}
-        hashes = [xxhash.xxh3_128_intdigest(k) for k in keys]
+        hashes = [xxhash.xxh3_128_intdigest(k, self.seed) for k in self.keys]
         for i, h in enumerate(hashes):
             buckets.setdefault((h >> 64) % self.m, []).append(i)
         self.shift = np.zeros(self.m, np.int64)
         self.at = np.full(n, -1, np.int64)
         free = np.ones(n, bool)
         order = sorted(buckets.items(), key=lambda x: (-len(x[1]), x[0]))
-        single = len(order)
-        for k, (b, own) in enumerate(order):
-            if len(own) == 1:
-                single = k
-                break
-            d = 0
-            while True:
+        single = next((k for k, (_, own) in enumerate(order) if len(own) == 1), len(order))
+        for b, own in order[:single]:
+            for d in range(most):
                 slots = [self._slot(hashes[i], d) for i in own]
                 if len(set(slots)) == len(slots) and free[slots].all():
                     break
-                d += 1
+            else:
+                return False
             self.shift[b] = d
             self.at[slots] = own
             free[slots] = False
         for (b, (i,)), slot in zip(order[single:], np.flatnonzero(free).tolist(), strict=False):
             self.shift[b] = -slot - 1
             self.at[slot] = i
+        return True
 
     def _slot(self, h: int, d: int) -> int:
         return ((h & 0xFFFFFFFF) + d * ((h >> 32 & 0xFFFFFFFF) | 1) + d * d) % self.n
 
     def find(self, key: bytes) -> int:
         """The key's index, or -1 if it is none of the keys."""
-        h = xxhash.xxh3_128_intdigest(key)
+        h = xxhash.xxh3_128_intdigest(key, self.seed)
         d = int(self.shift[(h >> 64) % self.m])
         i = int(self.at[-d - 1 if d < 0 else self._slot(h, d)])
         return i if i >= 0 and self.keys[i] == key else -1
@@ -169,14 +179,14 @@ def _encoder(spark: SparkSession, path: str | None, pattern: str | None):
     """A function for executors that returns the encoder; a worker builds the memo once per vocabulary."""
     own, own_pattern = default_vocabulary() if path is None else (path, pattern)
     mph = MinimalPerfectHash(read_ranks(own))
-    sent = spark.sparkContext.broadcast((mph.keys, mph.m, mph.shift, mph.at))
+    sent = spark.sparkContext.broadcast((mph.keys, mph.seed, mph.m, mph.shift, mph.at))
     name = hashlib.sha1(b"\0".join(mph.keys)).hexdigest() + (pattern := pattern or own_pattern)
 
     def get() -> Encoder:
         if name not in _ENCODERS:
-            keys, m, shift, at = sent.value
+            keys, seed, m, shift, at = sent.value
             hashed = MinimalPerfectHash.__new__(MinimalPerfectHash)
-            hashed.keys, hashed.n, hashed.m, hashed.shift, hashed.at = keys, max(1, len(keys)), m, shift.tolist(), at.tolist()
+            hashed.keys, hashed.n, hashed.seed, hashed.m, hashed.shift, hashed.at = keys, max(1, len(keys)), seed, m, shift.tolist(), at.tolist()
             _ENCODERS.clear()
             _ENCODERS[name] = Encoder(hashed, pattern)
         return _ENCODERS[name]
