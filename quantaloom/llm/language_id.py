@@ -20,51 +20,70 @@ from .workspace import table
 
 BITS = 15
 ORDERS = (1, 2, 3)
-PIECE_CHARS = 1 << 18
+#: Characters whose n-grams are held at a time, and languages whose weights are: bounds the memory of a task, not what is read.
+PIECE_CHARS = 1 << 17
+LANGUAGE_BLOCK = 32
 #: Rows that a language's counts are learned from, about; a language with fewer rows is learned from all of them.
 ROWS_PER_LANGUAGE = 8000
-#: Languages that a model is learned for at most; bounds the model at LANGUAGES * 2**BITS numbers.  More are an error.
-LANGUAGES = 256
+#: Languages that a model may hold, 128 KiB each; a corpus with more is an error, none is left out.
+LANGUAGES = 4096
 _LETTER = regex.compile(r"\p{L}")
 _FOLD = np.arange(128, dtype=np.uint32)
 _FOLD[[i for i in range(128) if not chr(i).isalpha()]] = 32
 _FOLD[0] = 0
+_GAP, _AHEAD = "\0\0", max(ORDERS) - 1
 
 
-def _pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
-    """Texts in runs of about PIECE_CHARS characters, long ones cut; each piece with its text's number."""
-    who, what, size = [], [], 0
-    for i, t in enumerate(texts):
-        for at in range(0, len(t or ""), PIECE_CHARS):
-            piece = t[at : at + PIECE_CHARS].lower()
-            who.append(i)
-            what.append(piece)
-            size += len(piece)
-            if size >= PIECE_CHARS:
-                yield who, what
-                who, what, size = [], [], 0
-    if who:
-        yield who, what
-
-
-def _buckets(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all n-grams of all pieces, orders side by side, and each piece's first row.
-
-    Pieces stand two zeros apart, so that no n-gram holds characters of two of them.
-    """
-    cp = np.frombuffer("\0\0".join([*pieces, ""]).encode("utf-32-le", "surrogatepass"), "<u4").copy()
+def _codes(text: str) -> np.ndarray:
+    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").copy()
     low = cp < 128
     cp[low] = _FOLD[cp[low]]
-    starts = np.cumsum([0, *(len(p) + 2 for p in pieces[:-1])])
-    c = cp.astype(np.uint64)
-    pad = np.r_[c, np.zeros(max(ORDERS), np.uint64)]
-    out, h = [], np.zeros(len(c), np.uint64)
+    return cp
+
+
+def _buckets(codes: np.ndarray) -> np.ndarray:
+    """Buckets of the n-grams that begin at each of ``codes`` but the last ``_AHEAD``, orders side by side."""
+    c = codes.astype(np.uint64)
+    n = len(c) - _AHEAD
+    out, h = [], np.zeros(n, np.uint64)
     for k in range(max(ORDERS)):
-        h = (h + pad[k : k + len(c)] + np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h + c[k : k + n] + np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
         if k + 1 in ORDERS:
             out.append((h * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BITS)).astype(np.int32))
-    return np.stack(out, 1), starts
+    return np.stack(out, 1)
+
+
+def _grams(texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(text numbers, each one's first row, buckets): the n-grams of all texts, about PIECE_CHARS characters at a time.
+
+    A text stands between two pairs of zeros, the pair before it being its own, so that no n-gram holds characters of two texts
+    and a text's n-grams are the same in any company.  A longer text comes in pieces, no n-gram of which is lost.
+    """
+    who, held, size = [], [], 0
+
+    def together() -> tuple[list[int], np.ndarray, np.ndarray]:
+        starts = np.cumsum([0, *(len(t) for t in held[:-1])])
+        return who, starts, _buckets(_codes("".join([*held, _GAP])))
+
+    for i, t in enumerate(texts):
+        if not t:
+            continue
+        own = _GAP + t.lower()
+        if len(own) > PIECE_CHARS:
+            for at in range(0, len(own), PIECE_CHARS):
+                piece = own[at : at + PIECE_CHARS + _AHEAD]
+                short = min(PIECE_CHARS, len(own) - at) + _AHEAD - len(piece)
+                yield [i], np.zeros(1, int), _buckets(_codes(piece + _GAP[:short]))
+            continue
+        if size + len(own) > PIECE_CHARS and who:
+            yield together()
+            who, held, size = [], [], 0
+        who.append(i)
+        held.append(own)
+        size += len(own)
+    if who:
+        yield together()
 
 
 @dataclass
@@ -76,15 +95,17 @@ class LanguageModel:
     prior: np.ndarray
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """The likeliest language of each text and its posterior; ('und', 0.0) for a text without letters."""
+        """The likeliest language of each text and its posterior; of equally likely ones the first by name; ('und', 0.0) for a text without letters."""
         total = np.tile(self.prior, (len(texts), 1)) if self.languages else np.zeros((len(texts), 0))
         if self.languages:
-            for who, what in _pieces(texts):
-                ids, starts = _buckets(what)
-                per_char = self.weights[ids[:, 0]]
-                for k in range(1, ids.shape[1]):
-                    per_char += self.weights[ids[:, k]]
-                np.add.at(total, who, np.add.reduceat(per_char, starts, axis=0, dtype=np.float64))
+            for who, starts, ids in _grams(texts):
+                for lo in range(0, len(self.languages), LANGUAGE_BLOCK):
+                    block = slice(lo, lo + LANGUAGE_BLOCK)
+                    own = self.weights if len(self.languages) <= LANGUAGE_BLOCK else self.weights[:, block]
+                    per_char = own[ids[:, 0]]
+                    for k in range(1, ids.shape[1]):
+                        per_char += own[ids[:, k]]
+                    total[who, block] += np.add.reduceat(per_char, starts, axis=0, dtype=np.float64)
         langs, scores = [], []
         for t, row in zip(texts, total, strict=True):
             if not self.languages or not t or not _LETTER.search(t):
@@ -104,8 +125,8 @@ def fit(
     """Learn from rows with a language and a text, at most about ``rows_per_language`` of each language, drawn by a hash of the id.
 
     Rows with a null text or language teach nothing; without any row the model knows no language and answers 'und'.
-    The languages' odds come from the counts of all rows.  Every language that occurs is learned; more than ``max_languages`` of them are
-    a ValueError, as the model is held in memory.
+    The languages' odds come from the counts of all rows.  Every language that occurs is learned.  The model takes 128 KiB a language, which is what
+    ``max_languages`` bounds: more languages are a ValueError, and nothing is learned.
     """
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.lit(5)).alias("h")).where("lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
@@ -119,15 +140,24 @@ def fit(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for own, mine in sorted(found.items()):
+                at = np.flatnonzero(mine)
+                yield pa.RecordBatch.from_arrays([pa.array([own] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(mine[at])], names=["lang", "bucket", "n"])
+            found.clear()
+
         for b in batches:
+            if len(found) > 8 * LANGUAGE_BLOCK:  # counts so far go on, as a task has room for so many languages
+                yield from told()
             lang = np.array(b.column(0).to_pylist(), object)
             for own in set(lang.tolist()):
-                mine = found.setdefault(own, np.zeros(1 << BITS, np.int64))
-                for _, what in _pieces(b.column(1).filter(pa.array(lang == own)).to_pylist()):
-                    mine += np.bincount(_buckets(what)[0].ravel(), minlength=1 << BITS)
-        for own, mine in sorted(found.items()):
-            at = np.flatnonzero(mine)
-            yield pa.RecordBatch.from_arrays([pa.array([own] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(mine[at])], names=["lang", "bucket", "n"])
+                if own not in found:
+                    found[own] = np.zeros(1 << BITS, np.int64)
+                mine = found[own]
+                for _, _, ids in _grams(b.column(1).filter(pa.array(lang == own)).to_pylist()):
+                    mine += np.bincount(ids.ravel(), minlength=1 << BITS)
+        yield from told()
 
     summed = drawn.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     table_ = np.zeros((1 << BITS, len(languages)))

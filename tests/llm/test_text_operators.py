@@ -1,6 +1,7 @@
 """Language ID, quality rules, BPE, mixing and license scans on small tables, awkward ones included."""
 
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -33,6 +34,58 @@ def corpus(n=200):
     return [(i, " ".join(rng.choice(words[k], 12)), k, "s") for i, k in enumerate(np.repeat(list(words), n // 3))]
 
 
+def naive_buckets(text):
+    """Buckets of all n-grams of a text, one after the other, in plain integers."""
+    chars = [0, 0, *(ord(c) if ord(c) > 127 or c.isalpha() or c == "\0" else 32 for c in text.lower()), 0, 0]
+    mask, out = (1 << 64) - 1, []
+    for i in range(len(chars) - 2):
+        h = 0
+        for k in range(3):
+            h = (h + chars[i + k] + k + 1) * 0x9E3779B97F4A7C15 & mask
+            h ^= h >> 29
+            out.append((h * 0xBF58476D1CE4E5B9 & mask) >> (64 - language_id.BITS))
+    return out
+
+
+def test_language_model_is_that_of_plain_counts(spark):
+    rows = corpus(60)
+    model = language_id.fit(docs(spark, rows), smoothing=0.3)
+    counts = {k: np.full(1 << language_id.BITS, 0.3) for k in ("de", "en", "fr")}
+    for _, text, lang, _ in rows:
+        np.add.at(counts[lang], naive_buckets(text), 1)
+    asked = ["the shore", "über nicht und", "été où", "thé und the", "x" * 7]
+    _, scores = model.score(asked)
+    for text, got in zip(asked, scores, strict=True):
+        z = np.array([np.log(1 / 3) + np.log(c[naive_buckets(text)] / c.sum()).sum() for c in counts.values()])
+        assert got == pytest.approx(np.exp(z.max() - np.logaddexp.reduce(z)), rel=1e-3)
+
+
+def test_language_of_a_text_depends_on_that_text_alone(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abcé ß\U0001f600"), n)) for n in (1, 5, 900, 1000, 1001, 2500, 0, 30)]
+    whole = [sorted(naive_buckets(t)) for t in texts]
+    for piece in (7, 1000, 1 << 17):
+        monkeypatch.setattr(language_id, "PIECE_CHARS", piece)
+        got = {i: [] for i in range(len(texts))}
+        for who, starts, ids in language_id._grams(texts):
+            for i, a, b in zip(who, starts, [*starts[1:], len(ids)], strict=True):
+                got[i] += ids[a:b].ravel().tolist()
+        assert [sorted(got[i]) for i in range(len(texts)) if texts[i]] == [w for w, t in zip(whole, texts, strict=True) if t]
+
+
+def test_more_languages_than_a_block(spark):
+    rows = [(i, f"{chr(0x4E00 + i)}a{chr(0x4E00 + i)} " * 3, f"l{i:03d}", "s") for i in range(70)]
+    langs, scores = language_id.fit(docs(spark, rows)).score([r[1] for r in rows])
+    assert langs == [r[2] for r in rows] and min(scores) > 0.9
+    with pytest.raises(ValueError, match="languages"):
+        language_id.fit(docs(spark, rows), max_languages=69)
+
+
+def test_equally_likely_languages_go_by_name(spark):
+    model = language_id.fit(docs(spark, [(1, "same text", "b", "s"), (2, "same text", "a", "s")]))
+    assert model.score(["same text"]) == (["a"], [pytest.approx(0.5)])
+
+
 def test_language_held_out(spark):
     rows = corpus()
     df = docs(spark, rows)
@@ -112,6 +165,19 @@ def test_hash_is_minimal_and_perfect(encoder):
         assert [small.find(bytes([i])) for i in range(n)] == list(range(n)) and small.find(b"zz") == -1
 
 
+def test_hash_of_small_vocabularies_ends():
+    """Key sets of every small size find a displacement or another seed, within seconds."""
+    rng = np.random.default_rng(3)
+    began = time.monotonic()
+    for n in (*range(40), *rng.integers(40, 200, 60).tolist()):
+        keys = list({rng.bytes(int(rng.integers(1, 5))) for _ in range(n)})
+        m = bpe.MinimalPerfectHash(keys)
+        assert [m.find(k) for k in keys] == list(range(len(keys))) and sorted(m.at[m.at >= 0].tolist()) == list(range(len(keys)))
+    assert time.monotonic() - began < 60
+    with pytest.raises(ValueError, match="repeated"):
+        bpe.MinimalPerfectHash([b"a", b"a"])
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=80) | st.text(alphabet="ab \n'sé日1", max_size=300))
 def test_encodes_as_tiktoken(text):
