@@ -61,7 +61,7 @@ def parse_proposals(text: str) -> list[Proposal]:
     return [Proposal(e, str(why)) for e, why in pairs if isinstance(e, str) and validate(e)[0]]
 
 
-class FactorMiner:
+class Miner:
     """Rounds of proposals until the library is full, the rounds are used up, or it is stopped.
 
     A round's proposals are screened in one plan over the first assets, and those that pass are measured in one plan over all.

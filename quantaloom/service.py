@@ -13,7 +13,7 @@ from quantaloom.functions.ic import ic_series, ic_summary, to_long
 from quantaloom.functions.performance import equity
 from quantaloom.library import FactorLibrary
 from quantaloom.memory import ExperienceMemory
-from quantaloom.mine import FactorMiner
+from quantaloom.mine import Miner
 from quantaloom.plans.compiler import evaluate
 from quantaloom.plans.expression import validate
 from quantaloom.sources.panel import Panel
@@ -26,7 +26,7 @@ class Service:
 
     def __init__(self, panel: Panel, library: FactorLibrary, memory: ExperienceMemory) -> None:
         self.panel, self.library, self.memory = panel, library, memory
-        self.miner: FactorMiner | None = None
+        self.miner: Miner | None = None
         self.listeners: list[Callable[[str], Any]] = []
 
     def listen(self, callback: Callable[[str], Any]) -> bool:
@@ -43,11 +43,11 @@ class Service:
             except Exception:  # a listener that fails is dropped
                 self.listeners.remove(callback)
 
-    def start(self, **config: Any) -> FactorMiner:
+    def start(self, **config: Any) -> Miner:
         """A miner, ready to run; an error if one is running."""
         if self.miner and self.miner.running:
             raise RuntimeError("Mining is already running")
-        self.miner = FactorMiner(self.panel, self.library, self.memory, log=self.broadcast, **config)
+        self.miner = Miner(self.panel, self.library, self.memory, log=self.broadcast, **config)
         return self.miner
 
     def stop(self) -> str:

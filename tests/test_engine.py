@@ -13,7 +13,7 @@ from quantaloom import queries
 from quantaloom.functions import analytics, ic, performance
 from quantaloom.library import FactorLibrary, FactorRecord, Screened, dedup, screen
 from quantaloom.memory import ExperienceMemory, domain
-from quantaloom.mine import FactorMiner, Proposal, parse_proposals
+from quantaloom.mine import Miner, Proposal, parse_proposals
 from quantaloom.plans.compiler import evaluate
 from quantaloom.service import Service
 from quantaloom.sources.fundamentals import asof_join, join_daily

@@ -2,6 +2,10 @@
 
 import math
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -49,3 +53,24 @@ def test_entry(spark):
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) >= 70
+
+
+@pytest.mark.parametrize("left", [("quantaloom/llm", "tests/llm"), ("quantaloom/llm", "tests/llm", "corpus_pipeline.py"), ("corpus_pipeline.py",)])
+def test_works_without_the_corpus_part(tmp_path, left):
+    """A copy of the library without the corpus operators, the pipeline or both still imports and lists the other queries."""
+    root = Path(entry.__file__).resolve().parent
+    for name in ("quantaloom", "__spark_entry__.py", "corpus_pipeline.py"):
+        source = root / name
+        if source.is_dir():
+            shutil.copytree(source, tmp_path / name, ignore=shutil.ignore_patterns("__pycache__"))
+        elif source.exists():
+            shutil.copy(source, tmp_path / name)
+    for name in left:
+        gone = tmp_path / name
+        if gone.is_dir():
+            shutil.rmtree(gone)
+        else:
+            gone.unlink(missing_ok=True)
+    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q); print(len(q), 'pipeline' in q)"
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=120, check=True).stdout.split()
+    assert int(said[-2]) >= 70 and said[-1] == "False"
