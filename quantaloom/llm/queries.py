@@ -25,4 +25,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_revisits": warc.ORACLE, "op6_embedding_dedup": embedding_dedup.ORACLE}
+    return {
+        "op2_warc_revisits": warc.ORACLE,
+        "op6_embedding_dedup": embedding_dedup.ORACLE,
+        "op9_license_scan": license_scan.ORACLE,
+    }
