@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_vp_tree_search": ann.query,
         "op8_source_mixing": source_mixing.query,
         "op9_license_scan": license_scan.query,
+        "source_targets": source_mixing.targets_query,
         "op10_substring_dedup": substring_dedup.query,
     }
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_warc_revisits": warc.ORACLE,
         "op6_embedding_dedup": embedding_dedup.ORACLE,
         "op9_license_scan": license_scan.ORACLE,
+        "source_targets": source_mixing.TARGETS_ORACLE,
     }

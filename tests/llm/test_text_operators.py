@@ -11,6 +11,7 @@ import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quantaloom.llm import bpe, language_id, license_scan, quality_rules, source_mixing
 
@@ -261,6 +262,28 @@ def test_mix(spark):
     assert got.set_index("doc_id").taken.sort_index().equals(again.set_index("doc_id").taken.sort_index())
 
 
+def test_sources_of_few_documents_come_near_their_targets(spark):
+    """Fifty documents of very different lengths a source, one of them with a third of the words."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for s in range(12):
+        sizes = np.maximum(1, np.exp(rng.normal(4.5, 1.2, 49))).astype(int).tolist()
+        rows += [(len(rows) + i, "w " * n, "en", f"s{s:02d}") for i, n in enumerate([*sizes, sum(sizes) // 2])]
+    got = source_mixing.mix(docs(spark, rows)).toPandas()
+    off = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+    off = (off.taken / off.target - 1).abs()
+    assert off.max() < 0.03 and off.median() < 0.005
+    assert (got.taken <= 3 * got["size"]).all()
+
+
+def test_running_sums_over_ranges(spark):
+    rows = [(None if i == 7 else f"k{i * 37 % 101:03d}", i % 5) for i in range(101)]
+    df = spark.createDataFrame(rows, "source string, size long").repartition(5)
+    got = source_mixing._running(df, [F.col("source").asc_nulls_last()], ["size"], "test-running").collect()
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or ""))
+    assert [(r.source, r.at, r.before_size) for r in sorted(got, key=lambda r: r["at"])] == [(s, i, sum(x[1] for x in order[:i])) for i, (s, _) in enumerate(order)]
+
+
 def test_mix_expectation(spark):
     rows = [(i, "w " * (1 + i % 5), "en", "a" if i % 3 else "b") for i in range(600)]
     taken = [source_mixing.mix(docs(spark, rows), seed=s).toPandas().set_index("doc_id").copies.sort_index() for s in range(4)]
@@ -314,6 +337,47 @@ def test_edited_templates_are_found(spark):
     assert not got[2] and not got[3]
 
 
+def labels(spark, texts):
+    rows = license_scan.scan(docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()
+    return {r.doc_id: sorted({x["label"] for x in r.spans}) for r in sorted(rows, key=lambda r: r.doc_id)}
+
+
+def test_notices_and_their_relatives(spark):
+    texts = {
+        "This work is licensed under the GNU General Public License, version 3.": ["gpl"],
+        "It may be used under the terms of the GNU General Public License v2 or later": ["gpl"],
+        "licensed under the GNU Lesser General Public License": ["lgpl"],
+        "Licensed under the GNU Affero General Public License, version 3": ["agpl"],
+        "Licensed under CC BY 4.0.": ["cc-by"],
+        "Licensed under CC BY-SA 4.0.": ["cc-by-sa"],
+        "Licensed under CC BY-NC 4.0.": ["cc-by-nc"],
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": ["cc-by-sa"],
+        "This work is licensed under a Creative Commons Attribution 4.0 International License": ["cc-by"],
+        "Licensed under the BSD 3-Clause License": ["bsd"],
+        "Licensed under the Mozilla Public License, Version 2.0": ["mpl-2"],
+        "Released under the MIT License.": ["mit"],
+        "see the GNU General Public License for more details": [],
+        "the mit campus is under construction and the license is not": [],
+        "license under cc": [],
+    }
+    assert list(labels(spark, texts).values()) == [texts[t] for t in texts]
+
+
+def test_notices_with_edits(spark):
+    """A changed, lost or added word leaves a notice a notice, unless it is one of the words that tell licenses apart."""
+    edits = {
+        "this work is available under the gnu general public license version 3": ["gpl"],
+        "licensed under gnu general public license terms": [],
+        "licensed under our gnu general public license": [],
+        "dual licensed under the the gnu general public license": ["gpl"],
+        "licensed under the gnu general private license": [],
+        "this work is licenced under a creative commons attribution sharealike 4 0 international license": ["cc-by-sa"],
+        "this work is licensed under a creative commons attribution sharealike 4 0 worldwide license": ["cc-by-sa"],
+        "this is free and unencumbered software put into the public domain": ["unlicense"],
+    }
+    assert list(labels(spark, edits).values()) == [edits[t] for t in edits]
+
+
 def test_languages_beyond_the_bound_are_an_error(spark):
     df = spark.createDataFrame([(i, f"text {i} in l{i % 3}", f"l{i % 3}") for i in range(30)], "doc_id long, text string, lang string")
     assert language_id.fit(df, max_languages=3).languages == ["l0", "l1", "l2"]
