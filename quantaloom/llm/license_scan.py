@@ -65,8 +65,8 @@ TEMPLATES = (
 )
 #: ASCII that separates words; A-Z are letters, lowered before comparing.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: The share of a template's trigrams that must be met; of a template of at most SHORT trigrams a half, as one changed word costs three.
-COVER, SHORT_COVER, SHORT = 0.6, 0.5, 10
+#: The share of a template's trigrams that must be met; more of a template of at most SHORT trigrams, most of which are the license's name, as names are also mentioned.
+COVER, SHORT_COVER, SHORT = 0.6, 0.8, 6
 DRIFT = 2
 
 
