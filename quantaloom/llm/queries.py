@@ -31,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_embedding_dedup": embedding_dedup.ORACLE,
         "op9_license_scan": license_scan.ORACLE,
         "source_targets": source_mixing.TARGETS_ORACLE,
+        "op10_substring_dedup": substring_dedup.ORACLE,
     }

@@ -1,15 +1,14 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut into sentences; from every sentence on, and up to every sentence, the shortest run of several consecutive sentences
-that holds enough words is hashed, in lower case and with single spaces.  The hashes are reduced to the first document of each, joined
-back to the runs globally, and every sentence that a run other than the first occurrence covers is removed.  Documents are ordered by id,
-occurrences within one by position.
+A text is cut into sentences, and every run of several consecutive sentences is hashed, in lower case and with single spaces.  The
+hashes are reduced to the first document of each, joined back to the runs globally, and every sentence that a run other than the first
+occurrence covers is removed.  Documents are ordered by id, occurrences within one by position.
 
-That covers every repeated run of enough words, however many sentences it has: the shortest run from each of its sentences lies within
-it, but for the last few, and these are in the shortest run up to its end.
+Several are three or more, of whatever length, and two that hold enough words.  Of these runs the shortest from each sentence on, and up
+to each, stand for all: a repeated longer run repeats the ones that it is made of, and these cover it.
 
-Hashes are pre-aggregated before they move, so a passage that is in very many documents is one row per task; a join
-partition that it makes large can be split, as nothing needs a hash's runs in one place.
+Runs are told apart by 128 bits.  Hashes are pre-aggregated before they move, so a passage that is in very many documents is one row per
+task; a join partition that it makes large can be split, as nothing needs a hash's runs in one place.
 """
 
 from __future__ import annotations
@@ -28,9 +27,8 @@ from pyspark.sql.types import IntegerType, StructType
 from .hashing import mix64, salts
 from .workspace import materialize, table
 
-#: (sentences, least words): every run of so many consecutive sentences or more with so many words at least is compared.  A sentence has
-#: one word at least, so that a run of over 12 sentences holds one of 12: these are all lengths that a run of 12 words need have.
-SPANS = ((2, 20), *((n, 12) for n in range(3, 13)))
+#: (sentences, least words): every run of so many consecutive sentences or more with so many words at least is compared.
+SPANS = ((3, 1), (2, 20))
 #: Scripts written without spaces: Thai, Lao, Burmese, Khmer, kana, Chinese characters.  Two characters count as a word.
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 #: So many characters count as a word at least, for what has no spaces in other scripts (encoded data, addresses).
@@ -73,20 +71,20 @@ def shortest_runs(size: np.ndarray, lengths: tuple[tuple[int, int], ...] = SPANS
 
 
 def spans(text: str, lengths: tuple[tuple[int, int], ...] = SPANS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first sentence, sentences, whether the text has it earlier) of each run of a text."""
+    """(two 64-bit hashes [runs, 2], first sentence, sentences, whether the text has it earlier) of each run of a text."""
     found, at = pieces(text)
     sentences = [" ".join(found[i].lower().split()) for i in at]
-    h = np.array([xxhash.xxh3_64_intdigest(t) for t in sentences], np.uint64)
+    h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t) for t in sentences), np.uint64).reshape(-1, 2)
     where, size = shortest_runs(sizes(sentences), lengths)
-    hashes = np.empty(len(where), np.uint64)
+    hashes = np.empty((len(where), 2), np.uint64)
     for n in np.unique(size).tolist():
         own = np.flatnonzero(size == n)
-        run = np.full(len(own), n, np.uint64)
-        for k, c in enumerate(salts(n, 900 + n)):
+        run = np.full((len(own), 2), n, np.uint64)
+        for k, c in enumerate(salts(2 * n, 900 + n).reshape(n, 2)):
             run += h[where[own] + k] * c
         hashes[own] = mix64(run)
     again = np.ones(len(hashes), bool)
-    again[np.unique(hashes, return_index=True)[1]] = False  # the first place of each: runs stand in order
+    again[np.unique(hashes, axis=0, return_index=True)[1]] = False  # the first place of each: runs stand in order
     return hashes, where, size, again
 
 
@@ -102,7 +100,8 @@ def repeated_runs(docs: DataFrame, *, lengths: tuple[tuple[int, int], ...] = SPA
             def flush() -> pa.RecordBatch:
                 h, at, size, again = (np.concatenate(c) for c in columns)
                 ids = b.column(0).take(pa.array(np.concatenate(rows)))
-                return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids, pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(again)], names=["h", "id", "at", "size", "again"])
+                h = np.ascontiguousarray(h.T).view(np.int64)
+                return pa.RecordBatch.from_arrays([pa.array(h[0]), pa.array(h[1]), ids, pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(again)], names=["h", "g", "id", "at", "size", "again"])
 
             for i, t in enumerate(b.column(1)):
                 found = spans(t.as_py(), lengths)
@@ -117,9 +116,9 @@ def repeated_runs(docs: DataFrame, *, lengths: tuple[tuple[int, int], ...] = SPA
             if held:
                 yield flush()
 
-    runs = materialize(base.mapInArrow(run, f"h long, id {kind}, at int, size int, again boolean"), "sentence-runs")
-    first = runs.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max(F.col("again").cast("int")).alias("twice")).where("first < last or twice = 1").select("h", "first")
-    later = runs.join(first, "h").where("id != first or again")
+    runs = materialize(base.mapInArrow(run, f"h long, g long, id {kind}, at int, size int, again boolean"), "sentence-runs")
+    first = runs.groupBy("h", "g").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max(F.col("again").cast("int")).alias("twice")).where("first < last or twice = 1").select("h", "g", "first")
+    later = runs.join(first, ["h", "g"]).where("id != first or again")
     return later.groupBy("id").agg(F.collect_list(F.struct("at", "size")).alias("runs"))
 
 
@@ -132,9 +131,11 @@ def remove_repeats(docs: DataFrame, *, lengths: tuple[tuple[int, int], ...] = SP
     compared nor changed; rows that repeat an id count as one document.  Other columns are kept.
     """
     keep = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
-    found = repeated_runs(docs, lengths=lengths, id_col=id_col, text_col=text_col).select(F.col("id").alias("__id"), F.col("runs").alias("__runs"))
-    joined = docs.select(*keep).join(found, F.col(id_col) == F.col("__id"), "left").select(*keep, "__runs")
+    found = repeated_runs(docs, lengths=lengths, id_col=id_col, text_col=text_col)
     where = keep.index(text_col)
+    # Columns travel under names of their own, so that theirs clash with nothing.
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
+    joined = rows.join(found, F.col(f"c{keep.index(id_col)}") == F.col("id"), "left").drop("id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -164,3 +165,20 @@ def remove_repeats(docs: DataFrame, *, lengths: tuple[tuple[int, int], ...] = SP
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_sentences", "n_removed", "text")
+
+
+#: Fixed marks stand for the cuts: char 2 before, char 3 after the gap between two sentences.
+ORACLE = """
+WITH t AS (SELECT doc_id, text, regexp_replace(regexp_replace(coalesce(text, ''), '([.!?])(\\s+)|(\\s*\\n\\s*)', '\\1' || chr(2) || '\\2\\3' || chr(3), 'g'), '([。！？])', '\\1' || chr(2) || chr(3), 'g') AS marked FROM documents),
+p AS (SELECT doc_id, unnest(string_split(marked, chr(3))) AS piece, unnest(range(len(string_split(marked, chr(3))))) AS place FROM t),
+q AS (SELECT doc_id, place, piece, split_part(piece, chr(2), 1) AS said FROM p),
+s AS (SELECT doc_id, place, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS i, lower(regexp_replace(trim(said, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '\\s+', ' ', 'g')) AS said FROM q WHERE regexp_matches(said, '\\S')),
+z AS (SELECT *, greatest(length(said) - length(replace(said, ' ', '')) + 1, length(said) // 20) AS size FROM s),
+r AS (SELECT doc_id, i, 3 AS n, said || chr(1) || lead(said) OVER o || chr(1) || lead(said, 2) OVER o AS run FROM z WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+  UNION ALL SELECT doc_id, i, 2, CASE WHEN size + lead(size) OVER o >= 20 THEN said || chr(1) || lead(said) OVER o END FROM z WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+a AS (SELECT *, row_number() OVER (PARTITION BY n, run ORDER BY doc_id, i) AS k FROM r WHERE run IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS i FROM a WHERE k > 1),
+c AS (SELECT s.doc_id, s.place, g.i IS NOT NULL AS gone FROM s LEFT JOIN g ON g.doc_id = s.doc_id AND g.i = s.i),
+o AS (SELECT q.doc_id, count(c.gone) AS n_sentences, count(*) FILTER (c.gone) AS n_removed, string_agg(replace(q.piece, chr(2), ''), '' ORDER BY q.place) FILTER (NOT coalesce(c.gone, false)) AS left_ FROM q LEFT JOIN c ON c.doc_id = q.doc_id AND c.place = q.place GROUP BY q.doc_id)
+SELECT t.doc_id, CAST(o.n_sentences AS INTEGER) AS n_sentences, CAST(o.n_removed AS INTEGER) AS n_removed, CASE WHEN o.n_removed > 0 THEN coalesce(o.left_, '') ELSE t.text END AS text FROM t JOIN o ON o.doc_id = t.doc_id
+"""
