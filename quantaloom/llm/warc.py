@@ -1,30 +1,34 @@
 """WARC archives: writing, reading, and revisit resolution.
 
 Archives are gzip files that Spark's text writer and reader handle, so they can lie in any store that Spark reaches; a record
-is one row.  The reader splits a file where ``\\r\\n\\r\\nWARC/1.1\\r\\n`` stands and then goes by Content-Length: a payload
-that holds that very line is put together again.
+is one row.  The reader splits a file where ``\\r\\n\\r\\nWARC/1.`` stands and then goes by Content-Length: a payload
+that holds these very bytes is put together again.
 
-Resolution shuffles headers only: (digest, rank) are reduced to each digest's original, revisits are
-joined to the originals, and the archives are rewritten with fresh headers, payloads of revisits
-left out.
+Resolution shuffles headers only: (digest, rank) are reduced to each digest's original, and revisits are
+joined to the originals.  What is decided about the records of an archive is gathered by archive; archives are rewritten in groups,
+each with the decisions of its own archives at hand, a bounded number, so that payloads go from the old archive to
+the new one within a task.  Fresh headers are written, payloads of revisits left out.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workspace import materialize, shared_dir, table
+from .workspace import free, materialize, shared_dir, table
 
 VERSION = b"WARC/1.1\r\n"
-BREAK = b"\r\n\r\n" + VERSION
+BREAK = b"\r\n\r\nWARC/1."  # of versions 1.0 and 1.1
+#: Records that become revisits, whose ids are broadcast with a group of archives (some 200 bytes each).  One archive may exceed it.
+DECISIONS = 500_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
-HEADS = "record_id string, record_type string, uri string, date string, digest string, refers_to string, length long, computed string"
+HEADS = "record_id string, record_type string, uri string, date string, digest string, refers_to string, length long, computed string, file string"
 
 
 def _line(name: str, value: Column) -> Column:
@@ -33,7 +37,7 @@ def _line(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), safe, F.lit("\r\n")), F.lit(""))
 
 
-def write_warc(records: DataFrame, path: str) -> None:
+def write_warc(records: DataFrame, path: str, *, mode: str = "error") -> None:
     """Write (record_id, record_type, uri, date, digest, refers_to, payload binary) as WARC/1.1 files under ``path``.
 
     ``digest`` is bare hex SHA-1.  A response's block is an HTTP response head and the payload (null: empty); a revisit's
@@ -48,49 +52,53 @@ def write_warc(records: DataFrame, path: str) -> None:
         _line("WARC-Profile", F.when(revisit, F.lit(PROFILE))), F.lit("Content-Type: application/http; msgtype=response\r\n"), _line("Content-Length", F.octet_length(head) + F.octet_length(body)), F.lit("\r\n"), head,
     )
     whole = F.concat(lines.cast("binary"), body, F.lit(b"\r\n"))
-    records.select(whole.cast("string").alias("value")).write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", "\r\n").text(path)
+    records.select(whole.cast("string").alias("value")).write.mode(mode).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", "\r\n").text(path)
 
 
 class _Reader:
-    """Puts records together from the fragments of a file, in order."""
+    """Puts records together from the fragments of a file, in order; the fragments of a record are joined once."""
 
     def __init__(self) -> None:
-        self.file, self.held = None, b""
+        self.file, self.parts, self.have, self.need = None, [], 0, 0
 
     def feed(self, file: str, fragment: bytes) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
         """(headers, HTTP head, payload) of the records that end with this fragment: none, one, or, if a payload ends like a separator, more."""
         if file != self.file:
-            if self.held:
-                raise ValueError(f"{self.file}: the last record is cut short")
+            self.close()
             self.file = file
-            fragment = fragment.removeprefix(VERSION)
-        elif self.held:
-            fragment = self.held + BREAK + fragment
+            fragment = fragment.removeprefix(BREAK.strip())
+        elif self.parts:
+            fragment = BREAK + fragment
+        self.parts.append(fragment)
+        self.have += len(fragment)
+        if self.have < self.need:
+            return
+        data, at = b"".join(self.parts), 0
+        self.parts, self.have, self.need = [], 0, 0
         while True:
-            head, _, block = fragment.partition(b"\r\n\r\n")
-            headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n"))}
-            n = int(headers.get("content-length", "0"))
-            if len(block) < n:
-                self.held = fragment
+            head = data.find(b"\r\n\r\n", at)
+            lines = data[at : max(head, at)].decode("utf-8", "replace").split("\r\n")[1:]  # the first has the rest of the version
+            headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+            start = head + 4
+            stop = start + int(headers.get("content-length", "0"))
+            if head < 0 or len(data) < stop:
+                self.parts, self.have, self.need = [data[at:]], len(data) - at, stop - at if head >= 0 else 0
                 return
-            self.held = b""
+            http, payload = b"", data[start:stop]
             if headers.get("content-type", "").startswith("application/http"):
-                http, _, payload = block[:n].partition(b"\r\n\r\n")
-            else:
-                http, payload = b"", block[:n]
+                http, _, payload = payload.partition(b"\r\n\r\n")
             yield headers, http, payload
-            rest = block[n:]
-            if not rest.startswith(BREAK):
+            if not data.startswith(BREAK, stop):
                 return
-            fragment = rest.removeprefix(BREAK)
+            at = stop + len(BREAK)
 
     def close(self) -> None:
-        if self.held:
+        if self.parts:
             raise ValueError(f"{self.file}: the last record is cut short")
 
 
-def read_warc(spark: SparkSession, path: str, *, payload: bool = False) -> DataFrame:
-    """Records of all archives under ``path``: the header fields, the payload's length and computed SHA-1, and, if asked for, the payload.
+def read_warc(spark: SparkSession, path: str | list[str], *, payload: bool = False) -> DataFrame:
+    """Records of all archives under ``path``: the header fields, the payload's length and computed SHA-1, the archive, and, if asked for, the payload.
 
     A record without payload (a revisit) has length and computed digest null.  An archive that ends within a record is an error.
     """
@@ -102,14 +110,14 @@ def read_warc(spark: SparkSession, path: str, *, payload: bool = False) -> DataF
             columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)]
             return pa.RecordBatch.from_arrays(columns, names=names)
 
-        kinds = [pa.string()] * 6 + [pa.int64(), pa.string()] + [pa.binary()] * payload
+        kinds = [pa.string()] * 6 + [pa.int64(), pa.string(), pa.string()] + [pa.binary()] * payload
         names = [c.split()[0] for c in HEADS.split(", ")] + ["payload"] * payload
         bare = lambda v: v.strip("<>") if v else None
         for b in batches:
             for file, fragment in zip(b.column(0), b.column(1), strict=True):
                 for h, _, body in reader.feed(file.as_py(), fragment.as_py()):
                     kept = h.get("warc-type") != "revisit"
-                    row = (bare(h.get("warc-record-id")), h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-date"), (h.get("warc-payload-digest") or "").rpartition(":")[2] or None, bare(h.get("warc-refers-to")), len(body) if kept else None, hashlib.sha1(body).hexdigest() if kept else None)
+                    row = (bare(h.get("warc-record-id")), h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-date"), (h.get("warc-payload-digest") or "").rpartition(":")[2] or None, bare(h.get("warc-refers-to")), len(body) if kept else None, hashlib.sha1(body).hexdigest() if kept else None, file.as_py())
                     rows.append((*row, body if kept else None) if payload else row)
                     size += len(body) * payload + 200
                     if size > 4 << 20:
@@ -152,16 +160,36 @@ def resolve_revisits(spark: SparkSession, source: str, target: str, *, min_bytes
     originals = long_ones.groupBy(F.col("computed").alias("original_digest")).agg(F.max(F.struct(F.col("rank").isNotNull().alias("known"), "rank", "record_id")).alias("top"), F.count("*").alias("n"))
     originals = originals.join(heads.where(~response).select(F.col("digest").alias("original_digest")).distinct().withColumn("asked", F.lit(True)), "original_digest", "left").where("n > 1 or asked")
     digest = F.when(response, F.col("computed")).otherwise(F.col("digest"))
-    asks = heads.where(~response | (F.col("length") >= min_bytes)).select("record_id", "rank", digest.alias("original_digest"), response.alias("own"))
+    asks = heads.where(~response | (F.col("length") >= min_bytes)).select("file", "record_id", "rank", digest.alias("original_digest"), response.alias("own"))
     decided = asks.join(originals, "original_digest").where("not own or (record_id != top.record_id and not (rank <=> top.rank))")
-    decided = materialize(decided.select("record_id", F.col("top.record_id").alias("original")).distinct(), "warc-decisions")
-    records = read_warc(spark, source, payload=True).join(decided, "record_id", "left")
-    gone = F.col("original").isNotNull()
-    fresh = records.select(
-        "record_id", F.when(gone, F.lit("revisit")).otherwise(F.col("record_type")).alias("record_type"), "uri", "date",
-        F.coalesce("computed", "digest").alias("digest"), F.coalesce("original", "refers_to").alias("refers_to"), "payload",
-    )
-    write_warc(fresh, target)
+    decided = materialize(decided.select("file", "record_id", F.col("top.record_id").alias("original")).distinct(), "warc-decisions")
+    counts = heads.select("file").distinct().join(decided.groupBy("file").agg(F.count("*").alias("n")), "file", "left").orderBy("file").collect()  # one row per archive
+    free(heads)
+    for archives in _archive_groups([(r["file"], r["n"] or 0) for r in counts]):
+        own = decided.where(F.col("file").isin(archives)) if len(archives) < len(counts) else decided
+        records = read_warc(spark, [unquote(f) for f in archives], payload=True).join(F.broadcast(own), ["file", "record_id"], "left")
+        gone = F.col("original").isNotNull()
+        fresh = records.select(
+            "record_id", F.when(gone, F.lit("revisit")).otherwise(F.col("record_type")).alias("record_type"), "uri", "date",
+            F.coalesce("computed", "digest").alias("digest"), F.coalesce("original", "refers_to").alias("refers_to"), "payload",
+        )
+        write_warc(fresh, target, mode="append")
+    if not counts:
+        write_warc(read_warc(spark, source, payload=True), target)
+    free(decided)
+
+
+def _archive_groups(counts: list[tuple[str, int]], most: int | None = None) -> Iterator[list[str]]:
+    """Archives (name, decisions) in groups of at most ``most`` decisions; one that has more is a group of its own."""
+    group, held = [], 0
+    for name, n in counts:
+        if group and held + n > (most or DECISIONS):
+            yield group
+            group, held = [], 0
+        group.append(name)
+        held += n
+    if group:
+        yield group
 
 
 def resolved(heads: DataFrame) -> DataFrame:
