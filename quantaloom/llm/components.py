@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import materialize
+from .workspace import free, materialize
 
 
 def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
@@ -30,8 +30,22 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> Da
         parents = small.groupBy("u").agg(F.count("*").alias("n"))
         several = parents.where("n > 1").limit(1).count()
         chained = small.join(parents.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count()
+        free(e, large)
         if not several and not chained:
             break
         e = small
     roots = small.select(F.col("v").alias("u"), "v").distinct()
     return small.unionByName(roots).select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def labelled(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``labels`` (key, rows, ...) but for ``rows``, which says how many rows have a key; null where there is none.
+
+    Keys of many rows are few, at most 10,000 by the way they are chosen: their labels are broadcast, so that these rows stay where they
+    are.  Only rows of the other keys are shuffled.
+    """
+    whole = labels.agg(F.sum("rows")).first()[0] or 0
+    most = max(1000, whole // 10_000)
+    common = F.broadcast(labels.where(F.col("rows") > most).drop("rows"))
+    rare = labels.where(F.col("rows") <= most).drop("rows")
+    return rows.join(common, key).unionByName(rows.join(common, key, "left_anti").join(rare, key, "left"))

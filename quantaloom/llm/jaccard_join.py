@@ -6,7 +6,7 @@ cut into ``n1`` parts, so that in one of them the sets differ in at most one ele
 of the three agree there.  A signature is the content of two of three: similar sets share one for certain.
 A set has signatures for its own band and for the next.
 
-1. Equal sets are one class, told by a 64-bit hash of the set; a task sends a class's signatures once.
+1. Equal sets are one class, told by 128 bits and named by 64 of them, or by others if two classes share these; a task sends a class's signatures once.
 2. Signatures are shuffled and sorted; classes that share one form a bucket.  Buckets of equal members are told once.
 3. In a few rounds every class is compared, exactly, with the hub (least member of a bucket) that it shares most signatures with and
    that is not yet in its component; the links found form components.
@@ -28,28 +28,47 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, labelled
 from .hashing import groups, mix64, salts, shingles, word_hashes
-from .workspace import materialize, release, table
+from .workspace import free, materialize, table
 
 _SALT = salts(64, 31)
 SEEN = 1 << 20
 RUN = 1 << 16
 BLOCK = 2048
 ROUNDS = 3
+#: Classes that share the first 64 bits of their hashes with another: 3 are expected in 10^10.  More than so many are an error.
+TWINS = 100_000
 
 
 @dataclass
 class Scheme:
-    """Two sets link when ``den * intersection >= num * union``; sets are of ``width``-word shingles."""
+    """Two sets link when ``den * intersection >= num * union``; sets are of ``width``-word shingles.
+
+    ``bits``: of the hash that names a class; ``twins``: the names of classes, by (hash, second hash), that share a hash with another.
+    """
 
     width: int = 5
     num: int = 80
     den: int = 100
+    bits: int = 64
     ends: list[int] = field(default_factory=lambda: [0])
+    twins: dict[tuple[int, int], int] = field(default_factory=dict)
+    shared: frozenset[int] = frozenset()
+
+    def hash(self, u: np.ndarray, which: int = 0) -> int:
+        """One of two hashes of a set, as a signed 64-bit number."""
+        x = mix64(mix64(u ^ _SALT[5 + 8 * which]).sum(dtype=np.uint64, keepdims=True) + np.array([len(u)], np.uint64) * _SALT[6 + 8 * which])
+        return int((x >> np.uint64(64 - self.bits) if which == 0 else x).view(np.int64)[0])
+
+    def name(self, u: np.ndarray) -> int:
+        """The name of the class of a set."""
+        h = self.hash(u)
+        return self.twins[h, self.hash(u, 1)] if h in self.shared else h
 
     def band(self, n: int) -> int:
         """The number of the size band of sets of n elements, from 1."""
@@ -91,33 +110,48 @@ class Scheme:
         return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def _key(u: np.ndarray) -> np.uint64:
-    """A hash of a set."""
-    return mix64(mix64(u ^ _SALT[5]).sum(dtype=np.uint64, keepdims=True) + np.array([len(u)], np.uint64) * _SALT[6])[0]
-
-
 def _sets(batch: pa.RecordBatch, column: int, width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for part in groups(batch, batch.schema.names[column]):
         yield part, shingles(*word_hashes(part.column(column)), width)
 
 
-def _fold(sketch: np.ndarray, words: int) -> np.ndarray:
-    while len(sketch) > words:
-        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
-    return sketch
+def _folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches, one a row, as if they had been made with fewer words."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
 
 
 def set_sizes(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """(id, n, h, sketch) of documents (id, text): size of the shingle set, its hash and its sketch (null if empty)."""
+    """(id, n, h, g, sketch) of documents (id, text): size of the shingle set, its two hashes and its sketch (null if empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, sets in _sets(b, 1, scheme.width):
-                h = pa.array([int(_key(u).view(np.int64)) if len(u) else None for u in sets], pa.int64())
+                h, g = (pa.array([scheme.hash(u, k) if len(u) else None for u in sets], pa.int64()) for k in (0, 1))
                 sketch = pa.array([scheme.sketch(u).tobytes() if len(u) else None for u in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(u) for u in sets], pa.int64()), h, sketch], names=["id", "n", "h", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(u) for u in sets], pa.int64()), h, g, sketch], names=["id", "n", "h", "g", "sketch"])
+
+    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, n long, h long, g long, sketch binary")
 
-    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, n long, h long, sketch binary")
+
+def _named(sizes: DataFrame, scheme: Scheme) -> DataFrame:
+    """``sizes`` (id, n, h, sketch), h being the name of the class; classes that share a hash get names of their own, which ``scheme`` is told."""
+    twins = sizes.where("h is not null").groupBy("h").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x < y").select("h").limit(TWINS + 1)
+    shared = [r["h"] for r in twins.collect()]
+    if len(shared) > TWINS:
+        raise ValueError("too many classes share a hash")
+    if not shared:
+        return sizes.drop("g")
+    few = sizes.sparkSession.createDataFrame([(h,) for h in shared], "h long")
+    pairs = sizes.join(F.broadcast(few), "h", "left_semi").select("h", "g").distinct().collect()
+    for h, g in sorted(map(tuple, pairs)):
+        both = np.array([h, g], np.int64).view(np.uint64)
+        scheme.twins[h, g] = int(mix64(mix64(both[:1]) + both[1:]).view(np.int64)[0])
+    scheme.shared = frozenset(shared)
+    names = sizes.sparkSession.createDataFrame([(*k, v) for k, v in scheme.twins.items()], "h long, g long, own long")
+    return sizes.join(F.broadcast(names), ["h", "g"], "left").select("id", "n", F.coalesce("own", "h").alias("h"), "sketch")
 
 
 def _signed(docs: DataFrame, scheme: Scheme) -> DataFrame:
@@ -129,7 +163,7 @@ def _signed(docs: DataFrame, scheme: Scheme) -> DataFrame:
             for _, sets in _sets(b, 1, scheme.width):
                 sigs, owners = [], []
                 for u in sets:
-                    if not len(u) or (h := int(_key(u).view(np.int64))) in seen:
+                    if not len(u) or (h := scheme.name(u)) in seen:
                         continue
                     if len(seen) >= SEEN:
                         seen.clear()
@@ -216,7 +250,7 @@ def _contents(docs: DataFrame, classes: DataFrame, pairs: DataFrame, scheme: Sch
             for _, sets in _sets(b, 1, scheme.width):
                 h, items = [], []
                 for u in sets:
-                    if len(u) and (key := int(_key(u).view(np.int64))) not in seen:
+                    if len(u) and (key := scheme.name(u)) not in seen:
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(key)
@@ -225,7 +259,9 @@ def _contents(docs: DataFrame, classes: DataFrame, pairs: DataFrame, scheme: Sch
                 yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(items, pa.binary())], names=["h", "items"])
 
     found = docs.join(chosen, docs["id"].eqNullSafe(chosen["c"]), "left_semi").select("id", "text").mapInArrow(run, "h long, items binary")
-    return materialize(found, "contents")
+    found = materialize(found, "contents")
+    free(chosen)
+    return found
 
 
 def _verified(pairs: DataFrame, contents: DataFrame, scheme: Scheme) -> DataFrame:
@@ -262,12 +298,16 @@ def _may_link(pairs: DataFrame, classes: DataFrame, scheme: Scheme) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            most = scheme.differ(batch.column(3).to_numpy(), batch.column(4).to_numpy())
-            keep = np.abs(batch.column(3).to_numpy() - batch.column(4).to_numpy()) <= most
-            for i in np.flatnonzero(keep).tolist():
-                x, y = np.frombuffer(batch.column(5)[i].as_buffer(), np.uint64), np.frombuffer(batch.column(6)[i].as_buffer(), np.uint64)
-                least = min(len(x), len(y))
-                keep[i] = np.bitwise_count(_fold(x, least) ^ _fold(y, least)).sum() <= most[i]
+            n = [batch.column(i).to_numpy() for i in (3, 4)]
+            width = [pc.binary_length(batch.column(i)).to_numpy() // 8 for i in (5, 6)]
+            most = scheme.differ(*n)
+            keep = np.abs(n[0] - n[1]) <= most
+            for wide in np.unique(np.stack(width)[:, keep], axis=1).T.tolist():  # sketches of two widths at a time
+                rows = np.flatnonzero(keep & (width[0] == wide[0]) & (width[1] == wide[1]))
+                for at in range(0, len(rows), 4096):
+                    own = rows[at : at + 4096]
+                    x, y = (_folded(np.frombuffer(b"".join(batch.column(i).take(pa.array(own)).to_pylist()), np.uint64).reshape(len(own), -1), min(wide)) for i in (5, 6))
+                    keep[own] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most[own]
             yield batch.select(["a", "b", "votes"]).filter(pa.array(keep))
 
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "votes", "na", "nb", "sa", "sb")
@@ -288,7 +328,7 @@ def _across(rows: DataFrame, scheme: Scheme) -> DataFrame:
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("member", ignore_index=True).drop_duplicates("member", ignore_index=True)
         least = min(len(s) for s in f["sketch"]) // 8
-        words = np.stack([_fold(np.frombuffer(s, np.uint64), least) for s in f["sketch"]])
+        words = np.concatenate([_folded(np.frombuffer(s, np.uint64).reshape(1, -1), least) for s in f["sketch"]])
         n, comp, member, side = (f[c].to_numpy() for c in ("n", "comp", "member", "own"))
         lo, hi = int(f["lo"].iloc[0]), int(f["hi"].iloc[0])
         left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
@@ -319,19 +359,19 @@ def jaccard_components(docs: DataFrame, scheme: Scheme | None = None, *, id_col:
     Words are runs other than 0x20 and 0x09-0x0D, A-Z lowered; a text of fewer words than a shingle has one shingle, its whole
     sequence; an empty or null text has none, links with nothing, and is its own component.  Ids are expected to be unique: rows that
     repeat one are each compared, and share the smaller of their components' ids only if their sets link.  Rows with a null id
-    take part; a component of null ids alone is null.  Sets are told apart by 64-bit hashes.
+    take part; a component of null ids alone is null.
     """
     scheme = scheme or Scheme()
+    scheme = Scheme(scheme.width, scheme.num, scheme.den, scheme.bits)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sizes = materialize(set_sizes(base, scheme), "set-sizes")
+    hashed = materialize(set_sizes(base, scheme), "set-sizes")
+    sizes = _named(hashed, scheme)
     buckets = materialize(_bucketed(_signed(base.where("text is not null"), scheme)), "buckets")
-    release(docs.sparkSession)
     classes = sizes.join(buckets.select(F.col("member").alias("h")).distinct(), "h", "left_semi").groupBy("h")
     classes = materialize(classes.agg(F.first("n").alias("n"), F.min("id").alias("id"), F.first("sketch").alias("sketch")), "classes")
     pairs = buckets.where("hub < member").groupBy(F.col("hub").alias("a"), F.col("member").alias("b")).agg(F.sum("votes").alias("votes"))
     pairs = materialize(_may_link(pairs, classes, scheme), "hub-pairs")
     contents = _contents(base, classes, pairs, scheme)
-    release(docs.sparkSession)
     tested = links = comps = None
     for _ in range(ROUNDS):
         ask = pairs
@@ -341,9 +381,12 @@ def jaccard_components(docs: DataFrame, scheme: Scheme | None = None, *, id_col:
         ask = materialize(ask.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", "b"), "asked")
         found = materialize(_verified(ask, contents, scheme), "links")
         tested, links = (ask, found) if links is None else (tested.unionByName(ask), links.unionByName(found))
-        comps = materialize(connected_components(links), "comps").select(F.col("node").alias("member"), F.col("component").alias("comp"))
+        if comps is not None:
+            free(comps)
+        comps = materialize(connected_components(links).select(F.col("node").alias("member"), F.col("component").alias("comp")), "comps")
         if not found.limit(1).count():
             break
+    free(contents)
     # What the rounds left open: pairs with hubs, and pairs without.  The buckets of a hub are joined to one, since they mostly
     # have the same members, whose pairs would otherwise be looked at for each signature.
     apart = pairs.join(comps.withColumnsRenamed({"member": "a", "comp": "ca"}), "a", "left").join(comps.withColumnsRenamed({"member": "b", "comp": "cb"}), "b", "left")
@@ -351,18 +394,22 @@ def jaccard_components(docs: DataFrame, scheme: Scheme | None = None, *, id_col:
     rows = buckets.where("hub < member").select(F.col("hub").alias("bucket"), "member").distinct().join(comps, "member", "left").withColumn("comp", F.coalesce("comp", "member"))
     rows = materialize(rows, "bucket-comps")
     open_ones = rows.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("bucket")
-    rows = rows.join(open_ones, "bucket").join(classes.select(F.col("h").alias("member"), "n", "sketch"), "member")
+    still = rows.join(open_ones, "bucket").join(classes.select(F.col("h").alias("member"), "n", "sketch"), "member")
     # A member has no more hubs than signatures.
     hubs = buckets.where("hub < member").groupBy("member").agg(F.collect_set("hub").alias("hubs"))
-    rows = rows.join(hubs, "member")
-    more = materialize(_across(rows, scheme).unionByName(apart).distinct().join(tested, ["a", "b"], "left_anti"), "more-pairs")
-    release(docs.sparkSession)
-    links = links.unionByName(_verified(more, _contents(base, classes, more, scheme), scheme))
-    comps = connected_components(links).select(F.col("node").alias("h"), F.col("component").alias("comp"))
+    still = still.join(hubs, "member")
+    more = materialize(_across(still, scheme).unionByName(apart).distinct().join(tested, ["a", "b"], "left_anti"), "more-pairs")
+    free(rows, buckets, pairs, comps)
+    contents = _contents(base, classes, more, scheme)
+    late = materialize(_verified(more, contents, scheme), "links")
+    free(contents, more, classes)
+    comps = materialize(connected_components(links.unionByName(late)).select(F.col("node").alias("h"), F.col("component").alias("comp")), "comps")
 
     named = sizes.join(comps, "h", "left").withColumn("comp", F.coalesce("comp", "h"))
-    least = named.where("comp is not null").groupBy("comp").agg(F.min("id").alias("least"))
-    out = named.join(least, "comp", "left")
+    named = materialize(named.select("id", "n", "comp"), "set-comps")
+    least = named.where("comp is not null").groupBy("comp").agg(F.min("id").alias("least"), F.count("*").alias("rows"))
+    free(hashed, comps, late)
+    out = labelled(named, materialize(least, "least-ids"), "comp")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 

@@ -1,16 +1,18 @@
 """WARC, Jaccard join, embedding joins and search, substring dedup, components, against brute force."""
 
 import hashlib
+import time
 
 import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quantaloom.llm import ann, embedding_dedup, hashing, jaccard_join, substring_dedup, warc
-from quantaloom.llm.components import connected_components
-from quantaloom.llm.workspace import shared_dir
+from quantaloom.llm.components import connected_components, labelled
+from quantaloom.llm.workspace import free, materialize, shared_dir
 
 
 class Sets:
@@ -85,7 +87,7 @@ def test_warc_again_keeps_revisits(spark):
     _, out = run_warc(spark, pages(spark, [(1, "u", big), (2, "u", big), (None, "u", big)]))
     again = shared_dir(spark, "t")
     warc.resolve_revisits(spark, out, again)
-    a, b = (warc.read_warc(spark, p).orderBy("record_id").collect() for p in (out, again))
+    a, b = (warc.read_warc(spark, p).drop("file").orderBy("record_id").collect() for p in (out, again))
     assert a == b and sorted(r.record_type for r in a) == ["response", "revisit", "revisit"]
 
 
@@ -98,6 +100,35 @@ def test_warc_payload_that_ends_like_a_separator(spark):
     assert got == {i: t for i, _, t in rows}
 
 
+def test_warc_decisions_in_groups_of_archives(spark, monkeypatch):
+    rows = [(i, "u", "z" * (1000 + i % 7)) for i in range(60)]
+    _, whole = run_warc(spark, pages(spark, rows).repartition(6))
+    monkeypatch.setattr(warc, "DECISIONS", 3)
+    _, parts = run_warc(spark, pages(spark, rows).repartition(6))
+    a, b = (warc.read_warc(spark, p, payload=True).drop("file").orderBy("record_id").collect() for p in (whole, parts))
+    assert a == b and sum(r.record_type == "response" for r in a) == 7
+    assert list(warc._archive_groups([("a", 2), ("b", 9), ("c", 1), ("d", 2)], 3)) == [["a"], ["b"], ["c", "d"]] and not list(warc._archive_groups([]))
+
+
+def test_warc_long_payload_full_of_breaks_and_older_version():
+    """A payload of very many pieces is joined once; records of version 1.0 are read as well."""
+    body = b"\r\n\r\nWARC/1.1\r\nx" * 60_000
+    record = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n"
+    data = record % (len(body), body) + record.replace(b"1.0", b"1.1") % (2, b"ok")
+    reader, got, began = warc._Reader(), [], time.monotonic()
+    for piece in data.split(warc.BREAK):
+        got += [p for _, _, p in reader.feed("f", piece)]
+    reader.close()
+    assert got == [body, b"ok"] and time.monotonic() - began < 20
+
+
+def test_warc_long_text(spark):
+    text = "é\r\n\r\nWARC/1.1\r\n" * 200_000
+    _, out = run_warc(spark, pages(spark, [(1, "u", text), (2, "u", text), (3, "u", text + "!")]))
+    got = {int(r.record_id.rpartition(":")[2]): (r.record_type, r.payload and bytes(r.payload).decode()) for r in warc.read_warc(spark, out, payload=True).collect()}
+    assert got == {1: ("revisit", None), 2: ("response", text), 3: ("response", text + "!")}
+
+
 def test_warc_empty_and_truncated(spark):
     _, out = run_warc(spark, pages(spark, []))
     assert warc.read_warc(spark, out).count() == 0
@@ -159,6 +190,29 @@ def test_jaccard_small_blocks_and_runs(spark, copies, monkeypatch):
     assert sorted(map(tuple, got.collect())) == brute_jaccard(copies, 4, 85, 100)
 
 
+def test_jaccard_classes_that_share_a_hash(spark, copies):
+    """With hashes of few bits most classes share theirs with another, and are told apart all the same."""
+    df = spark.createDataFrame(copies, "doc_id long, text string")
+    got = jaccard_join.jaccard_components(df, jaccard_join.Scheme(4, 85, 100, bits=4))
+    assert sorted(map(tuple, got.collect())) == brute_jaccard(copies, 4, 85, 100)
+
+
+def test_labels_of_common_and_rare_keys(spark):
+    rows = spark.createDataFrame([(i, None if i % 50 == 0 else 7 if i % 2 else i) for i in range(4000)], "id long, k long")
+    labels = rows.where("k is not null").groupBy("k").agg(F.min("id").alias("least"), F.count("*").alias("rows"))
+    got = {r.id: r.least for r in labelled(rows, labels, "k").collect()}
+    assert got == {i: None if i % 50 == 0 else 1 if i % 2 else i for i in range(4000)}
+
+
+def test_free_empties_scratch_tables_alone(spark):
+    t = materialize(spark.range(10), "t")
+    path = t.inputFiles()[0].rpartition("/")[0]
+    free(t)
+    assert spark.read.parquet(path).count() == 0
+    with pytest.raises(ValueError, match="no scratch"):
+        free(spark.read.parquet("/root/testdata/sf0.001/region.parquet"))
+
+
 def test_jaccard_awkward(spark):
     rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (2, "A B C D E F"), (5, None)]
     got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -188,7 +242,7 @@ def test_sketch_distance_never_exceeds_difference():
         b = np.unique(np.r_[a[: n // 2], rng.integers(0, 2**63, n // 3).astype(np.uint64)])
         x, y = scheme.sketch(a), scheme.sketch(b)
         k = min(len(x), len(y))
-        far = int(np.bitwise_count(jaccard_join._fold(x, k) ^ jaccard_join._fold(y, k)).sum())
+        far = int(np.bitwise_count(jaccard_join._folded(x.reshape(1, -1), k) ^ jaccard_join._folded(y.reshape(1, -1), k)).sum())
         assert far <= len(np.setxor1d(a, b))
 
 
