@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by cosine: one vantage-point tree per shard, pruning relaxed by a factor.
 
-Rows are dealt to shards of bounded size by a hash of their ids; a shard's tree is built where the shard is and packed with
-its vectors into one row of the index.  Query vectors, packed in blocks of bounded size, meet every shard; a
-shard gives each query its nearest rows, and these are merged per query.
+Rows are dealt to shards of bounded size, made of the cells of a few pivots (fitted on a bounded sample) that lie side by side; a
+shard's tree is built where the shard is and packed with its vectors into one row of the index, beside the ball around them.  Query
+vectors, packed in blocks of bounded size by their nearest shard, meet that one first.  The distance to the nearest found there is a bound: by the
+triangle inequality, relaxed by the factor, only shards whose balls come that near are asked as well.  What the shards find is merged per query.
 
 In a shard, all queries of a block descend together: at a node, a query's distance to the vantage point sends it
 to the nearer side first, and to the other side only if ``factor * |distance - radius|`` is within its current
@@ -20,11 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .vectors import cosine, matrix, unit, usable
+from .vectors import cosine, in_cells, in_tiles, matrix, of_one_length, pivots, unit, usable
 from .workspace import materialize, table
 
-SHARD_ROWS = 4096
+#: Rows of a shard, and shards (or so) at most: beyond SHARDS * SHARD_ROWS rows shards grow, so that their centres can be broadcast.
+SHARD_ROWS, SHARDS = 4096, 16_384
 BLOCK_QUERIES = 1024
+SAMPLE_ROWS = 10_000
+PIVOTS = 1024
 LEAF = 192
 FACTOR = 1.05
 
@@ -62,10 +66,10 @@ def build_tree(x: np.ndarray, leaf: int = LEAF, seed: int = 1) -> list[tuple]:
 class Search:
     """The nearest ``k`` rows of a shard for each query of a block."""
 
-    def __init__(self, x: np.ndarray, nodes: list[tuple], q: np.ndarray, own: np.ndarray, k: int, factor: float) -> None:
-        """``own``: for each query the row that it is itself in the shard, or -1."""
+    def __init__(self, x: np.ndarray, nodes: list[tuple], q: np.ndarray, own: np.ndarray, k: int, factor: float, bound: np.ndarray | None = None) -> None:
+        """``own``: for each query the row that it is itself in the shard, or -1; ``bound``: the distance beyond which nothing is wanted."""
         self.x, self.nodes, self.q, self.own, self.k, self.factor = x, nodes, q, own, k, factor
-        self.d = np.full((len(q), k), np.inf)
+        self.d = np.full((len(q), k), np.inf) if bound is None else np.repeat(bound[:, None], k, 1)
         self.row = np.full((len(q), k), -1)
         self.compared = 0
         if len(x) and len(q):
@@ -117,43 +121,38 @@ def _shard(ids: np.ndarray, raw: np.ndarray, keep: int) -> dict:
     return {"raw": raw[first], "ids": held, "tree": build_tree(unit(raw[first]))}
 
 
-def build_index(vectors: DataFrame, *, k: int = 5, shard_rows: int = SHARD_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(shard int, body binary), one row per shard of about ``shard_rows`` vectors, written to the shared folder.
+def build_index(vectors: DataFrame, *, k: int = 5, shard_rows: int = SHARD_ROWS, sample_rows: int = SAMPLE_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(shard int, dims int, centre, radius, body binary), one row per shard of about ``shard_rows`` vectors, written to the shared folder.
 
     Equal vectors of a shard are held once with their k + 1 smallest ids, which is all that k neighbours can need.
-    Null ids and unusable vectors (null, zero, null or non-finite components) are left out.
+    Null ids and unusable vectors (null, zero, null or non-finite components, another length than the commonest) are left out.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(usable("v") & F.col("id").isNotNull())
-    shards = max(1, -(-rows.count() // shard_rows))
+    schema = "shard int, dims int, centre array<double>, radius double, body binary"
+    rows, dims, n = of_one_length(rows)
+    if not n:
+        return vectors.sparkSession.createDataFrame([], schema)
+    most = max(shard_rows, -(-n // SHARDS))
+    cells, total = in_tiles(in_cells(rows, pivots(rows, n, min(PIVOTS, max(1, n // (shard_rows // 4 or 1))), sample_rows)), most)
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         raw = np.stack(frame["v"].to_list())
+        x = unit(raw)
+        centre = x.mean(0)
+        radius = float(np.sqrt(((x - centre) ** 2).sum(1).max()))
         body = pickle.dumps(_shard(frame["id"].to_numpy(), raw, k + 1), protocol=5)
-        return pd.DataFrame({"shard": [int(frame["shard"].iloc[0])], "body": [body]})
+        return pd.DataFrame({"shard": [int(frame["tile"].iloc[0])], "dims": [raw.shape[1]], "centre": [centre.tolist()], "radius": [radius], "body": [body]})
 
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    return materialize(dealt.groupBy("shard").applyInPandas(pack, "shard int, body binary"), "ann-index")
+    return materialize(cells.repartition(total, "tile").groupBy("tile").applyInPandas(pack, schema), "ann-index")
 
 
-def search(
-    index: DataFrame, queries: DataFrame, *, k: int = 5, factor: float = FACTOR, block: int = BLOCK_QUERIES, id_col: str = "vec_id", vector_col: str = "embedding",
-) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k nearest by cosine, itself (its id) left out, ties to the smaller id.
-
-    ``index`` must have been built for this k or a larger one.  Unusable queries and null ids take no part; a repeated query id with
-    one vector counts once.  Fewer candidates than k: all of them; none or no query: an empty result.
-    """
-    q = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(usable("v") & F.col("id").isNotNull()).distinct()
-    blocks = max(1, -(-q.count() // block))
-    packed = q.withColumn("block", F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(blocks)).cast("int")).groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("own"))
-    packed = materialize(packed, "ann-queries")
-    shards = (index.agg(F.max("shard")).first()[0] or 0) + 1
-    met = packed.select("own", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")).join(index, "shard")
+def _answers(met: DataFrame, k: int, factor: float) -> DataFrame:
+    """(query_id, vec_id, score) of blocks of queries ``own`` (id, v, bound) that meet a shard's ``body``; of the nearest within each query's bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                s = pickle.loads(b.column(1)[i].as_py())
+                s = pickle.loads(b.column(1)[i].as_buffer())
                 own = b.column(0)[i].values
                 ids, raw = own.field("id").to_numpy(zero_copy_only=False), matrix(own.field("v"))
                 x, u = unit(s["raw"]), unit(raw)
@@ -161,7 +160,7 @@ def search(
                 # A query may be one of several equal vectors: then only its own id is left out, not the row.
                 where = {int(h[0]): r for r, h in enumerate(s["ids"]) if len(h) == 1}
                 alone = np.array([where.get(int(i), -1) for i in ids])
-                found = Search(x, s["tree"], u, alone, k + 4, factor)
+                found = Search(x, s["tree"], u, alone, k + 4, factor, own.field("bound").to_numpy(zero_copy_only=False))
                 out_q, out_v, out_s = [], [], []
                 for n in range(len(ids)):
                     rows = found.row[n][found.row[n] >= 0]
@@ -174,7 +173,59 @@ def search(
                             out_q += [int(ids[n])] * len(mine)
                 yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.float64())], names=["query_id", "vec_id", "score"])
 
-    near = met.select("own", "body").mapInArrow(run, "query_id long, vec_id long, score double")
+    return met.select("own", "body").mapInArrow(run, "query_id long, vec_id long, score double")
+
+
+def search(
+    index: DataFrame, queries: DataFrame, *, k: int = 5, factor: float = FACTOR, block: int = BLOCK_QUERIES, id_col: str = "vec_id", vector_col: str = "embedding",
+) -> DataFrame:
+    """(query_id, rank, vec_id, score): each query's k nearest by cosine, itself (its id) left out, ties to the smaller id.
+
+    ``index`` must have been built for this k or a larger one.  Unusable queries, those of another length than the index's vectors and null ids
+    take no part; a repeated query id with one vector counts once.  Fewer candidates than k: all of them; none or no query: an empty result.
+    """
+    spark = queries.sparkSession
+    shards = index.select("shard", "dims", "centre", "radius").orderBy("shard").toPandas()  # at most SHARDS or so, and as many as have a pivot
+    dims = int(shards["dims"].iloc[0]) if len(shards) else 0
+    q = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(usable("v") & F.col("id").isNotNull() & (F.size("v") == dims)).distinct()
+    kind = q.schema["v"].dataType.simpleString()
+    sent = spark.sparkContext.broadcast((shards["shard"].to_numpy(), np.stack(shards["centre"].to_list()) if len(shards) else np.zeros((0, 1)), shards["radius"].to_numpy(float)))
+
+    def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, centres, _ = sent.value
+        for b in batches:
+            if b.num_rows:
+                home = names[np.argmin((centres**2).sum(1) - 2 * unit(matrix(b.column(1))) @ centres.T, 1)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home.astype(np.int32))], names=["id", "v", "shard"])
+
+    homes = materialize(q.mapInArrow(at_home, f"id long, v {kind}, shard int"), "ann-queries")
+    blocks = homes.groupBy("shard").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = homes.join(F.broadcast(blocks), "shard").withColumn("block", F.pmod(F.xxhash64(F.lit(9), "id"), F.col("blocks")))  # one row per shard is broadcast
+    item = F.struct("id", "v", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+    packed = dealt.withColumn("bound", F.lit(None).cast("double")).groupBy("shard", "block").agg(F.collect_list(item).alias("own"))
+    bodies = index.select("shard", "body")
+    first = materialize(_answers(packed.join(bodies, "shard"), k, factor), "ann-first")
+
+    # The k-th best of the own shard bounds what the others can add; some slack covers rounding.
+    best = first.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("best"))
+    far = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.get("best", F.lit(k - 1)))) + F.lit(1e-6)
+    bounded = dealt.join(best.select(F.col("query_id").alias("id"), far.alias("bound")), "id", "left")
+    packed = bounded.groupBy("shard", "block").agg(F.collect_list(item).alias("own"))
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, centres, radii = sent.value
+        for b in batches:
+            for i in range(b.num_rows):
+                own = b.column(1)[i].values
+                u, bound = unit(matrix(own.field("v"))), own.field("bound").to_numpy(zero_copy_only=False)
+                gap = np.sqrt(np.maximum(0, 1 + (centres**2).sum(1)[None] - 2 * u @ centres.T)) - radii[None]
+                wanted = (factor * gap <= bound[:, None] + 1e-9) & (names != b.column(0)[i].as_py())[None]
+                for s in np.flatnonzero(wanted.any(0)).tolist():
+                    asked = own.take(pa.array(np.flatnonzero(wanted[:, s])))
+                    yield pa.RecordBatch.from_arrays([pa.array([int(names[s])], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(asked)], pa.int32()), asked)], names=["shard", "own"])
+
+    visits = packed.select("shard", "own").mapInArrow(others, f"shard int, own array<struct<id:bigint,v:{kind},bound:double>>")
+    near = first.unionByName(_answers(visits.join(bodies, "shard"), k, factor))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -182,3 +233,19 @@ def search(
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return search(build_index(vectors), vectors.where("vec_id % 50 = 0"))
+
+
+def exact_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search of ``query`` without relaxation, which loses nothing."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(build_index(vectors), vectors.where("vec_id % 50 = 0"), factor=1.0).withColumn("score", F.round("score", 9))
+
+
+EXACT_ORACLE = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.e, v.e) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 9) AS score FROM r WHERE rank <= 5
+"""

@@ -6,17 +6,22 @@ some block keeps within the share of the budget that is proportional to its dime
 under its share, and the union of what the blocks find is verified on the original vectors in double precision: no
 link is lost, none is made up.
 
-The range joins run over tiles: rows go to the nearest of a few pivots (fitted on a bounded sample) and, within a pivot,
-to tiles of bounded size.  A tile's blocks each have a ball around them; a pair of tiles is skipped when the balls lie further
-apart than the share in every block.  A tile pair is joined in one task, block by block; equal vectors of a tile
-are joined once, with their number.  What leaves a task is, per row, a count of links and one edge towards the
-smallest row of its group: pairs are never written out.
+The range joins run over tiles of bounded size, made of the cells of a few pivots (fitted on a bounded sample) that lie side by side; a
+cell of too many rows is dealt to several tiles.  Tiles, and the parts of a tile, have a ball around each of their blocks: two of them are joined in
+the blocks only whose balls come within the share, and skipped if there is none.  A left tile meets several right tiles in one task, so that
+it is sent once for these.  Equal vectors of a tile are joined once, with their number.  What leaves a task is, per row, a count of links
+and one edge towards the smallest row of its group: pairs are never written out.
+
+Why blocks are not of two or three dimensions: for vectors without structure the share of all pairs that comes within a block's share of the budget is
+that of a chi-squared variable of so many dimensions to be below (1 - threshold) times its mean: at 0.9 it is 1.8 % for blocks of 4, 0.08 % for 8 and
+0.0003 % for 16 of 64 dimensions.  Sixteen blocks of 4 would have a quarter of all pairs verified.
 """
 
 from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -25,13 +30,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .vectors import matrix, unit, usable
-from .workspace import materialize, table
+from .vectors import in_cells, in_tiles, of_one_length, pivots, unit, usable
+from .workspace import free, materialize, table
 
-TILE_ROWS = 4096
+#: Bytes of a tile's vectors at most, and the least number of tiles that a larger table is dealt to.
+TILE_BYTES, TILES = 8 << 20, 8
+PART_ROWS = 512
 BLOCKS = 4
+#: Pivots at most, half a MiB of them at 64 dimensions: what is broadcast has a bound.  More rows than they have cells for lose no link.
+PIVOTS = 1024
 SAMPLE_ROWS = 10_000
-_STRIP = 1024
+#: Tiles whose balls may be broadcast (half a KiB each at 64 dimensions).
+BALLS = 16_384
 
 
 def rotation(dims: int, seed: int = 7) -> np.ndarray:
@@ -44,39 +54,85 @@ def splits(dims: int, blocks: int) -> list[tuple[int, int]]:
     return list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
 
 
-def _tile(ids: np.ndarray, raw: np.ndarray, blocks: int) -> tuple[bytes, list[float], list[float]]:
-    """A tile packed (its distinct vectors, and each row's number among them), its centre, and the radius of each block's ball."""
-    order = np.argsort(ids, kind="stable")
-    ids, raw = ids[order], np.ascontiguousarray(raw[order]) + np.zeros(1, raw.dtype)
-    _, first, inverse = np.unique(raw.view(np.dtype((np.void, raw.dtype.itemsize * raw.shape[1]))).ravel(), return_index=True, return_inverse=True)
-    x = unit(raw[first]) @ rotation(raw.shape[1])
-    centre = x.mean(0)
-    radii = [float(np.sqrt(((x[:, a:b] - centre[a:b]) ** 2).sum(1).max())) for a, b in splits(raw.shape[1], blocks)]
-    return pickle.dumps((ids, inverse.ravel(), raw[first]), protocol=5), centre.tolist(), radii
+@dataclass
+class Tile:
+    """A tile's rows: ``ids``, for each the number of its vector, and the distinct vectors, part by part.
 
+    ``edges``: where parts begin and end; ``centres`` and ``radii``: of each part's ball in each block, of the rotated vectors.
+    """
 
-def _links(a: np.ndarray, b: np.ndarray, xa: np.ndarray, xb: np.ndarray, threshold: float, blocks: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Rows i of ``a`` and j of ``b`` (i < j if these are the same) with cosine >= threshold, found block by block."""
+    ids: np.ndarray
+    vector: np.ndarray
+    raw: np.ndarray
+    edges: np.ndarray
+    centres: np.ndarray
+    radii: np.ndarray
+
+    def unpack(self) -> None:
+        self.unit = unit(self.raw)
+        self.turned = (self.unit @ rotation(self.raw.shape[1])).astype(np.float32)
+        self.weight = np.bincount(self.vector, minlength=len(self.raw))
+        self.least = np.full(len(self.raw), np.iinfo(np.int64).max)
+        np.minimum.at(self.least, self.vector, self.ids)
+
+
+def _balls(x: np.ndarray, edges: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Centres [parts, dims] and radii [parts, blocks] of the parts of ``x`` between ``edges``."""
+    centres = np.stack([x[a:b].mean(0) for a, b in zip(edges[:-1], edges[1:], strict=True)])
+    radii = np.stack([[np.sqrt(((x[a:b, p:q] - c[p:q]) ** 2).sum(1).max()) for p, q in splits(x.shape[1], blocks)] for a, b, c in zip(edges[:-1], edges[1:], centres, strict=True)])
+    return centres, radii
+
+
+def _tile(ids: np.ndarray, raw: np.ndarray, cell: np.ndarray, blocks: int, part_rows: int = PART_ROWS) -> tuple[Tile, np.ndarray, np.ndarray]:
+    """A tile of rows in ``cell`` each, and the centre and block radii of the whole."""
+    order = np.lexsort((ids, cell))
+    ids, cell, raw = ids[order], cell[order], np.ascontiguousarray(raw[order]) + np.zeros(1, raw.dtype)  # -0.0 equals 0.0
+    _, first, vector = np.unique(raw.view(np.dtype((np.void, raw.dtype.itemsize * raw.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    place = np.argsort(first)  # distinct vectors in order of their cells
+    number = np.empty(len(first), np.int64)
+    number[place] = np.arange(len(first))
+    first, vector = first[place], number[vector.ravel()]
+    raw, cell = raw[first], cell[first]
+    edges = [0]
+    for end in [*np.flatnonzero(np.diff(cell)) + 1, len(raw)]:
+        edges += [*range(edges[-1] + part_rows, end, part_rows), end]
+    x = unit(raw) @ rotation(raw.shape[1])
+    edges = np.array(edges)
+    centres, radii = _balls(x, np.array([0, len(x)]), blocks)
+    return Tile(ids, vector, raw, edges, *_balls(x, edges, blocks)), centres[0], radii[0]
+
+
+def _links(a: Tile, b: Tile, threshold: float, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors i of ``a`` and j of ``b`` (i < j if these are the same) with cosine >= threshold, found block by block."""
+    dims, budget, same = a.raw.shape[1], 2 - 2 * threshold, a is b
+    meets = []
+    for k, (p, q) in enumerate(splits(dims, blocks)):
+        u, v = a.centres[:, p:q], b.centres[:, p:q]
+        gap = np.sqrt(np.maximum(0, (u * u).sum(1)[:, None] + (v * v).sum(1)[None] - 2 * u @ v.T))
+        meets.append(gap - a.radii[:, k, None] - b.radii[None, :, k] <= np.sqrt(budget * (q - p) / dims) + 1e-6)
+    left, right = [], []
+    for p, q in splits(dims, blocks):
+        u, v = a.turned[:, p:q], b.turned[:, p:q]
+        left.append(np.concatenate([u * -2, (u * u).sum(1, keepdims=True), np.ones((len(u), 1), np.float32)], 1))
+        right.append(np.concatenate([v, np.ones((len(v), 1), np.float32), (v * v).sum(1, keepdims=True)], 1).T.copy())
     found_i, found_j = [], []
-    budget = 2 - 2 * threshold
-    dims = a.shape[1]
-    for at in range(0, len(a), _STRIP):
-        rows = slice(at, at + _STRIP)
-        low = at if same else 0
-        near = np.zeros((len(xa[rows]), len(xb) - low), bool)
-        for p, q in splits(dims, blocks):
-            share = budget * (q - p) / dims
-            u, v = xa[rows, p:q], xb[low:, p:q]
-            left = np.concatenate([u * -2, (u * u).sum(1, keepdims=True), np.ones((len(u), 1))], 1).astype(np.float32)
-            right = np.concatenate([v, np.ones((len(v), 1)), (v * v).sum(1, keepdims=True)], 1).astype(np.float32)
-            near |= left @ right.T <= np.float32(share + 1e-5)  # the slack covers single precision; what it lets in is verified
+    for s, t in zip(*np.nonzero(np.any(meets, 0)), strict=True):
+        if same and t < s:
+            continue
+        rows, columns = slice(a.edges[s], a.edges[s + 1]), slice(b.edges[t], b.edges[t + 1])
+        near = None
+        for k, (p, q) in enumerate(splits(dims, blocks)):
+            if meets[k][s, t]:
+                # The slack covers single precision; what it lets in is verified.
+                own = left[k][rows] @ right[k][:, columns] <= np.float32(budget * (q - p) / dims + 1e-5)
+                near = own if near is None else near | own
         i, j = np.divmod(np.flatnonzero(near), near.shape[1])
-        i, j = i + at, j + low
+        i, j = i + rows.start, j + columns.start
         if same:
             i, j = i[i < j], j[i < j]
         for k in range(0, len(i), 1 << 15):
             ii, jj = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
-            good = (a[ii] * b[jj]).sum(1) >= threshold
+            good = (a.unit[ii] * b.unit[jj]).sum(1) >= threshold
             found_i.append(ii[good])
             found_j.append(jj[good])
     none = np.empty(0, np.int64)
@@ -96,91 +152,54 @@ def _least(n: int, i: np.ndarray, j: np.ndarray, start: np.ndarray) -> np.ndarra
     return label
 
 
-def _join(left: tuple, right: tuple, same: bool, threshold: float, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _join(a: Tile, b: Tile, threshold: float, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(id, links, least id of its group) of every row that has a link within the pair of tiles."""
-    (ids_a, inv_a, raw_a), (ids_b, inv_b, raw_b) = left, right
-    a, b = unit(raw_a), unit(raw_b)
-    turn = rotation(a.shape[1])
-    i, j = _links(a, b, a @ turn, b @ turn, threshold, blocks, same)
-    weight_a, weight_b = np.bincount(inv_a, minlength=len(a)), np.bincount(inv_b, minlength=len(b))
-    links_a = np.bincount(i, weight_b[j], len(a)).astype(np.int64)
-    links_b = np.bincount(j, weight_a[i], len(b)).astype(np.int64)
-    least_a = np.full(len(a), np.iinfo(np.int64).max)
-    np.minimum.at(least_a, inv_a, ids_a)
-    if same:
-        links = links_a + links_b + weight_a - 1
-        least = _least(len(a), i, j, least_a)
-        rows = links[inv_a] > 0
-        return ids_a[rows], links[inv_a][rows], least[inv_a][rows]
-    least_b = np.full(len(b), np.iinfo(np.int64).max)
-    np.minimum.at(least_b, inv_b, ids_b)
-    least = _least(len(a) + len(b), i, j + len(a), np.concatenate([least_a, least_b]))
-    in_a, in_b = links_a[inv_a] > 0, links_b[inv_b] > 0
+    i, j = _links(a, b, threshold, blocks)
+    links_a = np.bincount(i, b.weight[j], len(a.raw)).astype(np.int64)
+    links_b = np.bincount(j, a.weight[i], len(b.raw)).astype(np.int64)
+    if a is b:
+        links = links_a + links_b + a.weight - 1
+        least = _least(len(a.raw), i, j, a.least)
+        rows = links[a.vector] > 0
+        return a.ids[rows], links[a.vector][rows], least[a.vector][rows]
+    least = _least(len(a.raw) + len(b.raw), i, j + len(a.raw), np.concatenate([a.least, b.least]))
+    in_a, in_b = links_a[a.vector] > 0, links_b[b.vector] > 0
     return (
-        np.concatenate([ids_a[in_a], ids_b[in_b]]), np.concatenate([links_a[inv_a][in_a], links_b[inv_b][in_b]]),
-        np.concatenate([least[inv_a][in_a], least[len(a) + inv_b][in_b]]),
+        np.concatenate([a.ids[in_a], b.ids[in_b]]), np.concatenate([links_a[a.vector][in_a], links_b[b.vector][in_b]]),
+        np.concatenate([least[a.vector][in_a], least[len(a.raw) + b.vector][in_b]]),
     )
 
 
-def _pivots(rows: DataFrame, n: int, k: int, sample_rows: int) -> np.ndarray:
-    """k pivots by a few rounds of k-means on about ``sample_rows`` vectors drawn by a hash of the id."""
-    share = min(1.0, sample_rows / max(1, n))
-    drawn = rows.where(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1 << 20)) < share * (1 << 20)).orderBy("id").limit(2 * sample_rows).select("v").toPandas()
-    x = unit(np.stack(drawn["v"].to_list()) if len(drawn) else np.stack([rows.first()["v"]]))
-    c = x[np.random.default_rng(5).permutation(len(x))[: min(k, 1024)]]
-    for _ in range(5):
-        near = np.argmax(x @ c.T, 1)
-        c = unit(np.stack([m if (m := x[near == i].sum(0)).any() else c[i] for i in range(len(c))]))
-    return c
-
-
 def near_duplicates(
-    vectors: DataFrame, *, threshold: float = 0.9, blocks: int = BLOCKS, tile_rows: int = TILE_ROWS, sample_rows: int = SAMPLE_ROWS, id_col: str = "vec_id", vector_col: str = "embedding",
+    vectors: DataFrame, *, threshold: float = 0.9, blocks: int = BLOCKS, tile_rows: int | None = None, sample_rows: int = SAMPLE_ROWS, id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) per row of ``vectors``; all vectors must have one length.
+    """(vec_id, n_links, component_id, kept) per row of ``vectors``.
 
-    A row links with every other row of cosine >= threshold.  Unusable vectors (null, zero, null or non-finite components) link with nothing and
-    stay.  Ids are expected to be unique; rows that repeat an id share its links and its component.  Null ids keep
+    A row links with every other row of cosine >= threshold.  Unusable vectors (null, zero, null or non-finite components, another length than the
+    commonest, of equally common ones the longest) link with nothing and stay.  Ids are expected to be unique; rows that repeat an id share its links and its component.  Null ids keep
     null components.  An empty table gives an empty result.
+
+    ``tile_rows``: by default an eighth of the rows, at most as many as TILE_BYTES hold.
     """
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    rows = base.where(usable("v") & F.col("id").isNotNull())
     out = base.select(F.col("id").alias("vec_id"))
-    n = rows.count()
+    rows, dims, n = of_one_length(base.where(usable("v") & F.col("id").isNotNull()))
     if not n:
         return out.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    pivots = _pivots(rows, n, max(1, n // tile_rows), sample_rows)
-    sent = vectors.sparkSession.sparkContext.broadcast(pivots)  # at most 1024 vectors
-    kind = rows.schema["v"].dataType.simpleString()
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x, near = matrix(b.column(1)), []
-                for at in range(0, len(x), 4096):
-                    near.append(np.argmax(unit(x[at : at + 4096]) @ sent.value.T, 1))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(near).astype(np.int32))], names=["id", "v", "pivot"])
-
-    near = rows.mapInArrow(assign, f"id long, v {kind}, pivot int")
-    sizes = near.groupBy("pivot").count().collect()  # one row per pivot
-    parts = F.create_map(*[F.lit(x) for r in sizes for x in (r["pivot"], -(-r["count"] // tile_rows))])
-    firsts, total = {}, 0
-    for r in sorted(sizes):
-        firsts[r["pivot"]] = total
-        total += -(-r["count"] // tile_rows)
-    first = F.create_map(*[F.lit(x) for kv in firsts.items() for x in kv])
-    tile = (F.element_at(first, F.col("pivot")) + F.pmod(F.xxhash64(F.lit(11), "id"), F.element_at(parts, F.col("pivot")))).cast("int")
+    tile_rows = tile_rows or max(1, min(TILE_BYTES // (4 * dims), -(-n // TILES)))
+    cells, total = in_tiles(in_cells(rows, pivots(rows, n, min(PIVOTS, max(1, n // PART_ROWS)), sample_rows)), tile_rows)
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        body, centre, radii = _tile(frame["id"].to_numpy(), np.stack(frame["v"].to_list()), blocks)
-        return pd.DataFrame({"tile": [int(frame["tile"].iloc[0])], "body": [body], "centre": [centre], "radii": [radii]})
+        body, centre, radii = _tile(frame["id"].to_numpy(), np.stack(frame["v"].to_list()), frame["pivot"].to_numpy(), blocks)
+        return pd.DataFrame({"tile": [int(frame["tile"].iloc[0])], "body": [pickle.dumps(body, protocol=5)], "centre": [centre.tolist()], "radii": [radii.tolist()]})
 
-    tiles = materialize(near.withColumn("tile", tile).groupBy("tile").applyInPandas(pack, "tile int, body binary, centre array<double>, radii array<double>"), "vector-tiles")
+    tiles = cells.repartition(min(total, 1 << 14), "tile").groupBy("tile")
+    tiles = materialize(tiles.applyInPandas(pack, "tile int, body binary, centre array<double>, radii array<double>"), "vector-tiles")
 
     # Every pair of tiles once; those whose balls are too far apart in all blocks fall out before any vector moves.
     balls = tiles.select(F.col("tile").alias("j"), F.col("centre").alias("cj"), F.col("radii").alias("rj"))
+    balls = F.broadcast(balls) if total <= BALLS else balls
     pairs = tiles.select(F.col("tile").alias("i"), F.col("centre").alias("ci"), F.col("radii").alias("ri"), F.explode(F.sequence("tile", F.lit(total - 1))).alias("j")).join(balls, "j")
-    dims = pivots.shape[1]
     near_blocks = []
     for k, (p, q) in enumerate(splits(dims, blocks)):
         gap = F.sqrt(F.aggregate(F.zip_with(F.slice("ci", p + 1, q - p), F.slice("cj", p + 1, q - p), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
@@ -188,17 +207,32 @@ def near_duplicates(
     meets = near_blocks[0]
     for c in near_blocks[1:]:
         meets = meets | c
-    pairs = materialize(pairs.where(meets).select("i", "j"), "tile-pairs").repartition("i", "j")
-    met = pairs.join(tiles.select(F.col("tile").alias("i"), F.col("body").alias("a")), "i").join(tiles.select(F.col("tile").alias("j"), F.col("body").alias("b")), "j")
+    # A task has a left tile and the right tiles of one span, the left one first; it meets itself where that is the first span.
+    span = max(2, total // 64)
+    pairs = materialize(pairs.where(meets | (F.col("i") == F.col("j"))).select("i", F.floor((F.col("j") - F.col("i")) / span).cast("int").alias("part"), "j"), "tile-pairs")
+    lefts = pairs.select("i", "part").distinct().join(tiles.select(F.col("tile").alias("i"), "body"), "i").select("i", "part", F.lit(-1).alias("j"), "body")
+    rights = pairs.where("i < j").join(tiles.select(F.col("tile").alias("j"), "body"), "j").select("i", "part", "j", "body")
+    tasks = min(1 << 14, pairs.select("i", "part").distinct().count())
+    met = lefts.unionByName(rights).repartition(max(1, tasks), "i", "part").sortWithinPartitions("i", "part", "j")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, at = None, None
         for b in batches:
             for k in range(b.num_rows):
-                i, j = b.column(0)[k].as_py(), b.column(1)[k].as_py()
-                ids, links, least = _join(pickle.loads(b.column(2)[k].as_py()), pickle.loads(b.column(3)[k].as_py()), i == j, threshold, blocks)
+                i, part, j = (b.column(c)[k].as_py() for c in range(3))
+                other = pickle.loads(b.column(3)[k].as_buffer())
+                other.unpack()
+                if j < 0:
+                    left, at = other, (i, part)
+                    if part:
+                        continue
+                elif at != (i, part):
+                    raise ValueError("a right tile without its left one")
+                ids, links, least = _join(left, other, threshold, blocks)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(least)], names=["id", "links", "least"])
 
-    found = materialize(met.select("i", "j", "a", "b").mapInArrow(join, "id long, links long, least long"), "vector-links")
+    found = materialize(met.mapInArrow(join, "id long, links long, least long"), "vector-links")
+    free(tiles, pairs)
     links = found.groupBy("id").agg(F.sum("links").alias("n_links"))
     groups = connected_components(found, "id", "least")
     out = out.join(links.withColumnRenamed("id", "vec_id"), "vec_id", "left").join(groups.withColumnRenamed("node", "vec_id"), "vec_id", "left")

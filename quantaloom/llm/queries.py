@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_byte_bpe": bpe.query,
         "op6_embedding_dedup": embedding_dedup.query,
         "op7_vp_tree_search": ann.query,
+        "search_without_relaxation": ann.exact_query,
         "op8_source_mixing": source_mixing.query,
         "op9_license_scan": license_scan.query,
         "source_targets": source_mixing.targets_query,
@@ -28,7 +29,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_warc_revisits": warc.ORACLE,
+        "op3_jaccard_join": jaccard_join.ORACLE,
         "op6_embedding_dedup": embedding_dedup.ORACLE,
+        "search_without_relaxation": ann.EXACT_ORACLE,
         "op9_license_scan": license_scan.ORACLE,
         "source_targets": source_mixing.TARGETS_ORACLE,
         "op10_substring_dedup": substring_dedup.ORACLE,

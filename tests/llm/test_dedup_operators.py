@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quantaloom.llm import ann, embedding_dedup, hashing, jaccard_join, substring_dedup, warc
 from quantaloom.llm.components import connected_components, labelled
+from quantaloom.llm.vectors import deal
 from quantaloom.llm.workspace import free, materialize, shared_dir
 
 
@@ -311,6 +312,7 @@ def vectors():
     x[120:140] = x[4]
     rows = [(i, list(map(float, v)), 1) for i, v in enumerate(x.astype(np.float32))]
     rows += [(200, None, 1), (201, [0.0] * 16, 1), (202, [1.0] * 15 + [None], 1), (203, [float("nan")] + [1.0] * 15, 1), (204, [float("inf")] + [1.0] * 15, 1), (205, [-0.0] * 15 + [1e-30], None), (206, [0.0] * 15 + [2e-30], None)]
+    rows += [(207, [1.0] * 7, 1), (208, [1.0] * 7, 1), (209, [], 1)]  # of other lengths
     return rows
 
 
@@ -319,7 +321,7 @@ def frame(spark, rows):
 
 
 def good(rows):
-    ids = [i for i, v, _ in rows if v is not None and None not in v and np.isfinite(v).all() and any(v)]
+    ids = [i for i, v, _ in rows if v is not None and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v)]
     x = np.array([v for i, v, _ in rows if i in set(ids)], np.float32).astype(float)
     x /= np.abs(x).max(1, keepdims=True)
     return ids, x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -377,6 +379,44 @@ def test_search_recall_and_few_candidates(spark, vectors):
     assert ann.search(ann.build_index(few), frame(spark, vectors[160:163])).count() == 0
 
 
+def test_deal_makes_tiles_of_bounded_size():
+    rng = np.random.default_rng(3)
+    sizes = {i: int(n) for i, n in enumerate(rng.integers(1, 90, 40))} | {40: 1000, 41: 3}
+    first, parts, total = deal(sizes, 100)
+    held = {}
+    for p, n in sizes.items():
+        assert parts[p] == -(-n // 100)
+        for k in range(parts[p]):
+            held[first[p] + k] = held.get(first[p] + k, 0) + n / parts[p]
+    assert sorted(held) == list(range(total)) and max(held.values()) <= 100 and total < 1.7 * sum(sizes.values()) / 100
+    assert deal({}, 5) == ({}, {}, 0)
+
+
+def test_clustered_vectors_skip_parts_and_shards(spark):
+    """Far clusters: the join skips pairs of parts, the search asks few shards, and nothing is lost."""
+    rng = np.random.default_rng(10)
+    centres = rng.normal(size=(24, 32)) * 4
+    x = np.repeat(centres, 50, 0) + rng.normal(size=(1200, 32)) * 0.35
+    rows = [(i, list(map(float, v)), 0) for i, v in enumerate(x.astype(np.float32))]
+    df = frame(spark, rows)
+    u = vectors_of(x.astype(np.float32))
+    near = u @ u.T >= 0.95
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df, threshold=0.95, tile_rows=100).collect()}
+    assert got == {i: int(near[i].sum()) - 1 for i in range(1200)}
+    tile, centre, radii = embedding_dedup._tile(np.arange(1200), x.astype(np.float32), np.repeat(np.arange(24), 50), 4, part_rows=30)
+    assert len(tile.edges) == 49 and centre.shape == (32,) and radii.shape == (4,)
+    found = ann.search(ann.build_index(df, shard_rows=100), df.where("vec_id % 40 = 0"), factor=1.0).toPandas()
+    c = u @ u.T
+    for q, g in found.sort_values("rank").groupby("query_id"):
+        order = [j for j in np.argsort(-c[q], kind="stable") if j != q][:5]
+        assert g.vec_id.tolist() == order
+
+
+def vectors_of(x):
+    x = x.astype(float)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def test_relaxed_pruning_compares_less():
     x = np.random.default_rng(10).normal(size=(3000, 4))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
