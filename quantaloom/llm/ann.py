@@ -209,22 +209,28 @@ def search(
     # The k-th best of the own shard bounds what the others can add; some slack covers rounding.
     best = first.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("best"))
     far = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.get("best", F.lit(k - 1)))) + F.lit(1e-6)
-    bounded = dealt.join(best.select(F.col("query_id").alias("id"), far.alias("bound")), "id", "left")
-    packed = bounded.groupBy("shard", "block").agg(F.collect_list(item).alias("own"))
+    bounded = homes.join(best.select(F.col("query_id").alias("id"), far.alias("bound")), "id", "left")
+    # Blocks of queries of neighbouring shards, as they ask the same others; few, as a shard is unpacked for each.
+    count = homes.count()
+    bounded = materialize(bounded.withColumn("range", F.floor(F.col("shard") * F.lit(-(-count // block) / max(1, len(shards)))).cast("int")), "ann-bounds")
+    ranges = bounded.groupBy("range").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    ranges = bounded.join(F.broadcast(ranges), "range").withColumn("block", F.pmod(F.xxhash64(F.lit(9), "id"), F.col("blocks")))  # no more rows than shards are broadcast
+    packed = ranges.groupBy("range", "block").agg(F.collect_list(F.struct("id", "v", F.coalesce("bound", F.lit(float("inf"))).alias("bound"), "shard")).alias("own"))
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, centres, radii = sent.value
         for b in batches:
             for i in range(b.num_rows):
-                own = b.column(1)[i].values
-                u, bound = unit(matrix(own.field("v"))), own.field("bound").to_numpy(zero_copy_only=False)
+                own = b.column(0)[i].values
+                u, bound, home = unit(matrix(own.field("v"))), own.field("bound").to_numpy(zero_copy_only=False), own.field("shard").to_numpy(zero_copy_only=False)
                 gap = np.sqrt(np.maximum(0, 1 + (centres**2).sum(1)[None] - 2 * u @ centres.T)) - radii[None]
-                wanted = (factor * gap <= bound[:, None] + 1e-9) & (names != b.column(0)[i].as_py())[None]
+                wanted = (factor * gap <= bound[:, None] + 1e-9) & (names[None] != home[:, None])
                 for s in np.flatnonzero(wanted.any(0)).tolist():
                     asked = own.take(pa.array(np.flatnonzero(wanted[:, s])))
+                    asked = pa.StructArray.from_arrays([asked.field(c) for c in ("id", "v", "bound")], names=["id", "v", "bound"])
                     yield pa.RecordBatch.from_arrays([pa.array([int(names[s])], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(asked)], pa.int32()), asked)], names=["shard", "own"])
 
-    visits = packed.select("shard", "own").mapInArrow(others, f"shard int, own array<struct<id:bigint,v:{kind},bound:double>>")
+    visits = packed.select("own").mapInArrow(others, f"shard int, own array<struct<id:bigint,v:{kind},bound:double>>")
     near = first.unionByName(_answers(visits.join(bodies, "shard"), k, factor))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
