@@ -86,6 +86,11 @@ def ic_summary(series: DataFrame) -> DataFrame:
     )
 
 
+def extremes(series: DataFrame) -> DataFrame:
+    """Per name: ic_median, ic_min and ic_max over the days with an IC."""
+    return series.groupBy("name").agg(F.median("ic").alias("ic_median"), F.min("ic").alias("ic_min"), F.max("ic").alias("ic_max"))
+
+
 def hlz_threshold(n_tests: int, significance: float = 0.05) -> float:
     """The t-statistic that a factor must reach after ``n_tests`` tests (Bonferroni, 3.0 at least); 1.96 for a lone test."""
     if n_tests <= 1:

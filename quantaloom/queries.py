@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from quantaloom import backtest as bt
 from quantaloom import combine as cb
-from quantaloom import fixtures
+from quantaloom import fixtures, formula_sql
 from quantaloom import library as lib
 from quantaloom.functions import analytics, ic, performance
-from quantaloom.generate import candidates, engineered
+from quantaloom.generate import candidates, combiner_features, engineered
 from quantaloom.plans.compiler import evaluate
 from quantaloom.sources import fundamentals
 from quantaloom.sources.panel import Panel, build_panel, common_dates, universe, with_forward
@@ -191,26 +191,26 @@ CORPUS = (
 )
 
 
-def corpus(spark: SparkSession, d: str, which: str = "f3") -> DataFrame:
+#: Months of fixture f1, an upper bound of windows.
+_MONTHS = 83
+
+
+def corpus(spark: SparkSession, d: str, which: str = "f1") -> DataFrame:
     """IC summary of the corpus, one plan."""
     p = fixtures.panel(spark, d, which)
     named = {f"a{i + 1:02d}": f for i, f in enumerate(CORPUS)}
     return rounded(ic.ic_summary(ic.ic_series(ic.to_long(evaluate(p.df, named, p.n_dates, keep=["fwd"]), list(named)))))
 
 
-add("alpha_corpus", corpus)
-
-
-def features(spark: SparkSession, d: str) -> DataFrame:
-    """Mean and count of every engineered feature."""
-    p = fixtures.panel(spark, d, "f3")
-    names = engineered(p.n_dates)
-    wide = evaluate(p.df, names, p.n_dates)
-    return rounded(ic.to_long(wide, list(names)).groupBy("name").agg(F.count("value").alias("n"), F.avg("value").alias("mean")))
+def features(spark: SparkSession, d: str, names: Callable[[int], dict[str, str]] = engineered) -> DataFrame:
+    """Count and mean of every feature; the mean in a billionth of the largest size, as volumes and returns are far apart."""
+    p = fixtures.panel(spark, d, "f1")
+    own = names(p.n_dates)
+    long = ic.to_long(evaluate(p.df, own, p.n_dates), list(own))
+    share = F.try_divide(F.avg("value"), F.max(F.abs("value")))
+    return rounded(long.groupBy("name").agg(F.count("value").alias("n"), share.alias("mean_share")))
 
 
-add("engineered_features", features)
-
 # ---- signals and their metrics --------------------------------------------------------------------------------
 
 
@@ -227,11 +227,34 @@ s1 AS (SELECT code, date, t, fwd, CASE WHEN m IS NOT NULL THEN CAST(row_number()
   -CASE WHEN v IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY date ORDER BY v ASC NULLS LAST, code) AS DOUBLE) / count(v) OVER (PARTITION BY date) END AS calm FROM s0),
 s AS (SELECT 'momentum' AS name, code, date, t, momentum AS value, fwd FROM s1 UNION ALL SELECT 'calm', code, date, t, calm, fwd FROM s1)"""
 _PEARSON = "CASE WHEN count(*) >= {least} THEN (sum(a * b) - sum(a) * sum(b) / count(*)) / sqrt((sum(a * a) - sum(a) * sum(a) / count(*)) * (sum(b * b) - sum(b) * sum(b) / count(*))) END"
-_IC = f"""{_S}, ranks AS (SELECT name, date, t, CAST(row_number() OVER (PARTITION BY name, date ORDER BY value, code) AS DOUBLE) AS a, CAST(row_number() OVER (PARTITION BY name, date ORDER BY fwd, code) AS DOUBLE) AS b
+
+
+def _ic_ctes(signals_cte: str) -> str:
+    """Up to ``ic``, of CTEs that end with signals ``s``."""
+    return f"""{signals_cte}, ranks AS (SELECT name, date, t, CAST(row_number() OVER (PARTITION BY name, date ORDER BY value, code) AS DOUBLE) AS a, CAST(row_number() OVER (PARTITION BY name, date ORDER BY fwd, code) AS DOUBLE) AS b
   FROM s WHERE value IS NOT NULL AND fwd IS NOT NULL), ic AS (SELECT name, date, t, count(*) AS n, {_PEARSON.format(least=10)} AS ic FROM ranks GROUP BY name, date, t)"""
-_SUM = f"""{_IC}, f AS (SELECT name, coalesce(avg(ic), 0) AS ic_mean, coalesce(stddev_pop(ic), 0) AS ic_std, CASE WHEN count(ic) >= 10 AND stddev_pop(ic) >= 1e-10 THEN avg(ic) / stddev_pop(ic) ELSE 0 END AS icir,
+
+
+def _summary_ctes(signals_cte: str) -> str:
+    """Up to ``f``, the summary of ``ic`` by name."""
+    return f"""{_ic_ctes(signals_cte)}, f AS (SELECT name, coalesce(avg(ic), 0) AS ic_mean, coalesce(stddev_pop(ic), 0) AS ic_std, CASE WHEN count(ic) >= 10 AND stddev_pop(ic) >= 1e-10 THEN avg(ic) / stddev_pop(ic) ELSE 0 END AS icir,
   CASE WHEN count(ic) >= 10 AND stddev_samp(ic) >= 1e-10 THEN avg(ic) / (stddev_samp(ic) / sqrt(count(ic))) ELSE 0 END AS ic_t, coalesce(avg(CASE WHEN ic > 0 THEN 1.0 WHEN ic <= 0 THEN 0.0 END), 0) AS ic_positive, count(ic) AS n_days FROM ic GROUP BY name)"""
 
+
+def _formula_signals(formulas: dict[str, str]) -> str:
+    """CTEs up to the signals ``s`` of formulas over fixture f1."""
+    return f"{fixtures.panel_ctes('f1')}, {formula_sql.ctes(formulas, _MONTHS)}, {formula_sql.long(list(formulas))}"
+
+
+_IC, _SUM = _ic_ctes(_S), _summary_ctes(_S)
+_FIGURES = ("ic_mean", "ic_std", "icir", "ic_t", "ic_positive")
+add("alpha_corpus", corpus, _q("name, n_days", "SELECT * FROM f", _summary_ctes(_formula_signals({f"a{i + 1:02d}": f for i, f in enumerate(CORPUS)})), 6, _FIGURES))
+for _name, _names in (("engineered_features", engineered), ("combiner_features", combiner_features)):
+    add(
+        _name,
+        lambda spark, d, names=_names: features(spark, d, names),
+        _q("name, n", "SELECT name, count(value) AS n, avg(value) / nullif(max(abs(value)), 0) AS mean_share FROM s GROUP BY name", _formula_signals(_names(_MONTHS)), 6, ("mean_share",)),
+    )
 add("ic_series", lambda spark, d: rounded(ic.ic_series(signals(spark, d))), _q("name, date, t, n", "SELECT * FROM ic", _IC, 6, ("ic",)))
 add("ic_summary", lambda spark, d: rounded(ic.ic_summary(ic.ic_series(signals(spark, d)))), _q("name, n_days", "SELECT * FROM f", _SUM, 6, ("ic_mean", "ic_std", "icir", "ic_t", "ic_positive")))
 
@@ -264,25 +287,89 @@ add(
     lambda spark, d: rounded(ic.smoothed(ic.ic_series(signals(spark, d))).select("name", "date", "smooth")),
     _q("name, date", "SELECT name, date, sum(coalesce(ic, 0)) OVER (PARTITION BY name ORDER BY date ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING) / 20 AS smooth FROM ic", _IC, 6, ("smooth",)),
 )
-add("ic_histogram", lambda spark, d: rounded(ic.histogram(ic.ic_series(signals(spark, d)))))
+add(
+    "ic_histogram",
+    lambda spark, d: rounded(ic.histogram(ic.ic_series(signals(spark, d)))),
+    _q("name, bin", """SELECT name, CAST(bin AS INTEGER) AS bin, any_value(least) + bin * any_value(w) AS lo, count(*) / (any_value(n) * any_value(w)) AS density
+FROM (SELECT *, least(49, floor((ic - least) / w)) AS bin FROM (SELECT name, ic, min(ic) OVER o AS least, (max(ic) OVER o - min(ic) OVER o) / 50 AS w, count(*) OVER o AS n FROM ic WHERE ic IS NOT NULL WINDOW o AS (PARTITION BY name))) GROUP BY name, bin""", _IC, 6, ("lo", "density")),
+)
+add(
+    "ic_extremes",
+    lambda spark, d: rounded(ic.extremes(ic.ic_series(signals(spark, d)))),
+    _q("name", "SELECT name, median(ic) AS ic_median, min(ic) AS ic_min, max(ic) AS ic_max FROM ic GROUP BY name", _IC, 6, ("ic_median", "ic_min", "ic_max")),
+)
+#: Coefficients of a published rational approximation of the normal quantile's tail (relative error 1e-9).
+_TAIL = "((((((-0.007784894002430293 * q - 0.3223964580411365) * q - 2.400758277161838) * q - 2.549732539343734) * q + 4.374664141464968) * q + 2.938163982698783) / ((((0.007784695709041462 * q + 0.3224671290700398) * q + 2.445134137142996) * q + 3.754408661907416) * q + 1))"
+add(
+    "hlz_thresholds",
+    lambda spark, d: rounded(spark.createDataFrame([(n, ic.hlz_threshold(n)) for n in (1, 2, 10, 100, 864, 22110)], "n_tests int, threshold double"), 5),
+    f"SELECT n_tests, round(CASE WHEN n_tests <= 1 THEN 1.96 ELSE greatest(3.0, -{_TAIL}) END, 5) AS threshold FROM (SELECT n_tests, sqrt(-2 * ln(0.05 / (2 * n_tests))) AS q FROM (VALUES (1), (2), (10), (100), (864), (22110)) x(n_tests))",
+)
+add(
+    "signal_turnover",
+    lambda spark, d: rounded(spark.createDataFrame([(n, lib.signal_turnover(fixtures.panel(spark, d, "f3"), f)) for n, f in (("momentum", SIGNAL), ("calm", OTHER))], "name string, turnover double")),
+    _q("name", "SELECT name, avg(c) AS turnover FROM (SELECT name, date, avg(c) AS c FROM (SELECT name, date, abs(value - lag(value) OVER (PARTITION BY name, code ORDER BY date)) AS c FROM s) GROUP BY name, date) GROUP BY name", _S, 6, ("turnover",)),
+)
 
 
 def screened(spark: SparkSession, d: str, formulas: list[str] | None = None) -> DataFrame:
-    """The screen over all candidates up to depth 2, in batches of one plan each over a panel that is computed once."""
-    p = fixtures.panel(spark, d, "f3")
+    """The screen over all candidates of depth 1, in batches of one plan each over a panel that is computed once."""
+    p = fixtures.panel(spark, d, "f1")
     p = Panel(p.df.persist(), p.n_dates)
-    found = lib.screen(p, formulas if formulas is not None else candidates(2), ic_threshold=0.005, max_keep=10_000)
+    found = lib.screen(p, formulas if formulas is not None else candidates(1), ic_threshold=0.005, max_keep=10_000)
     p.df.unpersist()
     rows = [(s.expression, s.ic_mean, s.icir, s.t_stat) for s in found]
-    return rounded(spark.createDataFrame(rows, "expression string, ic_mean double, icir double, t_stat double"))
+    return rounded(spark.createDataFrame(rows, "expression string, ic_mean double, icir double, t_stat double"), 4)
+
+
+_SCREEN = f"{_summary_ctes(_formula_signals({f: f for f in candidates(1)}))}, absent AS (SELECT name, avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END) AS missing FROM s GROUP BY name)"
+add(
+    "screen_factors",
+    screened,
+    _q("expression", "SELECT f.name AS expression, ic_mean, icir, ic_t AS t_stat FROM f JOIN absent ON absent.name = f.name WHERE missing <= 0.5 AND n_days >= 50 AND abs(ic_mean) >= 0.005", _SCREEN, 4, ("ic_mean", "icir", "t_stat")),
+)
+
+
+def chosen(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus after greedy de-duplication of IC series that correlate above a half."""
+    p = fixtures.panel(spark, d, "f1")
+    kept = lib.screen(Panel(p.df.persist(), p.n_dates), list(CORPUS), ic_threshold=0.0, max_corr=0.5, always_dedup=True)
+    p.df.unpersist()
+    return spark.createDataFrame([(s.expression, i) for i, s in enumerate(kept)], "expression string, place int")
 
 
-add("screen_factors", screened)
+_DEDUP = f"""{_summary_ctes(_formula_signals({f: f for f in CORPUS}))},
+o AS MATERIALIZED (SELECT name, row_number() OVER (ORDER BY ic_mean DESC, name) AS k FROM f), z AS (SELECT o.k, d.t, coalesce(ic.ic, 0) AS v FROM o CROSS JOIN days d LEFT JOIN ic ON ic.name = o.name AND ic.t = d.t),
+m AS MATERIALIZED (SELECT k, list(c ORDER BY j) AS c FROM (SELECT a.k, b.k AS j, abs(corr(a.v, b.v)) AS c FROM z a JOIN z b ON a.t = b.t GROUP BY a.k, b.k) GROUP BY k),
+g(i, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT i + 1, CASE WHEN len(list_filter(kept, lambda x: m.c[x] > 0.5)) = 0 THEN list_append(kept, i + 1) ELSE kept END FROM g JOIN m ON m.k = g.i + 1),
+h AS (SELECT unnest(kept) AS k FROM (SELECT kept FROM g ORDER BY i DESC LIMIT 1))"""
+add("dedup_factors", chosen, f"WITH RECURSIVE {_DEDUP} SELECT o.name AS expression, CAST(row_number() OVER (ORDER BY o.k) - 1 AS INTEGER) AS place FROM h JOIN o ON o.k = h.k")
 add("candidate_counts", lambda spark, d: spark.createDataFrame([(k, len(candidates(k))) for k in (1, 2, 3)] + [(4, len(candidates(3, True)))], "depth int, n long"), "SELECT * FROM (VALUES (1, 864::BIGINT), (2, 15152), (3, 22093), (4, 22110)) AS x(depth, n)")
+_CASES = " ".join(f"WHEN {' OR '.join(tests)} THEN '{name}'" for name, tests in (
+    ("Momentum/Reversal", ("expression LIKE 'ret\\_%' ESCAPE '\\'", "lower(expression) LIKE '%momentum%'", "left(expression, 10) LIKE '%ret%'")), ("Volatility", ("contains(expression, 'vol_')", "contains(expression, 'vol(')", "contains(expression, 'std')")),
+    ("Price-Volume Correlation", ("contains(expression, 'corr')", "contains(expression, 'cov')")), ("Rank/Relative", ("contains(expression, 'rank') AND (contains(expression, 'close') OR contains(expression, 'volume'))",)),
+    ("Higher Moments", ("contains(expression, 'skew')", "contains(expression, 'kurt')")), ("Microstructure", tuple(f"contains(expression, '{w}')" for w in ("hl_", "vwap", "intraday", "body", "shadow"))), ("Decay-Weighted", ("contains(expression, 'decay')",)),
+    ("Risk-Adjusted", ("contains(expression, 'risk_adj')",)), ("Regression Residual", ("contains(expression, 'resid')", "contains(expression, 'regression')")), ("Fundamental", tuple(f"contains(expression, '{w}')" for w in ("pe", "pb", "bvps", "roe", "eps", "mv", "dv_ttm"))),
+    ("Timing (Argmax/Argmin)", ("contains(expression, 'argmax')", "contains(expression, 'argmin')")),
+))
+_ROLLED = [(f, ((i % 7) - 3) / 8) for i, f in enumerate([*CORPUS, *candidates(1), *engineered(_MONTHS)])]
 add(
     "category_rollup",
-    lambda spark, d: analytics.category_rollup(spark.createDataFrame([(f, ((i % 7) - 3) / 8) for i, f in enumerate(CORPUS)], "expression string, ic_mean double")),
-)
+    lambda spark, d: rounded(analytics.category_rollup(spark.createDataFrame(_ROLLED, "expression string, ic_mean double"))),
+    f"""WITH x(expression, ic_mean) AS (VALUES {', '.join(f"('{f}', {v}::DOUBLE)" for f, v in _ROLLED)}), y AS (SELECT *, CASE {_CASES} ELSE 'Formulaic Alpha (Mined)' END AS category FROM x)
+SELECT category, count(*) AS n, round(avg(abs(ic_mean)), 6) + 0.0 AS mean_abs_ic, round(arg_max(ic_mean, row(abs(ic_mean), ic_mean)), 6) + 0.0 AS best_ic FROM y GROUP BY category""",
+)
+_LIST = lambda *xs: ", ".join(f"('{x}')" for x in xs)
+_OPS = "ts_argmax ts_argmin ts_decay_linear ts_delta ts_kurt ts_lag ts_max ts_mean ts_min ts_product ts_rank ts_skew ts_std ts_sum".split()
+_PARTS = f"""o(op) AS (VALUES {_LIST(*_OPS)}), f(f) AS (VALUES {_LIST('open', 'high', 'low', 'close', 'volume', 'amount', 'vwap', 'returns')}), w(w) AS (VALUES (3), (5), (10), (20), (40), (60), (120)),
+c(c) AS (VALUES {_LIST('cs_rank', 'cs_zscore', 'cs_scale', 'cs_demean')}), u(u) AS (VALUES {_LIST('abs', 'log', 'sign', 'sqrt', 'neg', 'inv')}), cu AS (SELECT c AS x FROM c UNION ALL SELECT u FROM u)"""
+_ONE = "SELECT op || '(' || f || ', ' || w || ')' AS expression FROM o, f, w UNION SELECT x || '(' || f || ')' FROM cu, f"
+_TWO = f"""{_ONE} UNION SELECT x || '(' || op || '(' || f || ', ' || w || '))' FROM cu, o, f, w
+UNION SELECT op || '(' || m || '(' || a.f || ', ' || b.f || '), ' || w || ')' FROM o, (VALUES ('div'), ('sub')) m(m), f a, f b, w WHERE a.f < b.f
+UNION SELECT p || '(' || a.f || ', ' || b.f || ', ' || w || ')' FROM (VALUES {_LIST('ts_corr', 'ts_cov', 'ts_rsquare', 'ts_regression_residual')}) p(p), f a, f b, (VALUES (5), (10), (20)) v(w) WHERE a.f <> b.f
+UNION SELECT c || '(' || p || '(' || a || ', ' || b || ', ' || w || '))' FROM c, (VALUES {_LIST('ts_corr', 'ts_cov', 'ts_rsquare', 'ts_regression_residual')}) p(p), (VALUES {_LIST('close', 'volume', 'returns')}) x(a), (VALUES {_LIST('close', 'volume', 'returns', 'amount')}) y(b), (VALUES (10), (20)) v(w) WHERE a <> b"""
+add("candidates_depth_1", lambda spark, d: spark.createDataFrame([(f,) for f in candidates(1)], "expression string"), f"WITH {_PARTS} {_ONE}")
+add("candidates_depth_2", lambda spark, d: spark.createDataFrame([(f,) for f in candidates(2)], "expression string"), f"WITH {_PARTS} {_TWO}")
 
 # ---- back-tests -------------------------------------------------------------------------------------------------
 
