@@ -114,9 +114,10 @@ class CombinerReport:
 
     @property
     def verdict(self) -> str:
-        if self.ic_mean > 0.05 and self.icir > 0.5:
+        size = abs(self.ic_mean)
+        if size >= 0.05 and abs(self.icir) >= 0.5:
             return "good"
-        return "pass" if self.ic_mean > 0.03 else "weak"
+        return "pass" if size >= 0.03 else "weak"
 
 
 def folds(n_dates: int, train: int = 500, step: int = 60, purge: int = 5) -> list[tuple[int, int, int, int]]:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from math import log, sqrt
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,19 +16,19 @@ COST = 0.0031
 #: Cost multipliers of the sensitivity grid.
 MULTIPLIERS = (0.0, 0.5, 1.0, 1.5, 2.0, 3.0)
 TRIALS = 22110
-#: Categories of formulas and feature names, by the first pattern that is found in them.
+#: Categories of formulas and feature names, the first that has a word of its list in them.
 CATEGORIES = (
-    ("Momentum/Reversal", "^ret_|(?i:momentum)|^.{0,7}ret"),
-    ("Volatility", r"vol_|vol\(|std"),
-    ("Price-Volume Correlation", "corr|cov"),
-    ("Rank/Relative", "rank.*(close|volume)|(close|volume).*rank"),
-    ("Higher Moments", "skew|kurt"),
-    ("Microstructure", "hl_|vwap|intraday|body|shadow"),
-    ("Decay-Weighted", "decay"),
-    ("Risk-Adjusted", "risk_adj"),
-    ("Regression Residual", "resid|regression"),
-    ("Fundamental", "pe|pb|bvps|roe|eps|mv|dv_ttm"),
-    ("Timing (Argmax/Argmin)", "argmax|argmin"),
+    ("Momentum/Reversal", ()),  # see ``category``
+    ("Volatility", ("vol_", "vol(", "std")),
+    ("Price-Volume Correlation", ("corr", "cov")),
+    ("Rank/Relative", ()),
+    ("Higher Moments", ("skew", "kurt")),
+    ("Microstructure", ("hl_", "vwap", "intraday", "body", "shadow")),
+    ("Decay-Weighted", ("decay",)),
+    ("Risk-Adjusted", ("risk_adj",)),
+    ("Regression Residual", ("resid", "regression")),
+    ("Fundamental", ("pe", "pb", "bvps", "roe", "eps", "mv", "dv_ttm")),
+    ("Timing (Argmax/Argmin)", ("argmax", "argmin")),
 )
 OTHER_CATEGORY = "Formulaic Alpha (Mined)"
 
@@ -105,7 +107,7 @@ def deflated_sharpe(series: DataFrame, trials: int = TRIALS) -> DataFrame:
     kurt = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(r) + 6)).otherwise(F.lit(0.0))
     agg = series.groupBy("name").agg(sharpe(r).alias("sharpe"), F.coalesce(skew, F.lit(0.0)).alias("skew"), F.coalesce(kurt, F.lit(0.0)).alias("kurt"))
     sr = F.col("sharpe")
-    spread = F.sqrt(F.greatest(F.lit(0.01), 1 + F.col("skew") * sr / 3 + (F.col("kurt") - 1) / 4 * sr * sr))
+    spread = F.greatest(F.lit(0.01), F.sqrt(F.greatest(F.lit(0.0), 1 + F.col("skew") * sr / 3 + (F.col("kurt") - 1) / 4 * sr * sr)))
     return agg.select("name", "sharpe", "skew", "kurt", ((sr - sqrt(2 * log(trials))) / spread).alias("deflated"))
 
 
@@ -148,10 +150,14 @@ def milestones(balances: DataFrame, thresholds: Sequence[float]) -> DataFrame:
 
 def category(formula: Column) -> Column:
     """The category of a formula or of a feature's name."""
-    (name, pattern), *more = CATEGORIES
-    out = F.when(F.regexp_like(formula, F.lit(pattern)), name)
-    for name, pattern in more:
-        out = out.when(F.regexp_like(formula, F.lit(pattern)), name)
+    held = lambda *words: reduce(or_, (F.contains(formula, F.lit(w)) for w in words))
+    rules = {
+        "Momentum/Reversal": F.startswith(formula, F.lit("ret_")) | F.contains(F.lower(formula), F.lit("momentum")) | F.contains(F.left(formula, F.lit(10)), F.lit("ret")),
+        "Rank/Relative": held("rank") & held("close", "volume"),
+    }
+    out = F
+    for name, words in CATEGORIES:
+        out = out.when(rules[name] if name in rules else held(*words), name)
     return out.otherwise(OTHER_CATEGORY)
 
 
@@ -185,3 +191,20 @@ def traffic_light(net_sharpe: float, max_drawdown: float, oos_ratio: float) -> s
     if net_sharpe > 2 and deep < 0.06 and oos_ratio > 0.5:
         return "GREEN"
     return "YELLOW" if net_sharpe > 1 and deep < 0.1 else "RED"
+
+
+def report_card(series: DataFrame, turnover: DataFrame, m: DataFrame, rate: float = COST, trials: int = TRIALS) -> DataFrame:
+    """Per name: the figures of CHECKS, how many of the checks pass (``passed``), and the traffic light (``light``).
+
+    Costs are those of the mean turnover (name, turnover); ``m`` is the market (date, m).
+    """
+    net = with_costs(series, turnover, rate).groupBy("name").agg(sharpe(F.col("r")).alias("net_sharpe"), annual_return(F.col("r")).alias("net"))
+    gross = series.groupBy("name").agg(annual_return(F.col("r")).alias("gross"))
+    depth = equity(series).groupBy("name").agg(F.min("drawdown").alias("max_drawdown"))
+    parts = [gross, depth, halves(series), tail_risk(series).drop("cvar"), market_model(series, m).select("name", "beta"), deflated_sharpe(series, trials).select("name", F.col("deflated").alias("deflated_sharpe"))]
+    card = reduce(lambda a, b: a.join(b, "name"), parts, net)  # each has one row per name
+    card = card.withColumn("oos_ratio", F.col("second") / (F.col("first") + F.lit(EPS))).withColumn("alpha_retention", F.coalesce(F.try_divide("net", "gross"), F.lit(0.0)) * 100)
+    passes = [F.coalesce((F.col(k) > bound if above else F.abs(k) < bound).cast("int"), F.lit(0)) for k, (above, bound) in CHECKS.items()]
+    deep = F.abs("max_drawdown")
+    light = F.when((F.col("net_sharpe") > 2) & (deep < 0.06) & (F.col("oos_ratio") > 0.5), "GREEN").when((F.col("net_sharpe") > 1) & (deep < 0.1), "YELLOW").otherwise("RED")
+    return card.select("name", *CHECKS, reduce(lambda a, b: a + b, passes).alias("passed"), light.alias("light"))

@@ -76,8 +76,9 @@ _extreme("ts_argmax", F.max_by, 1)
 @roll("ts_decay_linear")
 def ts_decay_linear(x: Column, d: int, full: bool) -> Column:
     """Mean with weights d (newest) to 1; a missing value counts as 0 at its weight."""
-    present, t = F.coalesce(x, F.lit(0.0)), F.col(INDEX)
-    return _filled(d, (F.sum(t * present).over(past(d)) - (t - d) * F.sum(present).over(past(d))) / (d * (d + 1) / 2))
+    seen = F.collect_list(F.coalesce(x, F.lit(0.0))).over(past(d))  # from the oldest on; no difference of large sums, which would lose digits late in a long calendar
+    weighted = F.aggregate(F.transform(seen, lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
+    return _filled(d, weighted / (d * (d + 1) / 2))
 
 
 @roll("ts_product")

@@ -15,8 +15,8 @@ from quantaloom import library as lib
 from quantaloom.functions import analytics, ic, performance
 from quantaloom.generate import candidates, combiner_features, engineered
 from quantaloom.plans.compiler import evaluate
-from quantaloom.sources import fundamentals
-from quantaloom.sources.panel import Panel, build_panel, common_dates, universe, with_forward
+from quantaloom.sources import fundamentals, stores
+from quantaloom.sources.panel import Panel, build_panel, common_dates, read_bars, universe, with_forward
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -70,14 +70,14 @@ add(
 )
 add(
     "common_dates",
-    lambda spark, d: (lambda b: common_dates(b, universe(b, 20, 60)))(fixtures.bars(spark, d, "f1")),
-    f"""WITH {fixtures.bars_ctes('f1')}, u AS (SELECT code, count(date) AS n FROM bars GROUP BY code HAVING count(date) >= 60 ORDER BY n DESC, code LIMIT 20)
+    lambda spark, d: (lambda b: common_dates(b, universe(b, None, 60)))(fixtures.bars(spark, d, "f1")),
+    f"""WITH {fixtures.bars_ctes('f1')}, u AS (SELECT code, count(date) AS n FROM bars GROUP BY code HAVING count(date) >= 60)
 SELECT date FROM bars WHERE code IN (SELECT code FROM u) GROUP BY date HAVING count(DISTINCT code) = (SELECT count(*) FROM u)""",
 )
 add(
     "panel_of_common_dates",
-    lambda spark, d: rounded(with_forward(build_panel(fixtures.bars(spark, d, "f1"), max_assets=20, min_days=60)).df.select("code", "date", "t", (F.col("close") / 7).alias("close"), "returns", "fwd")),
-    _q("code, date, t", "SELECT * FROM pp", f"""{fixtures.bars_ctes('f1')}, u AS (SELECT code, count(date) AS n FROM bars GROUP BY code HAVING count(date) >= 60 ORDER BY n DESC, code LIMIT 20),
+    lambda spark, d: rounded(with_forward(build_panel(fixtures.bars(spark, d, "f1"), min_days=60, min_dates=20)).df.select("code", "date", "t", (F.col("close") / 7).alias("close"), "returns", "fwd")),
+    _q("code, date, t", "SELECT * FROM pp", f"""{fixtures.bars_ctes('f1')}, u AS (SELECT code, count(date) AS n FROM bars GROUP BY code HAVING count(date) >= 60 ORDER BY n DESC, code LIMIT 300),
 cd AS (SELECT date, CAST(row_number() OVER (ORDER BY date) - 1 AS INTEGER) AS t FROM (SELECT date FROM bars WHERE code IN (SELECT code FROM u) GROUP BY date HAVING count(DISTINCT code) = (SELECT count(*) FROM u))),
 pp AS (SELECT b.code, b.date, cd.t, b.close / 7 AS close, b.close / nullif(lag(b.close) OVER o, 0) - 1 AS returns, lead(b.close) OVER o / nullif(b.close, 0) - 1 AS fwd
   FROM bars b JOIN cd ON b.date = cd.date WHERE b.code IN (SELECT code FROM u) WINDOW o AS (PARTITION BY b.code ORDER BY b.date))""", 6, ("close", "returns", "fwd")),
@@ -429,8 +429,41 @@ fold(name, k, date, r, equity, peak) AS (SELECT name, 0::BIGINT, NULL::DATE, NUL
     (SELECT x.name, x.k, x.date, x.r, f.equity, f.peak, f.equity * (1 + x.r) AS after, coalesce((f.peak - f.equity * (1 + x.r)) / (f.peak + 1e-10) > 0.05, false) AS over_ FROM fold f JOIN x ON x.name = f.name AND x.k = f.k + 1)))
 SELECT name, date, round(r, 6) + 0.0 AS r FROM fold WHERE k > 0""",
 )
-add("backtest_controlled", lambda spark, d: rounded(bt.backtest(signals(spark, d), target_vol=0.05, max_drawdown=0.05)))
-add("tearsheet", lambda spark, d: rounded(bt.tearsheet(signals(spark, d))))
+
+
+def small_signals(spark: SparkSession, d: str) -> DataFrame:
+    """The signals with forward returns of a fiftieth, so that compounding them stays within bounds."""
+    return signals(spark, d).withColumn("fwd", F.col("fwd") * _SMALL)
+
+
+_SMALL_S = _S.replace("momentum AS value, fwd FROM s1", f"momentum AS value, fwd * {_SMALL} AS fwd FROM s1").replace("calm, fwd FROM s1)", f"calm, fwd * {_SMALL} FROM s1)")
+_AFTER_S, _AFTER_RANKED, _AFTER_POS, _AFTER_LS = _RANKED[len(_S) :], _POS[len(_RANKED) :], _TURN[len(_POS) :], _EQ[len(_RANKED) :]
+_PERFORMANCE = f"SELECT l.name, {_SHARPE.format(r='l.r')} AS sharpe, {_ANNUAL.format(r='l.r')} AS annual_return, coalesce(avg(CASE WHEN l.r > 0 THEN 1.0 WHEN l.r <= 0 THEN 0.0 END), 0) AS win_ratio, product(1 + l.r) - 1 AS total_return, count(l.r) AS n_days, coalesce((SELECT min(drawdown) FROM e WHERE e.name = l.name), 0) AS max_drawdown FROM ls l GROUP BY l.name"
+_RESULTS = ("sharpe", "annual_return", "win_ratio", "total_return", "max_drawdown", "turnover")
+
+
+def _capped(ranked: str, before: str) -> str:
+    """CTEs of back-tests whose series goes through the drawdown cap: ``fold`` and ``ls``; ``before`` makes ``x`` (name, date, r, k) of ``raw``."""
+    return f"""{ranked.replace("ls AS (SELECT d.name", "raw AS (SELECT d.name")}, {before},
+fold(name, k, date, r, equity, peak) AS (SELECT name, 0::BIGINT, NULL::DATE, NULL::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE FROM (SELECT DISTINCT name FROM x) UNION ALL
+  SELECT name, k, date, CASE WHEN over_ THEN 0.0 ELSE r END, now_, greatest(peak, now_) FROM (SELECT *, CASE WHEN r IS NULL OR over_ THEN equity ELSE after END AS now_ FROM
+    (SELECT x.name, x.k, x.date, x.r, f.equity, f.peak, f.equity * (1 + x.r) AS after, coalesce((f.peak - f.equity * (1 + x.r)) / (f.peak + 1e-10) > 0.05, false) AS over_ FROM fold f JOIN x ON x.name = f.name AND x.k = f.k + 1))),
+ls AS (SELECT name, date, r FROM fold WHERE k > 0)"""
+
+
+_TARGETED = f"x AS MATERIALIZED (SELECT name, date, r * CASE WHEN m >= 5 AND v >= 1e-10 THEN least(1.0, 0.05 / v) ELSE 1.0 END AS r, row_number() OVER (PARTITION BY name ORDER BY date) AS k FROM (SELECT *, count(r) OVER {_PAST} AS m, stddev_pop(r) OVER {_PAST} * sqrt(252.0) AS v FROM raw))"
+add(
+    "backtest_controlled",
+    lambda spark, d: rounded(bt.backtest(small_signals(spark, d), target_vol=0.05, max_drawdown=0.05), 5),
+    _q("name, n_days", f"SELECT p.*, turns.turnover FROM ({_PERFORMANCE}) p JOIN turns ON turns.name = p.name", f"RECURSIVE {_capped(_SMALL_S + _AFTER_S, _TARGETED)}{_AFTER_RANKED}{_AFTER_POS}{_AFTER_LS}", 5, _RESULTS),
+)
+add(
+    "tearsheet",
+    lambda spark, d: rounded(bt.tearsheet(small_signals(spark, d)), 5),
+    _q("name, ic_days, n_days", f"SELECT f.* EXCLUDE (n_days), f.n_days AS ic_days, p.* EXCLUDE (name), turns.turnover FROM f LEFT JOIN ({_PERFORMANCE}) p ON p.name = f.name LEFT JOIN turns ON turns.name = f.name", f"{_summary_ctes(_SMALL_S)}{_AFTER_S}{_AFTER_RANKED}{_AFTER_POS}{_AFTER_LS}", 5, (*_FIGURES, *_RESULTS)),
+)
+_GROUPS = "SELECT name, date, CAST(CASE WHEN r <= n / 5.0 THEN 1 WHEN r <= 2 * (n / 5.0) THEN 2 WHEN r <= 3 * (n / 5.0) THEN 3 WHEN r <= 4 * (n / 5.0) THEN 4 ELSE 5 END AS INTEGER) AS grp, avg(fwd) AS r FROM q GROUP BY ALL"
+add("group_totals", lambda spark, d: rounded(bt.group_totals(small_signals(spark, d)).select("name", "grp", F.log1p("total").alias("log_total")), 5), _q("name, grp", f"SELECT name, grp, ln(product(1 + r)) AS log_total FROM ({_GROUPS}) GROUP BY name, grp", _SMALL_S + _AFTER_S, 5, ("log_total",)))
 
 
 def _wide(spark: SparkSession, d: str) -> DataFrame:
@@ -449,7 +482,15 @@ for _m, _sql in _WEIGHTS.items():
         lambda spark, d, m=_m: rounded(bt.combine(_wide(spark, d), ["momentum", "calm"], m)),
         _q("name, code, date, t", f"SELECT '{_m}' AS name, code, date, t, {_sql} AS value, fwd FROM s1", _SUM, 6, ("value", "fwd")),
     )
-add("combine_adaptive", lambda spark, d: rounded(bt.combine(_wide(spark, d), ["momentum", "calm"], "adaptive")))
+_ADAPTIVE = f"""{_S}, z AS (SELECT t, coalesce(momentum, 0) AS a, coalesce(calm, 0) AS b, fwd AS y FROM s1 WHERE fwd IS NOT NULL),
+g AS (SELECT t, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS yb FROM z GROUP BY t), fits AS (SELECT unnest(range(60, (SELECT max(t) + 1 FROM s1), 5)) AS t),
+m AS (SELECT fits.t, sum(aa) + 1e-4 AS aa, sum(ab) AS ab, sum(bb) + 1e-4 AS bb, sum(ay) AS ay, sum(yb) AS yb FROM fits JOIN g ON g.t >= fits.t - 120 AND g.t < fits.t GROUP BY fits.t),
+c AS (SELECT t, (ay * bb - yb * ab) / (aa * bb - ab * ab) AS wa, (yb * aa - ay * ab) / (aa * bb - ab * ab) AS wb FROM m)"""
+add(
+    "combine_adaptive",
+    lambda spark, d: rounded(bt.combine(_wide(spark, d), ["momentum", "calm"], "adaptive"), 5),
+    _q("name, code, date, t", "SELECT 'adaptive' AS name, code, date, s1.t, wa * coalesce(momentum, 0) + wb * coalesce(calm, 0) AS value, fwd FROM s1 LEFT JOIN c ON c.t = s1.t // 5 * 5", _ADAPTIVE, 5, ("value", "fwd")),
+)
 
 
 def walked(spark: SparkSession, d: str, backend: str = "ridge") -> DataFrame:
@@ -458,7 +499,17 @@ def walked(spark: SparkSession, d: str, backend: str = "ridge") -> DataFrame:
     return rounded(spark.createDataFrame([(backend, r.ic_mean, r.icir, r.positive, r.folds)], "backend string, ic_mean double, icir double, positive double, folds int"))
 
 
-add("walk_forward_ridge", walked)
+_RIDGE = f"""{_S}, z AS (SELECT *, count(*) OVER (PARTITION BY t) AS m FROM (SELECT code, date, t, momentum AS a, calm AS b, fwd AS y FROM s1 WHERE momentum IS NOT NULL AND calm IS NOT NULL AND fwd IS NOT NULL)), rows_ok AS (SELECT * FROM z WHERE m >= 20),
+plan AS (SELECT unnest(range(125, (SELECT max(t) + 1 FROM s1), 60)) AS s),
+g AS (SELECT s, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS yb FROM plan JOIN rows_ok ON t >= s - 120 AND t < s - 5 GROUP BY s HAVING count(*) >= 100),
+h AS (SELECT *, n + 1.0 AS k, n * ab / sqrt(va * vb) AS x, n * ay / sqrt(va) AS u, n * yb / sqrt(vb) AS v FROM g), c AS (SELECT *, (u * k - v * x) / (k * k - x * x) / sqrt(va) AS wa, (v * k - u * x) / (k * k - x * x) / sqrt(vb) AS wb FROM h),
+told AS (SELECT 'ridge' AS name, code, date, wa * (a - ma) + wb * (b - mb) + my AS value, y FROM c JOIN rows_ok ON t >= s AND t < s + 60),
+rk AS (SELECT date, {_AVG_RANK.format(c='value')} AS a, {_AVG_RANK.format(c='y')} AS b FROM told), daily AS (SELECT date, {_PEARSON.format(least=20)} AS ic FROM rk GROUP BY date)"""
+add(
+    "walk_forward_ridge",
+    walked,
+    _q("backend, folds", "SELECT 'ridge' AS backend, avg(ic) AS ic_mean, avg(ic) / stddev_pop(ic) AS icir, avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END) AS positive, (SELECT CAST(count(*) AS INTEGER) FROM c) AS folds FROM daily WHERE ic IS NOT NULL", _RIDGE, 6, ("ic_mean", "icir", "positive")),
+)
 add("walk_forward_gbt", lambda spark, d: walked(spark, d, "gbt"))
 
 # ---- reports ----------------------------------------------------------------------------------------------------
@@ -500,14 +551,84 @@ add(
 add(
     "deflated_sharpe",
     lambda spark, d: rounded(analytics.deflated_sharpe(small(spark, d)), 5),
-    _q("name", f"SELECT name, sharpe, skew, kurt, (sharpe - sqrt(2 * ln(22110))) / sqrt(greatest(0.01, 1 + skew * sharpe / 3 + (kurt - 1) / 4 * sharpe * sharpe)) AS deflated FROM (SELECT name, {_SHARPE.format(r='r')} AS sharpe, skewness(r) AS skew, kurtosis(r) AS kurt FROM ls GROUP BY name)", _SMALL_EQ, 5, ("sharpe", "skew", "kurt", "deflated")),
+    _q("name", f"SELECT name, sharpe, skew, kurt, (sharpe - sqrt(2 * ln(22110))) / greatest(0.01, sqrt(greatest(0, 1 + skew * sharpe / 3 + (kurt - 1) / 4 * sharpe * sharpe))) AS deflated FROM (SELECT name, {_SHARPE.format(r='r')} AS sharpe, skewness(r) AS skew, kurtosis(r) AS kurt FROM ls GROUP BY name)", _SMALL_EQ, 5, ("sharpe", "skew", "kurt", "deflated")),
 )
 add("rolling_sharpe", lambda spark, d: rounded(performance.rolling_sharpe(small(spark, d)).select("name", "date", "rolling_sharpe"), 5), _q("name, date", "SELECT name, date, CASE WHEN k > 63 AND c >= 20 AND v >= 1e-10 THEN m / nullif(v, 0) * sqrt(252.0) END AS rolling_sharpe FROM (SELECT *, row_number() OVER o AS k, count(r) OVER w AS c, avg(r) OVER w AS m, stddev_pop(r) OVER w AS v FROM ls WINDOW o AS (PARTITION BY name ORDER BY date), w AS (PARTITION BY name ORDER BY date ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING))", _SMALL_EQ, 5, ("rolling_sharpe",)))
 add("rolling_vol", lambda spark, d: rounded(performance.rolling_vol(small(spark, d)).select("name", "date", "rolling_vol")), _q("name, date", "SELECT name, date, CASE WHEN k > 21 AND c >= 10 AND v >= 1e-10 THEN v * sqrt(252.0) END AS rolling_vol FROM (SELECT *, row_number() OVER o AS k, count(r) OVER w AS c, stddev_pop(r) OVER w AS v FROM ls WINDOW o AS (PARTITION BY name ORDER BY date), w AS (PARTITION BY name ORDER BY date ROWS BETWEEN 21 PRECEDING AND 1 PRECEDING))", _SMALL_EQ, 6, ("rolling_vol",)))
 add("profit_and_loss", lambda spark, d: rounded(performance.profit_and_loss(small(spark, d), 100.0).select("name", "date", "pnl", "balance"), 4), _q("name, date", "SELECT name, date, 100.0 * r AS pnl, 100.0 * coalesce(product(1 + coalesce(r, 0)) OVER (PARTITION BY name ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0) AS balance FROM ls", _SMALL_EQ, 4, ("pnl", "balance")))
 add("milestones", lambda spark, d: analytics.milestones(performance.profit_and_loss(small(spark, d), 100.0), (90.0, 95.0, 100.0)), "WITH " + _SMALL_EQ + ", b AS (SELECT name, date, 100.0 * coalesce(product(1 + coalesce(r, 0)) OVER (PARTITION BY name ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0) AS balance FROM ls), c AS (SELECT *, lag(balance) OVER (PARTITION BY name ORDER BY date) AS before_ FROM b) SELECT name, threshold, date FROM c CROSS JOIN (SELECT unnest([90.0, 95.0, 100.0])::DOUBLE AS threshold) WHERE before_ < threshold AND balance >= threshold")
-add("drawdown_events", lambda spark, d: rounded(analytics.drawdown_events(small(spark, d))))
-add("capped_days", lambda spark, d: analytics.capped_days(performance.drawdown_cap(small(spark, d).select("name", "date", "r"), 0.05)))
+_EVENTS = f"""RECURSIVE {_SMALL_EQ}, ed AS MATERIALIZED (SELECT name, date, (equity - greatest(peak, 1.0)) / (greatest(peak, 1.0) + 1e-10) AS dd, row_number() OVER {_DAYS} AS day FROM e1),
+st(name, day, inside) AS (SELECT DISTINCT name, 0::BIGINT, 0 FROM ed UNION ALL SELECT d.name, d.day, CASE WHEN d.dd < -0.01 THEN 1 WHEN d.dd >= -0.005 THEN 0 ELSE st.inside END FROM st JOIN ed d ON d.name = st.name AND d.day = st.day + 1),
+sp AS (SELECT ed.*, st.inside, coalesce(lag(st.inside) OVER (PARTITION BY ed.name ORDER BY ed.day), 0) AS before_ FROM ed JOIN st ON st.name = ed.name AND st.day = ed.day),
+sq AS (SELECT *, sum(CASE WHEN inside = 1 AND before_ = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY name ORDER BY day) AS spell FROM sp)"""
+add(
+    "drawdown_events",
+    lambda spark, d: rounded(analytics.drawdown_events(small(spark, d))),
+    _q('name, started, trough, ended, days, recovery, "over"', """SELECT name, min(date) AS started, arg_min(date, row(dd, day)) FILTER (inside = 1) AS trough, max(date) AS ended, min(dd) FILTER (inside = 1) AS depth, CAST(max(day) - min(day) AS INTEGER) AS days,
+  CAST(max(day) - arg_min(day, row(dd, day)) FILTER (inside = 1) AS INTEGER) AS recovery, min(inside) = 0 AS "over" FROM sq WHERE inside = 1 OR before_ = 1 GROUP BY name, spell""", _EVENTS, 6, ("depth",)),
+)
+_PLAIN = "x AS MATERIALIZED (SELECT name, date, r, row_number() OVER (PARTITION BY name ORDER BY date) AS k FROM raw)"
+add(
+    "capped_days",
+    lambda spark, d: analytics.capped_days(performance.drawdown_cap(small(spark, d).select("name", "date", "r"), 0.05)),
+    f"WITH RECURSIVE {_capped(_SMALL_S + _AFTER_S, _PLAIN)} SELECT name, count(*) FILTER (r = 0) AS capped_days FROM ls GROUP BY name",
+)
+_CARD = f"{_SMALL_S}{_AFTER_S}{_AFTER_RANKED}{_AFTER_POS}{_AFTER_LS}"
+_CARD += f""", nets AS (SELECT l.name, {_SHARPE.format(r='l.r - turnover * 0.0031')} AS net_sharpe, {_ANNUAL.format(r='(l.r - turnover * 0.0031)')} AS net, {_ANNUAL.format(r='l.r')} AS gross FROM ls l JOIN turns ON turns.name = l.name GROUP BY l.name),
+deep AS (SELECT name, min(drawdown) AS max_drawdown FROM e GROUP BY name), numbered AS (SELECT name, r, row_number() OVER {_DAYS} AS k, count(*) OVER (PARTITION BY name) AS n FROM ls WHERE r IS NOT NULL),
+parts AS (SELECT name, {_SHARPE.format(r='CASE WHEN k > n // 2 THEN r END')} / ({_SHARPE.format(r='CASE WHEN k <= n // 2 THEN r END')} + 1e-10) AS oos_ratio, sum(greatest(r, 0)) / nullif(sum(greatest(-r, 0)), 0) AS profit_factor, {_SHARPE.format(r='r')} AS sr, skewness(r) AS skew, kurtosis(r) AS kurt FROM numbered GROUP BY name),
+betas AS (SELECT name, covar_samp(r, m) / (var_samp(m) + 1e-10) AS beta FROM ls JOIN (SELECT date, avg(fwd) AS m FROM p GROUP BY date) k ON k.date = ls.date WHERE r IS NOT NULL AND m IS NOT NULL GROUP BY name),
+figures AS (SELECT nets.name, net_sharpe, max_drawdown, oos_ratio, gross / nullif(abs(max_drawdown), 0) AS calmar, profit_factor, coalesce(net / nullif(gross, 0), 0) * 100 AS alpha_retention, beta,
+  (sr - sqrt(2 * ln(22110))) / greatest(0.01, sqrt(greatest(0, 1 + skew * sr / 3 + (kurt - 1) / 4 * sr * sr))) AS deflated_sharpe FROM nets JOIN deep ON deep.name = nets.name JOIN parts ON parts.name = nets.name JOIN betas ON betas.name = nets.name)"""
+add(
+    "report_card",
+    lambda spark, d: rounded(analytics.report_card(small(spark, d), performance.turnover(bt.positions(signals(spark, d))), analytics.market(fixtures.panel(spark, d, "f3").df)), 4),
+    _q("name, passed, light", """SELECT *, CAST((net_sharpe > 1) AS INTEGER) + CAST((abs(max_drawdown) < 0.15) AS INTEGER) + CAST((oos_ratio > 0.6) AS INTEGER) + CAST((calmar > 1) AS INTEGER) + CAST((profit_factor > 1.5) AS INTEGER) + CAST((alpha_retention > 60) AS INTEGER)
+  + CAST((abs(beta) < 0.1) AS INTEGER) + CAST((deflated_sharpe > 0) AS INTEGER) AS passed, CASE WHEN net_sharpe > 2 AND abs(max_drawdown) < 0.06 AND oos_ratio > 0.5 THEN 'GREEN' WHEN net_sharpe > 1 AND abs(max_drawdown) < 0.1 THEN 'YELLOW' ELSE 'RED' END AS light FROM figures""", _CARD, 4, tuple(analytics.CHECKS)),
+)
+
+# ---- stores ------------------------------------------------------------------------------------------------------
+
+add(
+    "panel_of_first_assets",
+    lambda spark, d: fixtures.panel(spark, d, "f1").head(10).df.select("code", "date", "t", "high", "low"),
+    f"WITH {fixtures.panel_ctes('f1')} SELECT code, date, t, high, low FROM p WHERE code IN (SELECT code FROM (SELECT DISTINCT code FROM bars) ORDER BY code LIMIT 10)",
+)
+
+
+def cached_panel(spark: SparkSession, d: str) -> DataFrame:
+    """A panel that was saved and loaded again."""
+    path = stores.scratch_dir(spark, "panel")
+    stores.save_panel(fixtures.panel(spark, d, "f3"), path)
+    return stores.load_panel(spark, path).df.select("code", "date", "t", "open", "close", "volume")
+
+
+def bars_of_files(spark: SparkSession, d: str) -> DataFrame:
+    """Bars written as one folder per asset, read again as one table."""
+    path = stores.scratch_dir(spark, "bars")
+    stores.write_by_asset(fixtures.bars(spark, d, "f3"), path)
+    return stores.read_by_asset(spark, path).select("code", "date", "open", "close", "volume")
+
+
+def scanned_files(spark: SparkSession, d: str) -> DataFrame:
+    """Vendor bars in two files of vendor names, text among the numbers, scanned as one table."""
+    path = stores.scratch_dir(spark, "vendor")
+    raw = fixtures.bars(spark, d, "f3").select(F.col("code").alias("ts_code"), F.col("date").alias("trade_date"), "open", F.when(F.col("volume") > 1, F.col("high").cast("string")).otherwise("n/a").alias("high"), "low", "close", F.col("volume").alias("vol"))
+    for i in range(2):
+        raw.where(F.pmod(F.crc32(F.col("ts_code").cast("binary")), F.lit(2)) == i).write.parquet(f"{path}/{i}")
+    return rounded(read_bars(spark, [f"{path}/0", f"{path}/1"]).select("code", "date", "high", "close", "volume", "amount"), 2)
+
+
+add("panel_cache", cached_panel, f"WITH {fixtures.panel_ctes('f3')} SELECT code, date, t, open, close, volume FROM p")
+add("bars_by_asset", bars_of_files, f"WITH {fixtures.bars_ctes('f3')} SELECT code, date, open, close, volume FROM bars")
+add("bars_of_vendor_files", scanned_files, _q("code, date", "SELECT code, date, CASE WHEN volume > 1 THEN high END AS high, close, volume, close * volume AS amount FROM bars", fixtures.bars_ctes("f3"), 2, ("high", "close", "volume", "amount")))
+_RECORDS = [(f, ((i * 7) % 11 - 5) / 40) for i, f in enumerate(CORPUS)]
+add(
+    "strongest_records",
+    lambda spark, d: stores.strongest(spark.createDataFrame(_RECORDS, "expression string, ic_mean double"), 5),
+    f"SELECT expression, ic_mean FROM (VALUES {', '.join(f'({f!r}, {v}::DOUBLE)' for f, v in _RECORDS)}) x(expression, ic_mean) ORDER BY abs(ic_mean) DESC, expression LIMIT 5",
+)
+add("constituents", lambda spark, d: stores.constituents(fixtures.table(spark, d, "supplier"), "s_suppkey"), "SELECT DISTINCT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS code FROM supplier")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import uuid
 from pathlib import Path
 from typing import Any
 
@@ -16,6 +17,16 @@ from .panel import Panel
 RECORDS = "expression string, ic_mean double, ic_std double, icir double, max_correlation double, turnover double, logic_description string, admitted_at double, mining_round int, factor_id string"
 
 
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """A fresh path under the folder that the cluster names in ``spark.checkpoint.dir``; of this machine where there is no cluster and no such setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def load_json(path: str | Path, default: Any) -> Any:
     """A JSON document; ``default`` if it is absent or broken."""
     try:
@@ -68,3 +79,9 @@ def load_panel(spark: SparkSession, path: str) -> Panel | None:
 def write_by_asset(bars: DataFrame, path: str) -> None:
     """Bars as parquet, one folder per asset."""
     bars.repartition("code").write.mode("overwrite").partitionBy("code").parquet(path)
+
+
+def read_by_asset(spark: SparkSession, path: str) -> DataFrame:
+    """Bars of ``write_by_asset``."""
+    df = spark.read.option("recursiveFileLookup", "false").parquet(path)
+    return df.withColumn("code", F.col("code").cast("string"))
