@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantaloom.functions.ic import average_rank, ic_series, ic_summary, to_long
+from quantaloom.functions.ic import average_rank, ic_series, ic_summary, series_of
 from quantaloom.functions.performance import drawdown_cap, performance, turnover, vol_target
 
 GROUPS = 5
@@ -95,7 +95,7 @@ def combination_weights(summary: Mapping[str, tuple[float, float]], names: Seque
 
 def combine(wide: DataFrame, names: Sequence[str], method: str = "ic_weighted") -> DataFrame:
     """(name = method, code, date, t, value, fwd) of a wide frame (code, date, t, fwd, one column per signal): the weighted sum, missing values as 0."""
-    from quantaloom.combine import adaptive_combine
+    from quantaloom.combine import adaptive_combine, weighted
 
     if not names:
         raise ValueError("No signals")
@@ -103,11 +103,9 @@ def combine(wide: DataFrame, names: Sequence[str], method: str = "ic_weighted")
         return adaptive_combine(wide, names)
     found = {}
     if method in ("ic_weighted", "icir_weighted"):
-        long = to_long(wide.select("code", "date", "t", "fwd", *names), names)
-        found = {r["name"]: (r["ic_mean"], r["icir"]) for r in ic_summary(ic_series(long)).collect()}  # one row per signal
-    value = F.lit(0.0)
-    for n, w in combination_weights(found, names, method).items():
-        value = value + F.lit(w) * F.coalesce(F.col(f"`{n}`"), F.lit(0.0))
+        found = {r["name"]: (r["ic_mean"], r["icir"]) for r in ic_summary(series_of(wide, names)).collect()}  # one row per signal
+    weights = combination_weights(found, names, method)
+    value = weighted(F.array(*[F.col(f"`{n}`") for n in names]), None, F.array(*[F.lit(weights[n]) for n in names]))
     return wide.select(F.lit(method).alias("name"), "code", "date", "t", value.alias("value"), "fwd")
 
 

@@ -2,85 +2,129 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantaloom.functions.ic import average_rank, ic_series, spearman_series, to_long
+from quantaloom.functions.ic import MANY, average_rank, ic_wide, series_of, spearman_series, to_long
 
 
-def _grams(rows: DataFrame, names: Sequence[str], least: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Per date (its index, and the moments of [1, signals, fwd] over rows with a fwd), in one aggregation.
+def window_moments(rows: DataFrame, names: Sequence[str], windows: Sequence[tuple[int, int, np.ndarray]], least: int = 1) -> list[np.ndarray]:
+    """For each window (first date, end, numbers of signals) the moments of [1, these signals, fwd] over its rows with a fwd.
 
-    A date with fewer than ``least`` rows is left out.  What comes back is (signals + 2)^2 numbers a date.
+    Dates with fewer than ``least`` rows are left out.  Rows move once, by date.  A task multiplies a date's matrix and adds it up for the windows that hold the
+    date; what leaves it is one matrix per window, and these are added per window.  What comes back is (signals + 2)^2 numbers a window.
     """
-    v = [F.lit(1.0), *[F.col(f"`{n}`") for n in names], F.col("fwd")]
-    k = len(v)
-    cells = [F.sum(v[i] * v[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]
-    found = rows.where("fwd is not null").groupBy("t").agg(*cells).where(F.col("m0_0") >= least).orderBy("t").toPandas()
-    out = np.zeros((len(found), k, k))
-    for i in range(k):
-        for j in range(i, k):
-            out[:, i, j] = out[:, j, i] = found[f"m{i}_{j}"].to_numpy(float)
-    return found["t"].to_numpy(int), out
-
-
-def adaptive_weights(
-    ic: np.ndarray, days: np.ndarray, moments: np.ndarray, n_dates: int, *, lookback: int = 120, top_k: int = 50, alpha: float = 1e-4, min_train: int = 60, refit: int = 5, explore: float = 0.1,
-) -> dict[int, np.ndarray]:
-    """Weights of all signals by date index, from ``min_train`` on.
-
-    ``ic``: signals x dates.  ``moments``: of [1, signals, fwd] on the dates ``days``.  At each refit, signals are chosen by mean
-    IC times ICIR over the look-back, plus a bonus for those seldom chosen, and a ridge without intercept is solved
-    from the sums of the look-back's moments.  Between refits the last weights hold.
+    names = list(names)
+    starts, ends = (np.array([w[k] for w in windows]) for k in (0, 1))
+    columns = [np.r_[0, np.asarray(w[2]) + 1, len(names) + 1] for w in windows]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        held: list[np.ndarray] = []
+        at: int | None = None
+
+        def settle() -> None:
+            x = np.concatenate(held) if held else np.empty((0, 0))
+            if len(x) < max(least, 1):
+                return
+            x = np.concatenate([np.ones((len(x), 1)), x], 1)
+            inside = np.flatnonzero((starts <= at) & (at < ends)).tolist()
+            whole = x.T @ x if any(len(columns[w]) == x.shape[1] for w in inside) else None
+            for w in inside:
+                if len(columns[w]) == x.shape[1]:
+                    own = whole
+                else:
+                    part = x[:, columns[w]]
+                    own = part.T @ part
+                sums[w] = sums[w] + own if w in sums else own.copy()
+
+        for b in batches:
+            t = b.column(0).to_numpy()
+            x = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(1, b.num_columns)], 1) if b.num_rows else None
+            for lo, hi in zip(*(lambda c: (c[:-1], c[1:]))(np.r_[0, np.flatnonzero(np.diff(t)) + 1, len(t)]), strict=True):
+                if lo == hi:
+                    continue
+                if t[lo] != at:
+                    settle()
+                    held, at = [], int(t[lo])
+                held.append(x[lo:hi])
+        settle()
+        for w, m in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([w], pa.int32()), pa.array([m.ravel().tolist()], pa.list_(pa.float64()))], names=["w", "m"])
+
+    ready = rows.where("fwd is not null").select("t", *[F.col(f"`{n}`").cast("double") for n in names], F.col("fwd").cast("double"))
+    parts = ready.repartition("t").sortWithinPartitions("t").mapInArrow(run, "w int, m array<double>")
+    added = parts.groupBy("w").applyInPandas(lambda f: pd.DataFrame({"w": f["w"].iloc[:1], "m": [np.sum(f["m"].to_list(), 0)]}), "w int, m array<double>")
+    out = [np.zeros((len(c), len(c))) for c in columns]
+    for r in added.collect():  # one matrix per window
+        out[r["w"]] = np.array(r["m"]).reshape(out[r["w"]].shape)
+    return out
+
+
+def weighted(columns: Column, at: Column | None, w: Column) -> Column:
+    """The sum of ``w`` times the elements of the array ``columns``, at the places ``at`` if given; missing elements count as 0.  One expression, however many there are."""
+    pairs = F.zip_with(columns, w, lambda x, v: v * F.coalesce(x, F.lit(0.0))) if at is None else F.zip_with(at, w, lambda i, v: v * F.coalesce(F.get(columns, i), F.lit(0.0)))
+    return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
+
+
+def adaptive_plan(
+    ic: np.ndarray, rows: np.ndarray, n_dates: int, *, lookback: int = 120, top_k: int = 50, min_train: int = 60, refit: int = 5, explore: float = 0.1,
+) -> list[tuple[int, int, np.ndarray]]:
+    """The refits (window's first date, date, chosen signals) from ``min_train`` on.
+
+    ``ic``: signals x dates; ``rows``: with a forward return, by date.  At each refit, signals are chosen by mean IC times ICIR over the
+    look-back, plus a bonus for those seldom chosen.  A window of too few rows is no refit; then the next date tries, if there was none before.
     """
-    by_day = np.zeros((n_dates, *moments.shape[1:]))
-    by_day[days] = moments
-    upto = np.concatenate([np.zeros((1, *moments.shape[1:])), np.cumsum(by_day, 0)])
-    visits, out, last = np.zeros(len(ic)), {}, None
+    upto = np.r_[0, np.cumsum(rows)]
+    visits, out = np.zeros(len(ic)), []
     for t in range(min_train, n_dates):
-        if t % refit == 0 or last is None:
-            start = max(0, t - lookback)
-            seen = ic[:, start:t]
-            some = ~np.isnan(seen)
-            n = np.maximum(some.sum(1), 1)
-            mean = np.where(some, seen, 0).sum(1) / n
-            sd = np.sqrt((np.where(some, seen - mean[:, None], 0) ** 2).sum(1) / n)
-            score = np.abs(mean) * np.abs(mean) / np.where(sd < 1e-10, 1.0, sd) + explore / (1 + visits)
-            chosen = np.argsort(-score, kind="stable")[:top_k]
-            visits[chosen] += 1
-            m = upto[t] - upto[start]
-            if m[0, 0] >= len(chosen) + 10:
-                x = m[np.ix_(chosen + 1, chosen + 1)] + alpha * np.eye(len(chosen))
-                last = np.zeros(len(ic))
-                last[chosen] = np.linalg.solve(x, m[chosen + 1, -1])
-        if last is not None:
-            out[t] = last
+        if t % refit and out:
+            continue
+        start = max(0, t - lookback)
+        seen = ic[:, start:t]
+        some = ~np.isnan(seen)
+        n = np.maximum(some.sum(1), 1)
+        mean = np.where(some, seen, 0).sum(1) / n
+        sd = np.sqrt((np.where(some, seen - mean[:, None], 0) ** 2).sum(1) / n)
+        score = np.abs(mean) * np.abs(mean) / np.where(sd < 1e-10, 1.0, sd) + explore / (1 + visits)
+        chosen = np.argsort(-score, kind="stable")[:top_k]
+        visits[chosen] += 1
+        if upto[t] - upto[start] >= len(chosen) + 10:
+            out.append((start, t, chosen))
     return out
 
 
-def adaptive_combine(wide: DataFrame, names: Sequence[str], **how) -> DataFrame:
+def adaptive_combine(wide: DataFrame, names: Sequence[str], *, alpha: float = 1e-4, **how) -> DataFrame:
     """(name, code, date, t, value, fwd) of the adaptive mix; missing before it has weights.
 
-    The cluster computes ICs and moments; the choice of signals, date after date, works on these small tables.
+    The cluster computes ICs, then the moments of each refit's chosen signals over its look-back; a ridge without intercept is solved for
+    each.  Between refits the last weights hold.  The choice of signals, date after date, works on the ICs alone, one number per signal and date.
     """
-    spark = wide.sparkSession
-    ics = ic_series(to_long(wide.select("code", "date", "t", "fwd", *names), names)).select("name", "t", "ic").toPandas()
-    n_dates = wide.agg(F.max("t")).first()[0] + 1
+    spark, names = wide.sparkSession, list(names)
+    ics = series_of(wide, names).select("name", "t", "ic").toPandas()
+    counts = wide.groupBy("t").agg(F.count("fwd").alias("n")).toPandas()  # one row per date
+    n_dates = int(counts["t"].max()) + 1
+    rows = np.zeros(n_dates)
+    rows[counts["t"].to_numpy(int)] = counts["n"].to_numpy(float)
     ic = np.full((len(names), n_dates), np.nan)
-    ic[[list(names).index(n) for n in ics["name"]], ics["t"].to_numpy(int)] = ics["ic"].to_numpy(float)
+    place = {n: i for i, n in enumerate(names)}
+    ic[[place[n] for n in ics["name"]], ics["t"].to_numpy(int)] = ics["ic"].to_numpy(float)
+    plan = adaptive_plan(ic, rows, n_dates, **how)
     filled = wide.select("t", "fwd", *[F.coalesce(F.col(f"`{n}`"), F.lit(0.0)).alias(n) for n in names])
-    days, moments = _grams(filled, names)
-    weights = adaptive_weights(ic, days, moments, n_dates, **how)
-    table = spark.createDataFrame([(t, w.tolist()) for t, w in weights.items()], "t int, w array<double>")
-    rows = wide.join(F.broadcast(table), "t", "left")  # one row per date
-    value = F.lit(0.0)
-    for i, n in enumerate(names):
-        value = value + F.get("w", F.lit(i)) * F.coalesce(F.col(f"`{n}`"), F.lit(0.0))
-    return rows.select(F.lit("adaptive").alias("name"), "code", "date", "t", value.alias("value"), "fwd")
+    fitted = []
+    for (_, t, chosen), m in zip(plan, window_moments(filled, names, plan), strict=True):
+        x = m[1:-1, 1:-1] + alpha * np.eye(len(chosen))
+        fitted.append((t, chosen.tolist(), np.linalg.solve(x, m[1:-1, -1]).tolist()))
+    ends = [t for t, _, _ in fitted[1:]] + [n_dates]
+    table = spark.createDataFrame([(d, at, w) for (t, at, w), end in zip(fitted, ends, strict=True) for d in range(t, end)] if fitted else [], "t int, __at array<int>, __w array<double>")
+    value = F.when(F.col("__w").isNotNull(), weighted(F.array(*[F.col(f"`{n}`") for n in names]), F.col("__at"), F.col("__w")))
+    return wide.join(F.broadcast(table), "t", "left").select(F.lit("adaptive").alias("name"), "code", "date", "t", value.alias("value"), "fwd")  # one row per date is broadcast
 
 
 @dataclass
@@ -142,9 +186,9 @@ def ridge_coefficients(m: np.ndarray, alpha: float = 1.0) -> tuple[np.ndarray, f
 def walk_forward(wide: DataFrame, names: Sequence[str], *, backend: str = "ridge", train: int = 500, step: int = 60, purge: int = 5, alpha: float = 1.0, least: int = 20, trees: int = 30) -> CombinerReport:
     """Fit on a window, skip a purge gap, predict the next dates, move on; daily Spearman of predictions and fwd.
 
-    Rows with every signal and fwd count, on dates with at least ``least`` of them.  'ridge' is exact: one aggregation
-    gives every date's moments, and the folds' windows are sums of these.  'gbt' trains one MLlib model per fold,
-    of ``trees`` trees or fewer: it ends at the first one that makes the error of the held-out rows larger.
+    Rows with every signal and fwd count, on dates with at least ``least`` of them.  'ridge' is exact: one pass
+    gives the moments of every fold's window.  'gbt' trains one MLlib model per fold,
+    of ``trees`` trees or fewer: it ends at the first one that makes the error of the held-out rows larger.  'auto' is 'gbt', the trees that are always there.
     """
     n_dates = wide.agg(F.max("t")).first()[0] + 1
     plan = folds(n_dates, train, step, purge)
@@ -152,24 +196,24 @@ def walk_forward(wide: DataFrame, names: Sequence[str], *, backend: str = "ridge
     whole = wide.select("code", "date", "t", "fwd", *cols).na.drop(subset=["fwd", *names])
     busy = whole.groupBy("t").count().where(F.col("count") >= least).select("t")
     rows = whole.join(F.broadcast(busy), "t", "left_semi")
-    individual = {r["name"]: r["ic"] or 0.0 for r in spearman_series(to_long(wide.select("code", "date", "t", "fwd", *cols), names), least=least).groupBy("name").agg(F.avg("ic").alias("ic")).collect()}
+    own = wide.select("code", "date", "t", "fwd", *cols)
+    alone = ic_wide(own, names, least=least, ties="average") if len(names) >= MANY else spearman_series(to_long(own, names), least=least)
+    individual = {r["name"]: r["ic"] or 0.0 for r in alone.groupBy("name").agg(F.avg("ic").alias("ic")).collect()}
     importance, used, predictions = np.zeros(len(names)), 0, None
+    if backend == "auto":
+        backend = "gbt"
     if backend == "ridge":
-        days, moments = _grams(rows, names, least)
         models = []
-        for a, b, s, e in plan:
-            m = moments[(days >= a) & (days < b)].sum(0)
-            if m.shape == () or m[0, 0] < 100:
+        every = np.arange(len(names))
+        for (_, _, s, e), m in zip(plan, window_moments(rows, names, [(a, b, every) for a, b, _, _ in plan], least), strict=True):
+            if m[0, 0] < 100:
                 continue
             beta, intercept = ridge_coefficients(m, alpha)
             used += 1
             importance += np.abs(beta) * np.sqrt(np.maximum(np.diag(m)[1:-1] / m[0, 0] - (m[0, 1:-1] / m[0, 0]) ** 2, 0))
-            models += [(t, [*beta.tolist(), intercept]) for t in range(s, e)]
-        table = wide.sparkSession.createDataFrame(models, "t int, w array<double>")
-        value = F.get("w", F.lit(len(names)))
-        for i, c in enumerate(cols):
-            value = value + F.get("w", F.lit(i)) * F.col(c)
-        predictions = rows.join(F.broadcast(table), "t").select("code", "date", "t", "fwd", value.alias("value"))
+            models += [(t, beta.tolist(), intercept) for t in range(s, e)]
+        table = wide.sparkSession.createDataFrame(models, "t int, __w array<double>, __intercept double")
+        predictions = rows.join(F.broadcast(table), "t").select("code", "date", "t", "fwd", (weighted(F.array(*cols), None, F.col("__w")) + F.col("__intercept")).alias("value"))
     elif backend == "gbt":
         from pyspark.ml.feature import VectorAssembler
         from pyspark.ml.regression import GBTRegressor
@@ -194,4 +238,4 @@ def walk_forward(wide: DataFrame, names: Sequence[str], *, backend: str = "ridge
     return CombinerReport(backend, ic, individual, {n: float(v / total) for n, v in zip(names, importance, strict=True)} if used else {}, used)
 
 
-__all__ = ["CombinerReport", "adaptive_combine", "adaptive_weights", "average_rank", "folds", "ridge_coefficients", "walk_forward"]
+__all__ = ["CombinerReport", "adaptive_combine", "adaptive_plan", "average_rank", "folds", "ridge_coefficients", "walk_forward", "weighted", "window_moments"]

@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from math import sqrt
 from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +60,51 @@ def spearman_series(pairs: DataFrame, *, least: int = MIN_ASSETS) -> DataFrame:
     return _by_date(ranked, ["name", "date", "t"], least)
 
 
+def ic_wide(wide: DataFrame, names: Sequence[str], *, least: int = MIN_ASSETS, ties: str = "code") -> DataFrame:
+    """``ic_series`` (ties 'code') or ``spearman_series`` (ties 'average') of many signals that are columns of ``wide`` (code, date, t, fwd, ...).
+
+    Rows move once, by date, and a date's assets are ranked together for all signals: nothing is unpivoted, which for hundreds of
+    signals would be hundreds of times the rows.  A date's assets and signals must fit a task (8 bytes a cell).
+    """
+    kind = dict(wide.dtypes)["date"]
+    method, names = {"code": "first", "average": "average"}[ties], list(names)
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f[f["fwd"].notna()].sort_values("code", kind="stable")
+        x, y = f[names], f["fwd"]
+        present = x.notna().to_numpy()
+        n = present.sum(0)
+        out = np.full(len(names), np.nan)
+        patterns, which = np.unique(present, axis=1, return_inverse=True)
+        for k in range(patterns.shape[1]):
+            rows, own = patterns[:, k], np.flatnonzero(which.ravel() == k)
+            if rows.sum() < max(least, 1):
+                continue
+            a, b = x.iloc[rows, own].rank(method=method).to_numpy(), y[rows].rank(method=method).to_numpy()
+            a, b = a - a.mean(0), b - b.mean()
+            va, vb = (a * a).sum(0), (b * b).sum()
+            if vb > FLAT:
+                out[own] = np.where(va > FLAT, (a * b[:, None]).sum(0) / np.sqrt(np.where(va > FLAT, va, 1) * vb), np.nan)
+        seen = np.flatnonzero(n)
+        ic = pd.Series(out[seen], dtype=object).where(~np.isnan(out[seen]), None)
+        return pd.DataFrame({"name": [names[i] for i in seen], "n": n[seen], "ic": ic})
+
+    def keyed(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        found = run(f)
+        return found.assign(date=key[0], t=key[1])[["name", "date", "t", "n", "ic"]]
+
+    return wide.select("code", "date", "t", "fwd", *[F.col(f"`{n}`") for n in names]).groupBy("date", "t").applyInPandas(keyed, f"name string, date {kind}, t int, n long, ic double")
+
+
+#: Signals from which on ``series_of`` ranks them as columns.
+MANY = 8
+
+
+def series_of(wide: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``ic_series`` of signals that are columns of ``wide``."""
+    return ic_wide(wide, names) if len(names) >= MANY else ic_series(to_long(wide.select("code", "date", "t", "fwd", *[F.col(f"`{n}`") for n in names]), names))
+
+
 def signal_correlation(a: DataFrame, b: DataFrame, *, least: int = MIN_ASSETS) -> DataFrame:
     """(correlation, n_dates): mean over dates of the Spearman correlation of two signals (code, date, t, value); 0 if no date counts."""
     both = a.select("code", "date", "t", "value").join(b.select("code", "date", F.col("value").alias("fwd")), ["code", "date"])

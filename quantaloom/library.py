@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantaloom.functions.ic import hlz_threshold, ic_series, ic_summary, out_of_sample, signal_correlation, to_long
+from quantaloom.functions.ic import hlz_threshold, ic_summary, out_of_sample, series_of, signal_correlation, to_long
 from quantaloom.plans.compiler import evaluate
 from quantaloom.plans.expression import validate
 from quantaloom.sources.panel import FEATURES, Panel
@@ -32,9 +32,10 @@ def signals(panel: Panel, formulas: Sequence[str]) -> DataFrame:
 
 def measure(panel: Panel, formulas: Sequence[str], wide: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(IC series, share of missing cells) of a batch of formulas, in long form; ``wide``: their signals, if at hand."""
-    long = to_long(signals(panel, formulas) if wide is None else wide, [f"f{i}" for i in range(len(formulas))])
-    absent = long.groupBy("name").agg(F.avg(F.col("value").isNull().cast("double")).alias("missing"))
-    return ic_series(long), absent
+    wide = signals(panel, formulas) if wide is None else wide
+    names = [f"f{i}" for i in range(len(formulas))]
+    absent = to_long(wide.agg(*[F.avg(F.col(n).isNull().cast("double")).alias(n) for n in names]), names, "missing")
+    return series_of(wide, names), absent
 
 
 @dataclass
@@ -100,6 +101,7 @@ def dedup(ranked: Sequence[Screened], max_corr: float = 0.85, max_keep: int = 10
     return kept
 
 
+#: The fields of a record are those of the library's file format.
 @dataclass
 class FactorRecord:
     expression: str
@@ -116,11 +118,18 @@ class FactorRecord:
 
 @dataclass(frozen=True)
 class Verdict:
+    """``code``: first, distinct or stronger (admitted); too_few_days, weak, insignificant, decayed or alike.  ``figures`` are what it was decided by."""
+
     admitted: bool
-    reason: str
+    code: str
+    figures: dict[str, float] = field(default_factory=dict)
     replace: int | None = None
     max_correlation: float = 0.0
 
+    @property
+    def reason(self) -> str:
+        return " ".join([self.code, *(f"{k}={v:.4g}" for k, v in self.figures.items())])
+
 
 class FactorLibrary:
     """Records in a JSON file, and the rules of admission to them."""
@@ -171,28 +180,29 @@ class FactorLibrary:
         """Whether a formula, with its IC series, is admitted: IC, significance, decay out of sample (if asked for), resemblance, replacement."""
         s = ic_summary(ics).first()
         if s is None or s["n_days"] < 10:
-            return Verdict(False, "Insufficient IC data points")
+            return Verdict(False, "too_few_days", {"days": s["n_days"] if s else 0})
         size = abs(s["ic_mean"])
         if size < ic_threshold:
-            return Verdict(False, f"IC too low: {size:.4f} < {ic_threshold}")
+            return Verdict(False, "weak", {"ic": size, "least": ic_threshold})
         if use_hlz:
             need = hlz_threshold(n := max(n_tested, len(self) + 1, 10))
             if abs(s["ic_t"]) < need:
-                return Verdict(False, f"HLZ rejected: |t| = {abs(s['ic_t']):.2f} < {need:.2f} ({n} tests)")
+                return Verdict(False, "insignificant", {"t": abs(s["ic_t"]), "least": need, "tests": n})
         if use_oos:
             o = out_of_sample(ics, panel.n_dates).first()
             if o["valid"] and o["degradation"] > 0.7:
-                return Verdict(False, f"OOS degradation too high: {o['degradation']:.0%}")
+                return Verdict(False, "decayed", {"degradation": o["degradation"]})
         if not self.factors:
-            return Verdict(True, f"First factor, IC = {size:.4f}")
+            return Verdict(True, "first", {"ic": size})
         alike = np.abs(self.correlations(panel, formula))
         worst = int(alike.argmax())
         most = float(alike[worst])
+        figures = {"ic": size, "correlation": most}
         if most < corr_threshold:
-            return Verdict(True, f"Admitted: IC = {size:.4f}, max_corr = {most:.4f}", None, most)
+            return Verdict(True, "distinct", figures, None, most)
         if size > 1.1 * abs(self.factors[worst].ic_mean):
-            return Verdict(True, f"Replacement: IC = {size:.4f}, max_corr = {most:.4f}", worst, most)
-        return Verdict(False, f"Too correlated: max_corr = {most:.4f} >= {corr_threshold}", None, most)
+            return Verdict(True, "stronger", figures, worst, most)
+        return Verdict(False, "alike", figures, None, most)
 
 
 def signal_turnover(panel: Panel, formula: str) -> float:

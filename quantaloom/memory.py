@@ -1,18 +1,21 @@
-"""What a mining run remembers: directions that worked, directions to avoid, insights, how full each domain is."""
+"""What a mining run remembers: formulas that worked, formulas that resemble others, insights, rejections, and how full each domain is."""
 
 from __future__ import annotations
 
-import re
 import time
+from collections import Counter, deque
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import asdict, dataclass, field, fields
 from pathlib import Path
 from typing import Any
 
 from quantaloom.sources.stores import load_json, save_json
 
-#: How many entries of each list are kept.
-KEEP = {"recommended_directions": 30, "forbidden_directions": 50, "strategic_insights": 20, "recent_rejections": 30}
 WEEK = 7 * 86400.0
+#: Admissions that fill a domain.
+FULL = 20
+#: How many notes of each kind are kept.
+KEEP = {"worked": 30, "alike": 50, "insights": 20, "rejected": 30}
 #: Domains by the first of their words that a formula or its explanation holds.
 DOMAINS = (
     ("momentum", ("momentum", "动量", "ts_delta", "ts_lag")),
@@ -28,71 +31,96 @@ def domain(formula: str, logic: str = "") -> str:
     return next((name for name, words in DOMAINS if any(w in text for w in words)), "other")
 
 
+@dataclass(frozen=True)
+class Note:
+    """A formula or a sentence, why it is remembered (an admission's or a rejection's code), and since when."""
+
+    text: str
+    code: str = ""
+    logic: str = ""
+    figures: dict[str, float] = field(default_factory=dict)
+    at: float = 0.0
+
+    def line(self) -> str:
+        shown = [self.code, *(f"{k} {v:.4g}" for k, v in self.figures.items()), self.logic]
+        return f"- {self.text}: {', '.join(x for x in shown if x)}" if any(shown) else f"- {self.text}"
+
+
+@dataclass
+class Tally:
+    """Counts of a run so far; ``share`` is that of the last round's proposals that were admitted."""
+
+    rounds: int = 0
+    proposed: int = 0
+    admitted: int = 0
+    share: float = 0.0
+    by_domain: dict[str, int] = field(default_factory=dict)
+
+    def fullness(self) -> dict[str, float]:
+        return {name: min(1.0, n / FULL) for name, n in self.by_domain.items()}
+
+
+def _known(kind: type, values: Any) -> dict[str, Any]:
+    names = {f.name for f in fields(kind)}
+    return {k: v for k, v in values.items() if k in names} if isinstance(values, dict) else {}
+
+
 class ExperienceMemory:
-    """Four bounded lists and a state, in a JSON file that is rewritten after each change."""
+    """Notes of four kinds, a bounded number of each, and a tally, in a JSON file that is rewritten after each change."""
 
     def __init__(self, path: str | Path, clock: Callable[[], float] = time.time) -> None:
         self.path, self.clock = Path(path), clock
-        found = load_json(self.path, {})
-        self.state: dict[str, Any] = {"library_size": 0, "total_candidates": 0, "total_admitted": 0, "recent_admission_rate": 0.0, "domain_saturation": {}, "current_round": 0}
-        self.state |= found.get("mining_state", {})
-        self.lists: dict[str, list[dict]] = {k: list(found.get(k, [])) for k in KEEP}
+        stored = load_json(self.path, {})
+        stored = stored if isinstance(stored, dict) else {}
+        self.tally = Tally(**_known(Tally, stored.get("tally")))
+        self.notes = {kind: deque((Note(**_known(Note, n)) for n in stored.get(kind, []) if isinstance(n, dict) and "text" in n), maxlen=most) for kind, most in KEEP.items()}
 
-    def _settle(self) -> None:
-        for k, n in KEEP.items():
-            self.lists[k] = self.lists[k][-n:]
-        save_json(self.path, {"mining_state": self.state, **self.lists})
+    def dump(self) -> dict[str, Any]:
+        return {"tally": asdict(self.tally), **{kind: [asdict(n) for n in own] for kind, own in self.notes.items()}}
 
     def retrieve(self, library_size: int) -> dict[str, str]:
-        """Text blocks for a proposer: state with saturation bars, last recommended, forbidden and rejected formulas."""
-        self.state["library_size"] = library_size
-        lines = [f"library size: {library_size}", f"round: {self.state['current_round']}", f"recent admission rate: {self.state['recent_admission_rate']:.1%}"]
-        for name, share in sorted(self.state["domain_saturation"].items(), key=lambda x: -x[1]):
-            lines.append(f"  {name}: {'#' * int(share * 10):-<10} {share:.0%}")
-
-        def block(key: str, n: int, show: Callable[[dict], str]) -> str:
-            return "\n".join("- " + show(x) for x in self.lists[key][-n:]) or "none yet"
-
-        return {
-            "mining_state_summary": "\n".join(lines),
-            "recommended_directions": block("recommended_directions", 10, lambda x: f"{x['direction']} (IC {x.get('success_rate', 'N/A')})"),
-            "forbidden_directions": block("forbidden_directions", 10, lambda x: f"{x['direction']} ({x.get('reason', '')})"),
-            "recent_rejections": block("recent_rejections", 5, lambda x: f"{x.get('expression', '?')}: {x.get('reason', '?')}"),
-        }
+        """What a proposer is told: how the run stands, and the last notes of each kind."""
+        t = self.tally
+        stand = [f"{library_size} formulas in the library after {t.rounds} rounds; {t.share:.0%} of the last round's were admitted"]
+        stand += [f"{name}: {share:.0%} full" for name, share in sorted(t.fullness().items(), key=lambda x: (-x[1], x[0]))]
+        told = {"state": "\n".join(stand)}
+        for kind, n in (("worked", 10), ("alike", 10), ("rejected", 5), ("insights", 5)):
+            told[kind] = "\n".join(note.line() for note in list(self.notes[kind])[-n:])
+        return told
 
     def formation(self, results: Sequence[Mapping[str, Any]]) -> None:
-        """Learn from a round's results (expression, admitted, reason, ic_mean, logic)."""
-        now, s = self.clock(), self.state
-        admitted = [r for r in results if r.get("admitted")]
-        if results:
-            s["recent_admission_rate"] = len(admitted) / len(results)
-            s["total_candidates"] += len(results)
-            s["total_admitted"] += len(admitted)
+        """Take in a round's results (expression, logic, admitted, code, figures)."""
+        now, t = self.clock(), self.tally
+        known = {n.text for n in self.notes["worked"]}
         for r in results:
-            formula, reason = r.get("expression", ""), r.get("reason", "")
-            if r.get("admitted"):
-                where = domain(formula, r.get("logic", ""))
-                told = f"{r.get('logic', '')} [{formula[:60]}]"
-                if all(x["direction"] != told for x in self.lists["recommended_directions"]):
-                    self.lists["recommended_directions"].append({"direction": told, "success_rate": f"{r.get('ic_mean', 0):.4f}", "domain": where, "added_at": now})
-                s["domain_saturation"][where] = min(1.0, s["domain_saturation"].get(where, 0.0) + 0.05)
-            else:
-                if re.search("correlated", reason, re.IGNORECASE):
-                    self.lists["forbidden_directions"].append({"direction": f"{formula[:80]} -- {reason}", "reason": reason, "added_at": now})
-                self.lists["recent_rejections"].append({"expression": formula[:80], "reason": reason})
-        self._settle()
+            note = Note(r["expression"], r.get("code", ""), r.get("logic", ""), dict(r.get("figures", {})), now)
+            if r["admitted"]:
+                where = domain(note.text, note.logic)
+                t.by_domain = dict(Counter(t.by_domain) + Counter({where: 1}))
+                if note.text not in known:
+                    self.notes["worked"].append(note)
+                continue
+            self.notes["rejected"].append(note)
+            if note.code == "alike":
+                self.notes["alike"].append(note)
+        if results:
+            n = sum(bool(r["admitted"]) for r in results)
+            t.proposed, t.admitted, t.share = t.proposed + len(results), t.admitted + n, n / len(results)
+        save_json(self.path, self.dump())
 
     def evolution(self, insights: Sequence[str] = ()) -> None:
-        """Take in new insights, and forget directions older than a week."""
+        """Take in new insights, and forget what is older than a week of what worked or was alike."""
         now = self.clock()
-        known = {x["insight"] for x in self.lists["strategic_insights"]}
-        for i in insights:
-            if i not in known:
-                known.add(i)
-                self.lists["strategic_insights"].append({"insight": i, "added_at": now})
-        for k in ("recommended_directions", "forbidden_directions"):
-            self.lists[k] = [x for x in self.lists[k] if x.get("added_at", now) > now - WEEK]
-        self._settle()
+        for text in dict.fromkeys(insights):
+            if all(n.text != text for n in self.notes["insights"]):
+                self.notes["insights"].append(Note(text, at=now))
+        for kind in ("worked", "alike"):
+            fresh = [n for n in self.notes[kind] if n.at > now - WEEK]
+            self.notes[kind].clear()
+            self.notes[kind].extend(fresh)
+        save_json(self.path, self.dump())
 
     def snapshot(self) -> dict[str, Any]:
-        return {"mining_state": self.state, **self.lists, "recent_rejections": self.lists["recent_rejections"][-10:]}
+        """The whole memory, and how full each domain is; of the rejections the last ten."""
+        out = self.dump() | {"fullness": self.tally.fullness()}
+        return out | {"rejected": out["rejected"][-10:]}

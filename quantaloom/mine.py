@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quantaloom.functions.ic import ic_summary
 from quantaloom.generate import candidates
-from quantaloom.library import FactorLibrary, FactorRecord, measure, signal_turnover
+from quantaloom.library import FactorLibrary, FactorRecord, Verdict, measure, signal_turnover
 from quantaloom.memory import ExperienceMemory
 from quantaloom.plans.expression import validate
 from quantaloom.sources.panel import Panel
@@ -76,7 +76,7 @@ class Miner:
         self.fast, self.log = panel.head(fast_assets), log or (lambda _: None)
         self.round, self.running, self.status = 0, False, "idle"
 
-    def _screened(self, proposals: Sequence[Proposal]) -> dict[int, str]:
+    def _screened(self, proposals: Sequence[Proposal]) -> dict[int, Verdict]:
         """Why proposals (by number) fail the fast screen."""
         ics, absent = measure(self.fast, [p.expression for p in proposals])
         stats = {r["name"]: r for r in absent.join(ic_summary(ics), "name", "left").collect()}
@@ -84,29 +84,33 @@ class Miner:
         for i in range(len(proposals)):
             r = stats[f"f{i}"]
             if r["missing"] > 0.5:
-                out[i] = f"Too many missing values: {r['missing']:.1%}"
+                out[i] = Verdict(False, "missing", {"share": r["missing"]})
             elif (r["n_days"] or 0) < 10:
-                out[i] = "Insufficient IC data from fast screen"
+                out[i] = Verdict(False, "too_few_days", {"days": r["n_days"] or 0})
             elif abs(r["ic_mean"]) < self.ic_threshold:
-                out[i] = f"Fast screen IC too low: {abs(r['ic_mean']):.4f}"
+                out[i] = Verdict(False, "weak", {"ic": abs(r["ic_mean"]), "least": self.ic_threshold})
         return out
 
     def evaluate(self, proposals: Sequence[Proposal]) -> list[dict[str, Any]]:
         """Results of a round, in order; admitted formulas are in the library afterwards."""
         known = {c for c in self.panel.df.columns if c not in ("code", "date", "t", "fwd")}
-        results: list[dict[str, Any]] = [{"expression": p.expression, "logic": p.logic, "admitted": False, "reason": "", "ic_mean": 0.0} for p in proposals]
+        results: list[dict[str, Any]] = [{"expression": p.expression, "logic": p.logic, "admitted": False, "code": "", "reason": "", "figures": {}, "ic_mean": 0.0} for p in proposals]
+
+        def settle(i: int, v: Verdict) -> None:
+            results[i] |= {"admitted": v.admitted, "code": v.code, "reason": v.reason, "figures": v.figures}
+
         valid = []
         for i, p in enumerate(proposals):
             ok, why = validate(p.expression, known)
             if ok:
                 valid.append(i)
             else:
-                results[i]["reason"] = f"Evaluation error: {why}"
+                results[i] |= {"code": "invalid", "reason": f"invalid: {why}"}
         if not valid:
             return results
         for k, why in self._screened([proposals[i] for i in valid]).items():
-            results[valid[k]]["reason"] = why
-        left = [i for i in valid if not results[i]["reason"]]
+            settle(valid[k], why)
+        left = [i for i in valid if not results[i]["code"]]
         if not left:
             return results
         ics = measure(self.panel, [proposals[i].expression for i in left])[0].persist()
@@ -114,7 +118,8 @@ class Miner:
         for k, i in enumerate(left):
             formula, s = proposals[i].expression, stats.get(f"f{k}")
             verdict = self.library.check(self.panel, formula, ics.where(F.col("name") == f"f{k}"), ic_threshold=self.ic_threshold, corr_threshold=self.corr_threshold)
-            results[i] |= {"admitted": verdict.admitted, "reason": verdict.reason, "ic_mean": s["ic_mean"] if s else 0.0}
+            settle(i, verdict)
+            results[i]["ic_mean"] = s["ic_mean"] if s else 0.0
             if verdict.admitted:
                 record = FactorRecord(formula, s["ic_mean"], s["ic_std"], s["icir"], verdict.max_correlation, signal_turnover(self.panel, formula), proposals[i].logic, mining_round=self.round)
                 self.library.admit(record, verdict.replace)
@@ -131,7 +136,7 @@ class Miner:
             for n in range(1, self.max_rounds + 1):
                 if not self.running or len(self.library) >= self.target_size:
                     break
-                self.round = self.memory.state["current_round"] = n
+                self.round = self.memory.tally.rounds = n
                 proposals = self.proposer.propose(self.memory.retrieve(len(self.library)), self.batch_size)
                 if not proposals:
                     self.log("no proposals")
@@ -155,5 +160,5 @@ class Miner:
     def state(self) -> dict[str, Any]:
         return {
             "status": self.status, "current_round": self.round, "max_rounds": self.max_rounds, "library_size": len(self.library), "target_size": self.target_size,
-            "is_running": self.running, "admission_rate": self.memory.state["recent_admission_rate"],
+            "is_running": self.running, "admission_rate": self.memory.tally.share,
         }

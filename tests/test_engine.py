@@ -196,14 +196,75 @@ def test_ridge_from_moments():
     assert np.allclose(beta * x.std(0), want) and b0 == pytest.approx(y.mean() - beta @ x.mean(0))
 
 
-def test_adaptive_weights_against_direct_solution():
-    rng = np.random.default_rng(5)
-    t, m = 80, 15
-    x, y = rng.normal(size=(t, m, 2)), rng.normal(size=(t, m))
-    moments = np.stack([np.c_[np.ones(m), x[i], y[i]].T @ np.c_[np.ones(m), x[i], y[i]] for i in range(t)])
-    got = cb.adaptive_weights(rng.normal(size=(2, t)) * 0.1, np.arange(t), moments, t, lookback=30, top_k=2)
-    a, b = x[30:60].reshape(-1, 2), y[30:60].ravel()
-    assert min(got) == 60 and np.allclose(got[60], np.linalg.solve(a.T @ a + 1e-4 * np.eye(2), a.T @ b)) and np.allclose(got[61], got[60])
+def many_signals(spark, m=20, t=80, k=12, seed=5):
+    """A wide frame of k signals with gaps, and the same as arrays [dates, assets, signals] and [dates, assets]."""
+    rng = np.random.default_rng(seed)
+    x, y = np.round(rng.normal(size=(t, m, k)), 1), rng.normal(size=(t, m))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    y[rng.random(y.shape) < 0.05] = np.nan
+    none = lambda v: None if np.isnan(v) else float(v)
+    rows = [(f"{j:03d}", DAY + dt.timedelta(i), i, none(y[i, j]), *map(none, x[i, j])) for i in range(t) for j in range(m)]
+    return spark.createDataFrame(rows, "code string, date date, t int, fwd double, " + ", ".join(f"s{i} double" for i in range(k))), x, y
+
+
+def test_ic_of_columns_equals_ic_of_rows(spark):
+    wide, _, _ = many_signals(spark, m=14)
+    names = [f"s{i}" for i in range(12)]
+    long = ic.to_long(wide, names)
+    for ties, of in (("code", ic.ic_series), ("average", ic.spearman_series)):
+        a, b = ({(r.name, r.t): (r.n, r.ic) for r in d.select("name", "t", "n", "ic").collect()} for d in (ic.ic_wide(wide, names, ties=ties), of(long)))
+        assert a.keys() == b.keys() and any(v[1] is None for v in a.values())
+        assert all(a[k][0] == b[k][0] and a[k][1] == (None if b[k][1] is None else pytest.approx(b[k][1], abs=1e-12)) for k in a)
+
+
+def test_adaptive_combination_against_direct_solution(spark):
+    wide, x, y = many_signals(spark)
+    names = [f"s{i}" for i in range(12)]
+    got = {(r.t, int(r.code)): r.value for r in cb.adaptive_combine(wide, names, lookback=30, top_k=3, min_train=40).collect()}
+    ics = {(r.name, r.t): r.ic for r in ic.ic_wide(wide, names).collect()}
+    series = np.array([[np.nan if ics.get((n, t)) is None else ics[n, t] for t in range(80)] for n in names])
+    visits, w = np.zeros(12), None
+    for t in range(80):
+        if t >= 40 and t % 5 == 0:
+            past = series[:, t - 30 : t]
+            mean, sd = np.nanmean(past, 1), np.nanstd(past, 1)
+            chosen = np.argsort(-(mean**2 / sd + 0.1 / (1 + visits)), kind="stable")[:3]
+            visits[chosen] += 1
+            a, b = np.nan_to_num(x[t - 30 : t][..., chosen]).reshape(-1, 3), y[t - 30 : t].ravel()
+            a, b = a[~np.isnan(b)], b[~np.isnan(b)]
+            w = np.zeros(12)
+            w[chosen] = np.linalg.solve(a.T @ a + 1e-4 * np.eye(3), a.T @ b)
+        for j in range(20):
+            assert got[t, j] is None if w is None else got[t, j] == pytest.approx(np.nan_to_num(x[t, j]) @ w)
+
+
+def test_walk_forward_ridge_against_direct_solution(spark):
+    wide, x, y = many_signals(spark, m=40, t=90)
+    names = [f"s{i}" for i in range(12)]
+    r = cb.walk_forward(wide, names, train=40, step=20, purge=5, least=5)
+    ok = ~np.isnan(x).any(2) & ~np.isnan(y)
+    ok &= (ok.sum(1) >= 5)[:, None]
+    want = []
+    for s in range(45, 90, 20):
+        a, b = x[max(0, s - 40) : s - 5][ok[max(0, s - 40) : s - 5]], y[max(0, s - 40) : s - 5][ok[max(0, s - 40) : s - 5]]
+        z = (a - a.mean(0)) / a.std(0)
+        beta = np.linalg.solve(z.T @ z + np.eye(12), z.T @ (b - b.mean()))
+        for t in range(s, min(s + 20, 90)):
+            if ok[t].sum() >= 5:
+                told = (x[t][ok[t]] - a.mean(0)) / a.std(0) @ beta
+                want.append(np.corrcoef(told.argsort().argsort(), y[t][ok[t]].argsort().argsort())[0, 1])
+    assert r.folds == 3 and np.allclose(r.ic, want) and set(r.individual) == set(names)
+
+
+def test_moments_of_windows(spark):
+    wide, x, y = many_signals(spark)
+    names = [f"s{i}" for i in range(12)]
+    filled = wide.select("t", "fwd", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])
+    windows = [(0, 10, np.array([3, 1])), (5, 80, np.arange(12)), (79, 79, np.array([0]))]
+    for (a, b, cols), m in zip(windows, cb.window_moments(filled, names, windows), strict=True):
+        z = np.concatenate([np.ones((b - a, 20, 1)), np.nan_to_num(x[a:b])[..., cols], y[a:b, :, None]], 2).reshape(-1, len(cols) + 2)
+        z = z[~np.isnan(z).any(1)]
+        assert np.allclose(m, z.T @ z)
 
 
 def test_registered_screen_takes_every_candidate(spark, panel, monkeypatch):
@@ -211,7 +272,7 @@ def test_registered_screen_takes_every_candidate(spark, panel, monkeypatch):
     monkeypatch.setattr(queries.fixtures, "panel", lambda *_: Panel(panel.df.select("*"), panel.n_dates))
     monkeypatch.setattr(queries.lib, "screen", lambda p, formulas, **_: asked.extend(formulas) or [Screened("x", 0.1, 0.2, 3.0, 0.1, np.zeros(2))])
     assert queries.screened(spark, "").count() == 1
-    assert asked == queries.candidates(2) and len(asked) == 15_152
+    assert asked == queries.candidates(1) and len(asked) == 864  # deeper ones take hours, see the README
 
 
 def test_screen_in_batches_equals_one_batch(panel):
@@ -250,10 +311,10 @@ def test_screen_library_mining_service(spark, panel, tmp_path):
     miner.library.check = lambda *a, **k: lib_check(*a, **(k | {"use_hlz": False}))
     miner.run()
     assert [f.expression for f in lib.factors] == ["cs_rank(close)"] and lib.factors[0].factor_id == "F000001"
-    reasons = {r["expression"]: r["reason"] for r in memory.lists["recent_rejections"]}
-    assert "correlated" in reasons["cs_rank(close * 2)"] and "Unknown operator" in reasons["bad(close)"] and "missing" in reasons["ts_delta(close, 89)"]
+    codes = {n.text: n.code for n in memory.notes["rejected"]}
+    assert codes == {"cs_rank(close * 2)": "alike", "bad(close)": "invalid", "ts_delta(close, 89)": "missing"}
     assert len(service.listeners) == 1 and lines and service.status()["status"] == "completed"
-    assert len(FactorLibrary(tmp_path / "lib.json")) == 1 and ExperienceMemory(tmp_path / "mem.json").state["total_admitted"] == 1
+    assert len(FactorLibrary(tmp_path / "lib.json")) == 1 and ExperienceMemory(tmp_path / "mem.json").tally.admitted == 1
     detail = service.detail("F000001")["analysis"]
     assert detail["n_days"] > 50 and set(detail["group_cumulative_returns"]) == {f"Q{i}" for i in range(1, 6)}
     assert "error" in service.detail("F9") and service.backtest(method="equal")["name"].startswith("Library (1")
@@ -269,14 +330,16 @@ def test_dedup_and_memory(tmp_path):
     assert [s.expression for s in dedup(ranked)] == ["a", "b", "flat"] and len(dedup(ranked, max_keep=1)) == 1
     now = [0.0]
     m = ExperienceMemory(tmp_path / "m.json", clock=lambda: now[0])
-    m.formation([{"expression": f"ts_std(close, {i})", "admitted": i < 40, "reason": "Too correlated", "ic_mean": 0.1, "logic": ""} for i in range(100)])
-    assert m.state["domain_saturation"] == {"volatility": 1.0} and len(m.lists["recommended_directions"]) == 30 and len(m.lists["forbidden_directions"]) == 50
-    assert "volatility" in m.retrieve(3)["mining_state_summary"]
+    m.formation([{"expression": f"ts_std(close, {i})", "admitted": i < 40, "code": "alike", "figures": {"ic": 0.1}, "logic": ""} for i in range(100)])
+    assert m.tally.fullness() == {"volatility": 1.0} and (len(m.notes["worked"]), len(m.notes["alike"]), len(m.notes["rejected"])) == (30, 50, 30)
+    assert "volatility: 100% full" in m.retrieve(3)["state"] and m.retrieve(3)["worked"].splitlines()[-1] == "- ts_std(close, 39): alike, ic 0.1"
+    again = ExperienceMemory(tmp_path / "m.json")
+    assert again.dump() == m.dump() and len(again.snapshot()["rejected"]) == 10
     now[0] = 8 * 86400.0
     m.evolution(["x", "x", "y"])
-    assert not m.lists["recommended_directions"] and [i["insight"] for i in m.lists["strategic_insights"]] == ["x", "y"]
+    assert not m.notes["worked"] and [n.text for n in m.notes["insights"]] == ["x", "y"]
     assert domain("ts_delta(volume, 3)") == "momentum" and domain("abs(open)") == "other"
     assert [p.expression for p in parse_proposals('text [{"expression": "cs_rank(close)", "logic": "l"}, {"expression": "bad("}, "abs(open)"] more')] == ["cs_rank(close)", "abs(open)"]
     assert parse_proposals("no json") == [] and parse_proposals("[broken") == []
     (tmp_path / "m.json").write_text("{broken")
-    assert ExperienceMemory(tmp_path / "m.json").state["total_candidates"] == 0
+    assert ExperienceMemory(tmp_path / "m.json").tally.proposed == 0
