@@ -38,14 +38,14 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> Da
     return small.unionByName(roots).select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def labelled(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
-    """``rows`` with the columns of ``labels`` (key, rows, ...) but for ``rows``, which says how many rows have a key; null where there is none.
+def labelled(rows: DataFrame, labels: DataFrame, key: str | list[str], how: str = "left") -> DataFrame:
+    """``rows`` joined ('left' or 'inner') to the columns of ``labels`` (key, rows, ...) but for ``rows``, which says how many rows have a key.
 
     Keys of many rows are few, at most 10,000 by the way they are chosen: their labels are broadcast, so that these rows stay where they
-    are.  Only rows of the other keys are shuffled.
+    are.  Only rows of the other keys are shuffled.  ``labels`` is read three times.
     """
     whole = labels.agg(F.sum("rows")).first()[0] or 0
     most = max(1000, whole // 10_000)
     common = F.broadcast(labels.where(F.col("rows") > most).drop("rows"))
     rare = labels.where(F.col("rows") <= most).drop("rows")
-    return rows.join(common, key).unionByName(rows.join(common, key, "left_anti").join(rare, key, "left"))
+    return rows.join(common, key).unionByName(rows.join(common, key, "left_anti").join(rare, key, how))

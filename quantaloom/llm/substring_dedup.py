@@ -8,7 +8,7 @@ Several are three or more, of whatever length, and two that hold enough words.
 to each, stand for all: a repeated longer run repeats the ones that it is made of, and these cover it.
 
 Runs are told apart by 128 bits.  Hashes are pre-aggregated before they move, so a passage that is in very many documents is one row per
-task; a join partition that it makes large can be split, as nothing needs a hash's runs in one place.
+task; the hashes with the most runs are joined by broadcast, so that no task gets all runs of one.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
+from .components import labelled
 from .hashing import mix64, salts
 from .workspace import materialize, table
 
@@ -117,8 +118,9 @@ def repeated_runs(docs: DataFrame, *, lengths: tuple[tuple[int, int], ...] = SPA
                 yield flush()
 
     runs = materialize(base.mapInArrow(run, f"h long, g long, id {kind}, at int, size int, again boolean"), "sentence-runs")
-    first = runs.groupBy("h", "g").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max(F.col("again").cast("int")).alias("twice")).where("first < last or twice = 1").select("h", "g", "first")
-    later = runs.join(first, ["h", "g"]).where("id != first or again")
+    first = runs.groupBy("h", "g").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max(F.col("again").cast("int")).alias("twice"), F.count("*").alias("rows"))
+    first = materialize(first.where("first < last or twice = 1").select("h", "g", "first", "rows"), "repeated-runs")
+    later = labelled(runs, first, ["h", "g"], "inner").where("id != first or again")
     return later.groupBy("id").agg(F.collect_list(F.struct("at", "size")).alias("runs"))
 
 
