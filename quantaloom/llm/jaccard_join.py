@@ -40,6 +40,8 @@ _SALT = salts(64, 31)
 SEEN = 1 << 20
 RUN = 1 << 16
 BLOCK = 2048
+#: Pairs of a hub that are compared in one task, about.
+PAIRS = 256
 ROUNDS = 3
 #: Classes that share the first 64 bits of their hashes with another: 3 are expected in 10^10.  More than so many are an error.
 TWINS = 100_000
@@ -265,8 +267,8 @@ def _contents(docs: DataFrame, classes: DataFrame, pairs: DataFrame, scheme: Sch
 
 
 def _verified(pairs: DataFrame, contents: DataFrame, scheme: Scheme) -> DataFrame:
-    """Those of ``pairs`` (a, b) that link.  A hub's content goes to its pairs' tasks, at most BLOCK pairs or so to one."""
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    """Those of ``pairs`` (a, b) that link.  A hub's content goes to its pairs' tasks, at most PAIRS pairs or so to one."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("parts"))
     mine = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
     mine = mine.join(contents.select(F.col("h").alias("b"), "items"), "b").select("a", "part", "b", "items")
     hubs = parts.join(contents.select(F.col("h").alias("a"), "items"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "items")
