@@ -16,7 +16,7 @@ from quantaloom.functions import analytics, ic, performance
 from quantaloom.generate import candidates, combiner_features, engineered
 from quantaloom.plans.compiler import evaluate
 from quantaloom.sources import fundamentals, stores
-from quantaloom.sources.panel import Panel, build_panel, common_dates, read_bars, universe, with_forward
+from quantaloom.sources.panel import Panel, build_panel, common_dates, panel_of_frames, read_bars, universe, with_forward
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -104,6 +104,39 @@ add(
     _q("code, date", "SELECT p.code, p.date, p.close, b.close / b.open AS pe FROM p LEFT JOIN bars b ON p.code = b.code AND p.date = b.date", fixtures.panel_ctes("f3"), 6, ("close", "pe")),
 )
 
+add(
+    "panel_of_frames",
+    lambda spark, d: rounded(panel_of_frames({f"{i}": fixtures.bars(spark, d, "f1").where(F.col("code") == f"{i}") for i in range(1, 11)}, min_days=60, min_dates=20).df.select("code", "date", "t", (F.col("close") / 7).alias("close"), "returns")),
+    _q("code, date, t", "SELECT * FROM pp", f"""{fixtures.bars_ctes('f1')}, b10 AS (SELECT * FROM bars WHERE CAST(code AS INTEGER) BETWEEN 1 AND 10), u AS (SELECT code FROM b10 GROUP BY code HAVING count(date) >= 60),
+cd AS (SELECT date, CAST(row_number() OVER (ORDER BY date) - 1 AS INTEGER) AS t FROM (SELECT date FROM b10 WHERE code IN (SELECT code FROM u) GROUP BY date HAVING count(DISTINCT code) = (SELECT count(*) FROM u))),
+pp AS (SELECT b.code, b.date, cd.t, b.close / 7 AS close, b.close / nullif(lag(b.close) OVER o, 0) - 1 AS returns FROM b10 b JOIN cd ON b.date = cd.date WHERE b.code IN (SELECT code FROM u) WINDOW o AS (PARTITION BY b.code ORDER BY b.date))""", 6, ("close", "returns")),
+)
+
+
+def _valued(spark: SparkSession, d: str) -> Panel:
+    """Fixture f3 with fundamentals made of its own bars: daily ratios and quarterly reports, under a vendor's names."""
+    b = fixtures.bars(spark, d, "f3")
+    daily = b.select(F.concat("code", F.lit(".XX")).alias("ts_code"), F.date_format("date", "yyyyMMdd").alias("trade_date"), (F.col("amount") * 3).alias("total_mv"), (F.col("close") / F.col("open")).alias("pe"), (F.col("high") / F.col("low")).alias("pb"), (F.col("low") / F.col("close")).alias("dv_ttm"))
+    quarters = _reports(spark, d).select(F.col("code").alias("ts_code"), F.date_format("report_date", "yyyyMMdd").alias("end_date"), F.col("revenue").alias("bvps"), F.col("top").alias("roe_pct"), (F.col("top") / 3).alias("basic_eps"))
+    return fundamentals.with_fundamentals(fixtures.panel(spark, d, "f3"), daily, [quarters.drop("basic_eps"), quarters.select("ts_code", "end_date", "basic_eps")])
+
+
+_VALUED = f"""{fixtures.panel_ctes('f3')}, q0 AS (SELECT code, last_day(CAST(date_trunc('quarter', date) + INTERVAL 2 MONTH AS DATE)) AS report_date, sum(volume) AS revenue, max(high) AS top FROM bars GROUP BY ALL),
+q AS (SELECT code, report_date, CASE WHEN month(report_date) <> 6 THEN revenue END AS bvps, top AS roe_pct, top / 3 AS basic_eps FROM q0),
+pv AS (SELECT p.*, b.amount * 3 AS total_mv, b.close / b.open AS pe, b.high / b.low AS pb, b.low / b.close AS dv_ttm, q.bvps, q.roe_pct, q.basic_eps FROM p LEFT JOIN bars b ON b.code = p.code AND b.date = p.date ASOF LEFT JOIN q ON p.code = q.code AND p.date - INTERVAL 45 DAY >= q.report_date)"""
+_VALUE_NAMES = {k: v for k, v in engineered(345, ("bvps", "roe_pct", "basic_eps", *fundamentals.DAILY)).items() if k not in engineered(345)}
+
+
+def valued_features(spark: SparkSession, d: str) -> DataFrame:
+    """Count and mean of the sixteen features of fundamentals."""
+    p = _valued(spark, d)
+    names = {k: v for k, v in engineered(p.n_dates, fundamentals.held(p)).items() if k in _VALUE_NAMES}
+    return rounded(ic.to_long(evaluate(p.df, names, p.n_dates), list(names)).groupBy("name").agg(F.count("value").alias("n"), F.avg(F.col("value") * F.pmod("t", F.lit(7))).alias("mean")))
+
+
+add("panel_with_fundamentals", lambda spark, d: rounded(_valued(spark, d).df.select("code", "date", "t", "total_mv", "pe", "pb", "dv_ttm", "bvps", "roe_pct", "basic_eps"), 4), _q("code, date, t", "SELECT * FROM pv", _VALUED, 4, ("total_mv", "pe", "pb", "dv_ttm", "bvps", "roe_pct", "basic_eps")))
+add("fundamental_features", valued_features, _q("name, n", "SELECT name, count(value) AS n, avg(value * (t % 7)) AS mean FROM s GROUP BY name", f"{_VALUED}, {formula_sql.ctes(_VALUE_NAMES, 345, source='pv')}, {formula_sql.long(list(_VALUE_NAMES))}", 6, ("mean",)))
+
 # ---- operators ----------------------------------------------------------------------------------------------
 
 _W5 = "(PARTITION BY code ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"

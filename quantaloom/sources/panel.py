@@ -6,8 +6,9 @@ index; rows are never pivoted.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,16 +39,43 @@ def missing(x: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
 
 
+def normalised(df: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
+    """Bars with the columns' own names, numbers coerced (what is no number is missing), and close times volume for a missing amount."""
+    df = df.withColumnsRenamed(names or VENDOR_NAMES)
+    df = df.withColumns({c: missing(F.col(c).try_cast("double")) for c in BARS if c in df.columns})
+    value = F.col("close") * F.col("volume")
+    return df.withColumn("amount", F.coalesce("amount", value) if "amount" in df.columns else value)
+
+
+class BarSource(Protocol):
+    """Where daily bars come from: a vendor's client, for instance."""
+
+    def history(self, spark: SparkSession, code: str, start: str, end: str) -> DataFrame:
+        """An asset's bars between two dates, under the vendor's names or ours."""
+        ...
+
+
+def frames_of(spark: SparkSession, source: BarSource, codes: Iterable[str], start: str, end: str) -> dict[str, DataFrame]:
+    """Bars of each asset from a source, normalised."""
+    return {c: normalised(source.history(spark, c, start, end)) for c in codes}
+
+
+def panel_of_frames(frames: Mapping[str, DataFrame], *, max_assets: int | None = 300, min_days: int = 101, min_dates: int = 60) -> Panel:
+    """The panel of frames of bars by asset, on the dates that all assets with at least ``min_days`` of them share."""
+    if not frames:
+        raise ValueError("No assets")
+    parts = [f.select(F.lit(c).alias("code"), "date", *BARS) for c, f in frames.items()]
+    while len(parts) > 1:  # in pairs, so that the plan is no deeper than the logarithm of the assets
+        parts = [a.unionByName(b) for a, b in zip(parts[::2], parts[1::2], strict=False)] + parts[len(parts) // 2 * 2 :]
+    return build_panel(parts[0], max_assets=max_assets, min_days=min_days, min_dates=min_dates)
+
+
 def read_bars(spark: SparkSession, paths: str | Iterable[str], names: dict[str, str] | None = None) -> DataFrame:
     """Daily bars (code, date, open, high, low, close, volume, amount and whatever else) of one or more parquet paths.
 
     Columns are renamed by ``names``; numbers are coerced, what is no number is missing; a missing amount is close times volume.
     """
-    df = spark.read.parquet(*([paths] if isinstance(paths, str) else paths)).withColumnsRenamed(names or VENDOR_NAMES)
-    numbers = {c: missing(F.col(c).try_cast("double")) for c in BARS if c in df.columns}
-    df = df.withColumns(numbers)
-    value = F.col("close") * F.col("volume")
-    return df.withColumn("amount", F.coalesce("amount", value) if "amount" in df.columns else value)
+    return normalised(spark.read.parquet(*([paths] if isinstance(paths, str) else paths)), names)
 
 
 def parse_date(c: Column) -> Column:
