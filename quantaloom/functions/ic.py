@@ -10,7 +10,7 @@ from math import sqrt
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,7 +69,8 @@ def ic_wide(wide: DataFrame, names: Sequence[str], *, least: int = MIN_ASSETS, t
     kind = dict(wide.dtypes)["date"]
     method, names = {"code": "first", "average": "average"}[ties], list(names)
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        f = rows.to_pandas()
         f = f[f["fwd"].notna()].sort_values("code", kind="stable")
         x, y = f[names], f["fwd"]
         present = x.notna().to_numpy()
@@ -77,23 +78,20 @@ def ic_wide(wide: DataFrame, names: Sequence[str], *, least: int = MIN_ASSETS, t
         out = np.full(len(names), np.nan)
         patterns, which = np.unique(present, axis=1, return_inverse=True)
         for k in range(patterns.shape[1]):
-            rows, own = patterns[:, k], np.flatnonzero(which.ravel() == k)
-            if rows.sum() < max(least, 1):
+            here, own = patterns[:, k], np.flatnonzero(which.ravel() == k)
+            if here.sum() < max(least, 1):
                 continue
-            a, b = x.iloc[rows, own].rank(method=method).to_numpy(), y[rows].rank(method=method).to_numpy()
+            a, b = x.iloc[here, own].rank(method=method).to_numpy(), y[here].rank(method=method).to_numpy()
             a, b = a - a.mean(0), b - b.mean()
             va, vb = (a * a).sum(0), (b * b).sum()
             if vb > FLAT:
                 out[own] = np.where(va > FLAT, (a * b[:, None]).sum(0) / np.sqrt(np.where(va > FLAT, va, 1) * vb), np.nan)
         seen = np.flatnonzero(n)
-        ic = pd.Series(out[seen], dtype=object).where(~np.isnan(out[seen]), None)
-        return pd.DataFrame({"name": [names[i] for i in seen], "n": n[seen], "ic": ic})
+        at = rows.schema
+        columns = [pa.array([names[i] for i in seen], pa.string()), pa.array([key[0].as_py()] * len(seen), at.field("date").type), pa.array([key[1].as_py()] * len(seen), pa.int32()), pa.array(n[seen], pa.int64()), pa.array(out[seen], pa.float64(), mask=np.isnan(out[seen]))]
+        return pa.Table.from_arrays(columns, names=["name", "date", "t", "n", "ic"])
 
-    def keyed(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        found = run(f)
-        return found.assign(date=key[0], t=key[1])[["name", "date", "t", "n", "ic"]]
-
-    return wide.select("code", "date", "t", "fwd", *[F.col(f"`{n}`") for n in names]).groupBy("date", "t").applyInPandas(keyed, f"name string, date {kind}, t int, n long, ic double")
+    return wide.select("code", "date", "t", "fwd", *[F.col(f"`{n}`") for n in names]).groupBy("date", "t").applyInArrow(run, f"name string, date {kind}, t int, n long, ic double")
 
 
 #: Signals from which on ``series_of`` ranks them as columns.

@@ -345,17 +345,24 @@ add(
 )
 
 
+#: All candidates of depth 1 are screened by two queries.  The skew of two values is the square root of two by size, whatever they are, so that on
+#: the second date the ranks of ts_skew go by the last digits of a division, which no other engine shares: these candidates have no SQL.
+_SKEWS = [f for f in candidates(1) if f.startswith("ts_skew")]
+_PLAIN_ONES = [f for f in candidates(1) if f not in set(_SKEWS)]
+
+
 def screened(spark: SparkSession, d: str, formulas: list[str] | None = None) -> DataFrame:
-    """The screen over all candidates of depth 1, in batches of one plan each over a panel that is computed once."""
+    """The screen over candidates, in batches of one plan each over a panel that is computed once."""
     p = fixtures.panel(spark, d, "f1")
     p = Panel(p.df.persist(), p.n_dates)
-    found = lib.screen(p, formulas if formulas is not None else candidates(1), ic_threshold=0.005, max_keep=10_000)
+    found = lib.screen(p, formulas if formulas is not None else _PLAIN_ONES, ic_threshold=0.005, max_keep=10_000)
     p.df.unpersist()
     rows = [(s.expression, s.ic_mean, s.icir, s.t_stat) for s in found]
     return rounded(spark.createDataFrame(rows, "expression string, ic_mean double, icir double, t_stat double"), 4)
 
 
-_SCREEN = f"{_summary_ctes(_formula_signals({f: f for f in candidates(1)}))}, absent AS (SELECT name, avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END) AS missing FROM s GROUP BY name)"
+_SCREEN = f"{_summary_ctes(_formula_signals({f: f for f in _PLAIN_ONES}))}, absent AS (SELECT name, avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END) AS missing FROM s GROUP BY name)"
+add("screen_skew", lambda spark, d: screened(spark, d, _SKEWS))
 add(
     "screen_factors",
     screened,
