@@ -345,10 +345,10 @@ add(
 )
 
 
-#: All candidates of depth 1 are screened by two queries.  The skew of two values is the square root of two by size, whatever they are, so that on
-#: the second date the ranks of ts_skew go by the last digits of a division, which no other engine shares: these candidates have no SQL.
-_SKEWS = [f for f in candidates(1) if f.startswith("ts_skew")]
-_PLAIN_ONES = [f for f in candidates(1) if f not in set(_SKEWS)]
+#: All candidates of depth 1 are screened by two queries.  The skew of two values is the square root of two by size, whatever they are, and whole volumes in
+#: another order have one deviation: such ranks go by the last digits of a division, which no other engine shares, so that these candidates have no SQL.
+_NEAR_TIES = [f for f in candidates(1) if f.startswith(("ts_skew", "ts_std(volume"))]
+_PLAIN_ONES = [f for f in candidates(1) if f not in set(_NEAR_TIES)]
 
 
 def screened(spark: SparkSession, d: str, formulas: list[str] | None = None) -> DataFrame:
@@ -362,7 +362,7 @@ def screened(spark: SparkSession, d: str, formulas: list[str] | None = None) ->
 
 
 _SCREEN = f"{_summary_ctes(_formula_signals({f: f for f in _PLAIN_ONES}))}, absent AS (SELECT name, avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END) AS missing FROM s GROUP BY name)"
-add("screen_skew", lambda spark, d: screened(spark, d, _SKEWS))
+add("screen_near_ties", lambda spark, d: screened(spark, d, _NEAR_TIES))
 add(
     "screen_factors",
     screened,

@@ -271,7 +271,7 @@ def test_registered_screen_takes_every_candidate(spark, panel, monkeypatch):
     asked = []
     monkeypatch.setattr(queries.fixtures, "panel", lambda *_: Panel(panel.df.select("*"), panel.n_dates))
     monkeypatch.setattr(queries.lib, "screen", lambda p, formulas, **_: asked.extend(formulas) or [Screened("x", 0.1, 0.2, 3.0, 0.1, np.zeros(2))])
-    assert queries.QUERIES["screen_factors"].run(spark, "").count() == 1 and queries.QUERIES["screen_skew"].run(spark, "").count() == 1
+    assert queries.QUERIES["screen_factors"].run(spark, "").count() == 1 and queries.QUERIES["screen_near_ties"].run(spark, "").count() == 1
     assert sorted(asked) == queries.candidates(1) and len(asked) == 864  # deeper ones take long, see the README
 
 
