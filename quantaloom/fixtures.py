@@ -5,7 +5,7 @@ f1: supplier x month of line items.  f2: user x day of events, with gaps.  f3: n
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantaloom.sources.panel import Panel, densify, with_forward
@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """``a / b`` as the SQL twins have it: by zero it is infinite, or NaN for 0 / 0, and no error."""
+    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(F.try_divide(a, b))
+
+
 def _bars(rows: DataFrame, order: list[str], volume, amount) -> DataFrame:
     at = F.struct(*order, "price")
     return rows.groupBy("code", "date").agg(
@@ -27,7 +32,7 @@ def bars(spark: SparkSession, sf_dir: str, which: str = "f3") -> DataFrame:
     """(code, date, open, high, low, close, volume, amount) of a fixture."""
     if which == "f1":
         rows = table(spark, sf_dir, "lineitem").select(
-            F.col("l_suppkey").cast("string").alias("code"), F.trunc("l_shipdate", "month").alias("date"), (F.col("l_extendedprice").cast("double") / F.col("l_quantity").cast("double")).alias("price"),
+            F.col("l_suppkey").cast("string").alias("code"), F.trunc("l_shipdate", "month").alias("date"), ratio(F.col("l_extendedprice").cast("double"), F.col("l_quantity").cast("double")).alias("price"),
             "l_shipdate", "l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("q"), F.col("l_extendedprice").cast("double").alias("a"),
         )
         return _bars(rows, ["l_shipdate", "l_orderkey", "l_linenumber"], F.sum("q"), F.sum("a"))

@@ -54,7 +54,7 @@ def _panel_query(which: str) -> None:
     add(
         f"panel_{which}",
         lambda spark, d: fixtures.panel(spark, d, which).df.select(
-            "code", "date", "t", "open", "high", "low", "close", "volume", F.round("amount", 2).alias("amount"), *[F.round(c, 6).alias(n) for c, n in ((F.col("vwap") / F.col("close"), "vwap"), (F.col("returns"), "returns"), (F.col("fwd"), "fwd"))],
+            "code", "date", "t", "open", "high", "low", "close", "volume", F.round("amount", 2).alias("amount"), *[F.round(c, 6).alias(n) for c, n in ((fixtures.ratio(F.col("vwap"), F.col("close")), "vwap"), (F.col("returns"), "returns"), (F.col("fwd"), "fwd"))],
         ),
         f"WITH {fixtures.panel_ctes(which)} SELECT code, date, t, open, high, low, close, volume, round(amount, 2) AS amount, round(vwap / close, 6) AS vwap, round(returns, 6) AS returns, round(fwd, 6) AS fwd FROM p",
     )
@@ -100,7 +100,7 @@ q AS (SELECT code, report_date, CASE WHEN month(report_date) <> 6 THEN revenue E
 )
 add(
     "join_daily_fundamentals",
-    lambda spark, d: rounded(fundamentals.join_daily(fixtures.panel(spark, d, "f3").df.select("code", "date", "close"), fixtures.bars(spark, d, "f3").select("code", "date", (F.col("close") / F.col("open")).alias("pe")), ["pe", "pb"])),
+    lambda spark, d: rounded(fundamentals.join_daily(fixtures.panel(spark, d, "f3").df.select("code", "date", "close"), fixtures.bars(spark, d, "f3").select("code", "date", fixtures.ratio(F.col("close"), F.col("open")).alias("pe")), ["pe", "pb"])),
     _q("code, date", "SELECT p.code, p.date, p.close, b.close / b.open AS pe FROM p LEFT JOIN bars b ON p.code = b.code AND p.date = b.date", fixtures.panel_ctes("f3"), 6, ("close", "pe")),
 )
 
@@ -116,7 +116,7 @@ pp AS (SELECT b.code, b.date, cd.t, b.close / 7 AS close, b.close / nullif(lag(b
 def _valued(spark: SparkSession, d: str) -> Panel:
     """Fixture f3 with fundamentals made of its own bars: daily ratios and quarterly reports, under a vendor's names."""
     b = fixtures.bars(spark, d, "f3")
-    daily = b.select(F.concat("code", F.lit(".XX")).alias("ts_code"), F.date_format("date", "yyyyMMdd").alias("trade_date"), (F.col("amount") * 3).alias("total_mv"), (F.col("close") / F.col("open")).alias("pe"), (F.col("high") / F.col("low")).alias("pb"), (F.col("low") / F.col("close")).alias("dv_ttm"))
+    daily = b.select(F.concat("code", F.lit(".XX")).alias("ts_code"), F.date_format("date", "yyyyMMdd").alias("trade_date"), (F.col("amount") * 3).alias("total_mv"), fixtures.ratio(F.col("close"), F.col("open")).alias("pe"), fixtures.ratio(F.col("high"), F.col("low")).alias("pb"), fixtures.ratio(F.col("low"), F.col("close")).alias("dv_ttm"))
     quarters = _reports(spark, d).select(F.col("code").alias("ts_code"), F.date_format("report_date", "yyyyMMdd").alias("end_date"), F.col("revenue").alias("bvps"), F.col("top").alias("roe_pct"), (F.col("top") / 3).alias("basic_eps"))
     return fundamentals.with_fundamentals(fixtures.panel(spark, d, "f3"), daily, [quarters.drop("basic_eps"), quarters.select("ts_code", "end_date", "basic_eps")])
 
