@@ -11,7 +11,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantaloom.functions.ic import hlz_threshold, ic_summary, out_of_sample, series_of, signal_correlation, to_long
+from quantaloom.functions.ic import FLAT, MIN_ASSETS, hlz_threshold, ic_summary, out_of_sample, series_of, signal_correlation, to_long
+from quantaloom.plans import blocks
 from quantaloom.plans.compiler import evaluate
 from quantaloom.plans.expression import validate
 from quantaloom.sources.panel import FEATURES, Panel
@@ -55,16 +56,23 @@ def screen(
     """Candidates that pass: enough values and IC days, |mean IC|, its sign and t, out-of-sample decay; the highest mean IC first.
 
     If more than ``max_keep`` pass (or ``always_dedup``), those whose IC series resemble a better one's are left out.  Formulas that
-    are invalid for the panel are skipped.  A batch is one plan; what comes back is one IC a day per survivor.
+    are invalid for the panel are skipped.  The panel is packed once; a batch is one plan over it; what comes back is one IC a day per survivor.
     """
     known = {c for c in panel.df.columns if c not in ("code", "date", "t", "fwd")}
     good = [f for f in formulas if validate(f, known)[0]]
     need = hlz_threshold(len(formulas)) if use_hlz else 0.0
     passed: list[Screened] = []
-    for part in batches(good, batch):
-        wide = signals(panel, part).persist()
-        ics, absent = measure(panel, part, wide)
-        ics = ics.persist()
+    trees = blocks.trees_of({f: f for f in good}, known, panel.n_dates)
+    packed = blocks.pack(panel.df, {*blocks.needed(trees), "fwd"}).persist() if good else panel.df
+    for part in batches(sorted(good, key=lambda f: not blocks.fits(trees[f])), batch):
+        if all(blocks.fits(trees[f]) for f in part):
+            wide = None
+            found = blocks.ics(packed, {f"f{i}": trees[f] for i, f in enumerate(part)}, MIN_ASSETS, FLAT).persist()
+            ics, absent = found.where("n > 0"), found.groupBy("name").agg((F.sum("missing") / F.sum("cells")).alias("missing"))
+        else:
+            wide = signals(panel, part).persist()
+            ics, absent = measure(panel, part, wide)
+            ics = found = ics.persist()
         stats = ic_summary(ics).join(absent, "name").where((F.col("missing") <= most_missing) & (F.col("n_days") >= least_days) & (F.abs("ic_mean") >= ic_threshold))
         if positive_only:
             stats = stats.where("ic_mean >= 0")
@@ -78,9 +86,12 @@ def screen(
         series = {n: np.zeros(panel.n_dates) for n in kept}
         for r in ics.where(F.col("name").isin(list(kept)) & F.col("ic").isNotNull()).select("name", "t", "ic").collect() if kept else []:
             series[r["name"]][r["t"]] = r["ic"]
-        ics.unpersist()
-        wide.unpersist()
+        found.unpersist()
+        if wide is not None:
+            wide.unpersist()
         passed += [Screened(part[int(n[1:])], r["ic_mean"], r["icir"], r["ic_t"], r["oos_ic"], series[n]) for n, r in kept.items()]
+    if good:
+        packed.unpersist()
     passed.sort(key=lambda s: (-s.ic_mean, s.expression))
     return dedup(passed, max_corr, max_keep) if always_dedup or len(passed) > max_keep else passed
 
