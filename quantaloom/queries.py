@@ -14,6 +14,7 @@ from quantaloom import fixtures, formula_sql
 from quantaloom import library as lib
 from quantaloom.functions import analytics, ic, performance
 from quantaloom.generate import candidates, combiner_features, engineered
+from quantaloom.plans import blocks
 from quantaloom.plans.compiler import evaluate
 from quantaloom.sources import fundamentals, stores
 from quantaloom.sources.panel import Panel, build_panel, common_dates, panel_of_frames, read_bars, universe, with_forward
@@ -231,8 +232,9 @@ _MONTHS = 83
 def corpus(spark: SparkSession, d: str, which: str = "f1") -> DataFrame:
     """IC summary of the corpus, one plan."""
     p = fixtures.panel(spark, d, which)
-    named = {f"a{i + 1:02d}": f for i, f in enumerate(CORPUS)}
-    return rounded(ic.ic_summary(ic.ic_series(ic.to_long(evaluate(p.df, named, p.n_dates, keep=["fwd"]), list(named)))))
+    trees = blocks.trees_of({f"a{i + 1:02d}": f for i, f in enumerate(CORPUS)}, None, p.n_dates)
+    found = blocks.ics(blocks.pack(p.df, {*blocks.needed(trees), "fwd"}), trees, ic.MIN_ASSETS, ic.FLAT)
+    return rounded(ic.ic_summary(found.where("n > 0")))
 
 
 def features(spark: SparkSession, d: str, names: Callable[[int], dict[str, str]] = engineered) -> DataFrame:

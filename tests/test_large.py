@@ -88,3 +88,10 @@ def test_screen_makes_no_window_per_candidate(spark, monkeypatch):
     formulas = ["ts_mean(close, 3)", "ts_mean(cs_rank(close), 3)", "cs_rank(ts_std(close, 5))", "ts_skew(returns, 5)"]
     found = library.screen(p, formulas, ic_threshold=0.0, least_days=10, batch=3)
     assert {s.expression for s in found} == set(formulas) and used == ["ts_mean(cs_rank(close), 3)"]
+
+
+@pytest.mark.parametrize("name", ["alpha_corpus"])
+def test_no_sort_of_a_date_per_signal(spark, name):
+    """Plans hold the windows of the panel and of the summary, not one per ranked signal, each of which would sort a date's assets in one task."""
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") <= 4 and plan.count("Sort [") <= 12
