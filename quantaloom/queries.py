@@ -240,10 +240,10 @@ def corpus(spark: SparkSession, d: str, which: str = "f1") -> DataFrame:
 def features(spark: SparkSession, d: str, names: Callable[[int], dict[str, str]] = engineered) -> DataFrame:
     """Count and mean of every feature; the mean in a billionth of the largest size, as volumes and returns are far apart."""
     p = fixtures.panel(spark, d, "f1")
-    own = names(p.n_dates)
-    long = ic.to_long(evaluate(p.df, own, p.n_dates), list(own))
-    share = F.try_divide(F.avg("value"), F.max(F.abs("value")))
-    return rounded(long.groupBy("name").agg(F.count("value").alias("n"), share.alias("mean_share")))
+    trees = blocks.trees_of(names(p.n_dates), None, p.n_dates)
+    parts = blocks.totals(blocks.pack(p.df, blocks.needed(trees)), trees)
+    share = F.try_divide(F.try_divide(F.sum("total"), F.sum("n")), F.max("most"))
+    return rounded(parts.groupBy("name").agg(F.sum("n").alias("n"), share.alias("mean_share")))
 
 
 # ---- signals and their metrics --------------------------------------------------------------------------------

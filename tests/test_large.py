@@ -90,7 +90,7 @@ def test_screen_makes_no_window_per_candidate(spark, monkeypatch):
     assert {s.expression for s in found} == set(formulas) and used == ["ts_mean(cs_rank(close), 3)"]
 
 
-@pytest.mark.parametrize("name", ["alpha_corpus"])
+@pytest.mark.parametrize("name", ["alpha_corpus", "engineered_features", "combiner_features"])
 def test_no_sort_of_a_date_per_signal(spark, name):
     """Plans hold the windows of the panel and of the summary, not one per ranked signal, each of which would sort a date's assets in one task."""
     plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
