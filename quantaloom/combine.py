@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from quantaloom.functions.ic import MANY, average_rank, ic_wide, series_of, spearman_series, to_long
 
 
+#: Rows of a task of the training of trees.
+TASK_ROWS = 50_000
+
+
 def window_moments(rows: DataFrame, names: Sequence[str], windows: Sequence[tuple[int, int, np.ndarray]], least: int = 1) -> list[np.ndarray]:
     """For each window (first date, end, numbers of signals) the moments of [1, these signals, fwd] over its rows with a fwd.
 
@@ -190,13 +194,22 @@ def walk_forward(wide: DataFrame, names: Sequence[str], *, backend: str = "ridge
     gives the moments of every fold's window.  'gbt' trains one MLlib model per fold,
     of ``trees`` trees or fewer: it ends at the first one that makes the error of the held-out rows larger.  'auto' is 'gbt', the trees that are always there.
     """
-    n_dates = wide.agg(F.max("t")).first()[0] + 1
-    plan = folds(n_dates, train, step, purge)
     cols = [f"`{n}`" for n in names]
-    whole = wide.select("code", "date", "t", "fwd", *cols).na.drop(subset=["fwd", *names])
-    busy = whole.groupBy("t").count().where(F.col("count") >= least).select("t")
-    rows = whole.join(F.broadcast(busy), "t", "left_semi")
-    own = wide.select("code", "date", "t", "fwd", *cols)
+    # Every tree of every fold goes over these rows in jobs of its own: what made them is not done again, and no broadcast of it goes through the driver, for each.
+    own = wide.select("code", "date", "t", "fwd", *cols).persist()
+    try:
+        return _walked(own, names, cols, backend, train, step, purge, alpha, least, trees)
+    finally:
+        own.unpersist()
+
+
+def _walked(own: DataFrame, names: Sequence[str], cols: list[str], backend: str, train: int, step: int, purge: int, alpha: float, least: int, trees: int) -> CombinerReport:
+    n_dates = own.agg(F.max("t")).first()[0] + 1
+    plan = folds(n_dates, train, step, purge)
+    whole = own.na.drop(subset=["fwd", *names])
+    # One number per date.
+    busy = [r["t"] for r in whole.groupBy("t").count().where(F.col("count") >= least).select("t").collect()]
+    rows = whole.where(F.col("t").isin(busy))
     alone = ic_wide(own, names, least=least, ties="average") if len(names) >= MANY else spearman_series(to_long(own, names), least=least)
     individual = {r["name"]: r["ic"] or 0.0 for r in alone.groupBy("name").agg(F.avg("ic").alias("ic")).collect()}
     importance, used, predictions = np.zeros(len(names)), 0, None
@@ -212,13 +225,15 @@ def walk_forward(wide: DataFrame, names: Sequence[str], *, backend: str = "ridge
             used += 1
             importance += np.abs(beta) * np.sqrt(np.maximum(np.diag(m)[1:-1] / m[0, 0] - (m[0, 1:-1] / m[0, 0]) ** 2, 0))
             models += [(t, beta.tolist(), intercept) for t in range(s, e)]
-        table = wide.sparkSession.createDataFrame(models, "t int, __w array<double>, __intercept double")
+        table = own.sparkSession.createDataFrame(models, "t int, __w array<double>, __intercept double")
         predictions = rows.join(F.broadcast(table), "t").select("code", "date", "t", "fwd", (weighted(F.array(*cols), None, F.col("__w")) + F.col("__intercept")).alias("value"))
     elif backend == "gbt":
         from pyspark.ml.feature import VectorAssembler
         from pyspark.ml.regression import GBTRegressor
 
-        vectors = VectorAssembler(inputCols=list(names), outputCol="__features").transform(rows)
+        # A job per level of a tree: what its tasks report to the driver should follow the rows, not the partitions that these came from.
+        few = rows.coalesce(max(1, -(-own.count() // TASK_ROWS)))
+        vectors = VectorAssembler(inputCols=list(names), outputCol="__features").transform(few)
         for a, b, s, e in plan:
             sample = vectors.where((F.col("t") >= a) & (F.col("t") < b)).withColumn("__check", F.pmod(F.xxhash64("code", "date"), F.lit(100)) < 15)
             if sample.limit(100).count() < 100:

@@ -95,3 +95,20 @@ def test_no_sort_of_a_date_per_signal(spark, name):
     """Plans hold the windows of the panel and of the summary, not one per ranked signal, each of which would sort a date's assets in one task."""
     plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Window [") <= 4 and plan.count("Sort [") <= 12
+
+
+def test_walk_forward_makes_its_rows_once(spark):
+    """Trees go over rows that are kept, not over the tables again: the source is read as often for many trees as for few."""
+    from quantaloom.combine import walk_forward
+
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        reads.add(1)
+        yield from batches
+
+    rng = np.random.default_rng(3)
+    rows = [(f"{i}", dt.date(2024, 1, 1) + dt.timedelta(t), t, float(x), float(x + rng.normal())) for t in range(40) for i, x in enumerate(rng.normal(size=25))]
+    wide = spark.createDataFrame(rows, "code string, date date, t int, x double, fwd double").coalesce(1).mapInArrow(seen, "code string, date date, t int, x double, fwd double")
+    r = walk_forward(wide, ["x"], backend="gbt", train=25, step=10, trees=2)
+    assert r.folds >= 1 and reads.value <= 2
