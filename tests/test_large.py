@@ -112,3 +112,13 @@ def test_walk_forward_makes_its_rows_once(spark):
     wide = spark.createDataFrame(rows, "code string, date date, t int, x double, fwd double").coalesce(1).mapInArrow(seen, "code string, date date, t int, x double, fwd double")
     r = walk_forward(wide, ["x"], backend="gbt", train=25, step=10, trees=2)
     assert r.folds >= 1 and reads.value <= 2
+
+
+def test_power_has_the_last_digit_of_the_engine(spark):
+    """Near ties of skews are ranked by it."""
+    from quantaloom.plans.blocks import power_of_three_halves
+
+    rng = np.random.default_rng(11)
+    x = np.concatenate([np.exp(rng.uniform(-30, 40, 20_000)), rng.uniform(0.9, 1.1, 2_000), [1e-10, 1.0, 2.0, 0.25]])
+    got = np.array([r[0] for r in spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, x double").coalesce(1).select(F.pow("x", F.lit(1.5))).collect()])
+    assert (got == power_of_three_halves(x)).all()
