@@ -122,3 +122,11 @@ def test_power_has_the_last_digit_of_the_engine(spark):
     x = np.concatenate([np.exp(rng.uniform(-30, 40, 20_000)), rng.uniform(0.9, 1.1, 2_000), [1e-10, 1.0, 2.0, 0.25]])
     got = np.array([r[0] for r in spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, x double").coalesce(1).select(F.pow("x", F.lit(1.5))).collect()])
     assert (got == power_of_three_halves(x)).all()
+
+
+def test_dedup_needs_no_ranks_of_the_engine(spark, monkeypatch):
+    """The corpus is de-duplicated from ICs of blocks, without a window for each ranked signal."""
+    from quantaloom import library, queries
+
+    monkeypatch.setattr(library, "evaluate", None)
+    assert {r[0] for r in queries.chosen(spark, "/root/testdata/sf0.001").collect()} <= set(queries.CORPUS)
