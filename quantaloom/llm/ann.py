@@ -5,9 +5,9 @@ shard's tree is built where the shard is and packed with its vectors into one ro
 vectors, packed in blocks of bounded size by their nearest shard, meet that one first.  The distance to the nearest found there is a bound: by the
 triangle inequality, relaxed by the factor, only shards whose balls come that near are asked as well.  What the shards find is merged per query.
 
-In a shard, all queries of a block descend together: at a node, a query's distance to the vantage point sends it
-to the nearer side first, and to the other side only if ``factor * |distance - radius|`` is within its current
-search radius.  By the triangle inequality factor 1 loses nothing; a larger factor skips more.
+In a shard, all queries of a block descend together: a query without a bound asks the leaf on its own side of every vantage point first; then, at a
+node, its own side, and the other side only if ``factor * |distance - radius|`` is within its current search radius.  By the triangle
+inequality factor 1 loses nothing; a larger factor skips more.
 """
 
 from __future__ import annotations
@@ -24,8 +24,14 @@ from pyspark.sql import functions as F
 from .vectors import cosine, in_cells, in_tiles, matrix, of_one_length, pivots, unit, usable
 from .workspace import materialize, table
 
-#: Rows of a shard, and shards (or so) at most: beyond SHARDS * SHARD_ROWS rows shards grow, so that their centres can be broadcast.
+#: Rows of a shard at least, and shards (or so) at most, so that their centres can be broadcast.
 SHARD_ROWS, SHARDS = 4096, 16_384
+#: Beyond FEW * SHARD_ROWS rows shards grow up to WIDE rows before they become more: where no shard can be skipped, the blocks of queries are sent to each.
+FEW, WIDE = 64, 65_536
+#: Tasks at most in which shards meet the blocks.
+PARTS = 1024
+#: Pairs that are measured in double precision at a time.
+PAIRS = 1 << 15
 BLOCK_QUERIES = 1024
 SAMPLE_ROWS = 10_000
 PIVOTS = 1024
@@ -64,7 +70,11 @@ def build_tree(x: np.ndarray, leaf: int = LEAF, seed: int = 1) -> list[tuple]:
 
 
 class Search:
-    """The nearest ``k`` rows of a shard for each query of a block."""
+    """The nearest ``k`` rows of a shard for each query of a block.
+
+    A leaf is met once by all queries that ask for it.  Cosines in single precision, one matrix product, say which of its rows can be nearer
+    than what a query has; only these, few beside all, are measured in double precision.
+    """
 
     def __init__(self, x: np.ndarray, nodes: list[tuple], q: np.ndarray, own: np.ndarray, k: int, factor: float, bound: np.ndarray | None = None) -> None:
         """``own``: for each query the row that it is itself in the shard, or -1; ``bound``: the distance beyond which nothing is wanted."""
@@ -72,53 +82,107 @@ class Search:
         self.d = np.full((len(q), k), np.inf) if bound is None else np.repeat(bound[:, None], k, 1)
         self.row = np.full((len(q), k), -1)
         self.compared = 0
-        if len(x) and len(q):
-            self.visit(0, np.arange(len(q)))
-
-    def offer(self, who: np.ndarray, rows: np.ndarray, d: np.ndarray) -> None:
-        d = np.where(self.own[who][:, None] == rows[None, :], np.inf, d)
-        self.compared += d.size
-        near = np.flatnonzero((d < self.d[who, -1][:, None]).any(1))
-        if not len(near):
+        if not len(x) or not len(q):
+            return
+        self.x32, self.q32 = x.astype(np.float32), q.astype(np.float32)
+        #: What cosines of unit vectors in single precision are off at most.
+        self.off = (x.shape[1] + 8) * 2.0**-23
+        points = np.array([n[0] for n in nodes if n[0] is not None], dtype=np.int64)
+        self.column = {int(v): i for i, v in enumerate(points)}
+        self.to_points = np.sqrt(np.maximum(0, 2 - 2 * q @ x[points].T))
+        everyone, self.met = np.arange(len(q)), np.full(len(q), -1)
+        if len(points):
+            self.offer(everyone, points)
+        if (lost := np.flatnonzero(np.isinf(self.d[:, -1]) | (bound is None))).size:
+            self.descend(0, lost)
+        self.visit(0, everyone)
+
+    def offer(self, who: np.ndarray, rows: np.ndarray) -> None:
+        c = (self.q32 if len(who) == len(self.q) else self.q32[who]) @ self.x32[rows].T
+        self.compared += c.size
+        least = 1 - self.d[who, -1] ** 2 / 2 - self.off
+        bare = np.flatnonzero(np.isneginf(least))
+        if len(bare) and len(rows) > self.k + 1:  # the k-th of these rows, beside the query's own, is a bound
+            least[bare] = np.partition(c[bare], len(rows) - self.k - 1, axis=1)[:, len(rows) - self.k - 1] - 2 * self.off
+        hit = np.flatnonzero((c >= least.astype(np.float32)[:, None]).ravel())
+        for at in range(0, len(hit), PAIRS):
+            i, j = np.divmod(hit[at : at + PAIRS], len(rows))
+            self.take(who[i], rows[j])
+
+    def take(self, who: np.ndarray, rows: np.ndarray) -> None:
+        """Put pairs of queries and rows among what has been found."""
+        d = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", self.q[who], self.x[rows])))
+        near = (d < self.d[who, -1]) & (self.own[who] != rows)
+        who, rows, d = who[near], rows[near], d[near]
+        if not len(who):
+            return
+        some = np.unique(who)
+        every_q, every_d, every_r = np.r_[np.repeat(some, self.k), who], np.r_[self.d[some].ravel(), d], np.r_[self.row[some].ravel(), rows]
+        order = np.lexsort((every_d, every_q))
+        best = order[(np.searchsorted(every_q[order], some)[:, None] + np.arange(self.k)).ravel()]
+        self.d[some], self.row[some] = every_d[best].reshape(-1, self.k), every_r[best].reshape(-1, self.k)
+
+    def descend(self, node: int, who: np.ndarray) -> None:
+        """The leaf on a query's own side of every vantage point, for a first bound."""
+        n = self.nodes[node]
+        if n[0] is None:
+            self.met[who] = node
+            self.offer(who, n[1])
             return
-        who, d = who[near], d[near]
-        if d.shape[1] > self.k:
-            cut = np.argpartition(d, self.k - 1, axis=1)[:, : self.k]
-            d, rows = np.take_along_axis(d, cut, 1), rows[cut]
-        else:
-            rows = np.broadcast_to(rows, d.shape)
-        every, ids = np.concatenate([self.d[who], d], 1), np.concatenate([self.row[who], rows], 1)
-        best = np.argsort(every, axis=1, kind="stable")[:, : self.k]
-        self.d[who], self.row[who] = np.take_along_axis(every, best, 1), np.take_along_axis(ids, best, 1)
+        within = self.to_points[who, self.column[n[0]]] < n[1]
+        for side, mine in ((n[2], within), (n[3], ~within)):
+            if mine.any():
+                self.descend(side, who[mine])
 
     def visit(self, node: int, who: np.ndarray) -> None:
         n = self.nodes[node]
         if n[0] is None:
-            if len(n[1]):
-                self.offer(who, n[1], np.sqrt(np.maximum(0, 2 - 2 * self.q[who] @ self.x[n[1]].T)))
+            who = who[self.met[who] != node]
+            if len(who) and len(n[1]):
+                self.offer(who, n[1])
             return
         v, radius, inside, outside = n
-        d = np.sqrt(np.maximum(0, 2 - 2 * self.q[who] @ self.x[v]))
-        self.offer(who, np.array([v]), d[:, None])
-        within = d < radius
-        for first, second, mine in ((inside, outside, within), (outside, inside, ~within)):
-            if mine.any():
-                self.visit(first, who[mine])
-                still = who[mine][self.factor * np.abs(d[mine] - radius) <= self.d[who[mine], -1]]
-                if len(still):
-                    self.visit(second, still)
+        d = self.to_points[who, self.column[v]]
+        for side, mine in ((inside, d < radius), (outside, d >= radius)):
+            asked = who[mine | (self.factor * np.abs(d - radius) <= self.d[who, -1])]
+            if len(asked):
+                self.visit(side, asked)
 
 
 def _shard(ids: np.ndarray, raw: np.ndarray, keep: int) -> dict:
-    """A shard's packed form: its distinct vectors, a tree over them, and of each the ``keep`` smallest ids."""
-    order = np.argsort(ids, kind="stable")
-    ids, raw = ids[order], np.ascontiguousarray(raw[order])
+    """A shard's packed form: its distinct vectors, a tree over them, and of each the ``keep`` smallest ids (``ids`` from ``cut`` to the next)."""
+    raw = np.ascontiguousarray(raw)
     raw = raw + np.zeros(1, raw.dtype)  # -0.0 equals 0.0
     _, first, inverse = np.unique(raw.view(np.dtype((np.void, raw.dtype.itemsize * raw.shape[1]))).ravel(), return_index=True, return_inverse=True)
-    by = np.argsort(inverse.ravel(), kind="stable")
-    cut = np.searchsorted(inverse.ravel()[by], np.arange(len(first) + 1))
-    held = [np.unique(ids[by[a:b]])[:keep] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    return {"raw": raw[first], "ids": held, "tree": build_tree(unit(raw[first]))}
+    pairs = np.unique(np.stack([inverse.ravel(), ids]), axis=1)
+    starts = np.searchsorted(pairs[0], np.arange(len(first)))
+    pairs = pairs[:, np.arange(pairs.shape[1]) - starts[pairs[0]] < keep]
+    return {"raw": raw[first], "ids": pairs[1], "cut": np.searchsorted(pairs[0], np.arange(len(first) + 1)), "tree": build_tree(unit(raw[first]))}
+
+
+def _nearest(s: dict, ids: np.ndarray, raw: np.ndarray, bound: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, id, score) of the k nearest in a shard within each query's bound, ties to the smaller id."""
+    sizes = np.diff(s["cut"])
+    # A query may be one of several equal vectors: then only its own id is left out, not the row.
+    rows = np.flatnonzero(sizes == 1)
+    single = s["ids"][s["cut"][rows]]
+    by = np.argsort(single, kind="stable")
+    at = np.minimum(np.searchsorted(single[by], ids), max(0, len(by) - 1))
+    alone = np.where(single[by][at] == ids, rows[by][at], -1) if len(by) else np.full(len(ids), -1)
+    # Some more than k are taken, as distances near 0 are rounded; the scores decide.
+    found = Search(unit(s["raw"]), s["tree"], unit(raw), alone, k + 4, factor, bound)
+    who, place = np.nonzero(found.row >= 0)
+    rows = found.row[who, place]
+    score = cosine(raw[who], s["raw"][rows])
+    n = sizes[rows]
+    held = np.repeat(s["cut"][rows], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    who, score, other = np.repeat(who, n), np.repeat(score, n), s["ids"][held]
+    mine = other != ids[who]
+    who, score, other = who[mine], score[mine], other[mine]
+    order = np.lexsort((other, -score, who))
+    who, score, other = who[order], score[order], other[order]
+    best = np.arange(len(who)) - np.searchsorted(who, who) < k
+    return ids[who[best]], other[best], score[best]
 
 
 def build_index(vectors: DataFrame, *, k: int = 5, shard_rows: int = SHARD_ROWS, sample_rows: int = SAMPLE_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -132,7 +196,7 @@ def build_index(vectors: DataFrame, *, k: int = 5, shard_rows: int = SHARD_ROWS,
     rows, dims, n = of_one_length(rows)
     if not n:
         return vectors.sparkSession.createDataFrame([], schema)
-    most = max(shard_rows, -(-n // SHARDS))
+    most = max(shard_rows, min(WIDE, -(-n // FEW)), -(-n // SHARDS))
     cells, total = in_tiles(in_cells(rows, pivots(rows, n, min(PIVOTS, max(1, n // (shard_rows // 4 or 1))), sample_rows)), most)
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
@@ -146,32 +210,21 @@ def build_index(vectors: DataFrame, *, k: int = 5, shard_rows: int = SHARD_ROWS,
     return materialize(cells.repartition(total, "tile").groupBy("tile").applyInPandas(pack, schema), "ann-index")
 
 
+def _block(own: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, vectors and bounds of a block of queries."""
+    return own.field("id").to_numpy(zero_copy_only=False), matrix(own.field("v")), own.field("bound").to_numpy(zero_copy_only=False)
+
+
 def _answers(met: DataFrame, k: int, factor: float) -> DataFrame:
-    """(query_id, vec_id, score) of blocks of queries ``own`` (id, v, bound) that meet a shard's ``body``; of the nearest within each query's bound."""
+    """(query_id, vec_id, score) of blocks of queries ``own`` (id, v, bound; or pickled arrays of these) that meet a shard's ``body``; of the nearest within each query's bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 s = pickle.loads(b.column(1)[i].as_buffer())
-                own = b.column(0)[i].values
-                ids, raw = own.field("id").to_numpy(zero_copy_only=False), matrix(own.field("v"))
-                x, u = unit(s["raw"]), unit(raw)
-                # Some more than k are taken, as distances near 0 are rounded; the scores decide.
-                # A query may be one of several equal vectors: then only its own id is left out, not the row.
-                where = {int(h[0]): r for r, h in enumerate(s["ids"]) if len(h) == 1}
-                alone = np.array([where.get(int(i), -1) for i in ids])
-                found = Search(x, s["tree"], u, alone, k + 4, factor, own.field("bound").to_numpy(zero_copy_only=False))
-                out_q, out_v, out_s = [], [], []
-                for n in range(len(ids)):
-                    rows = found.row[n][found.row[n] >= 0]
-                    if len(rows):
-                        score = cosine(np.broadcast_to(raw[n], (len(rows), raw.shape[1])), s["raw"][rows])
-                        for r, c in zip(rows.tolist(), score.tolist(), strict=True):
-                            mine = s["ids"][r][s["ids"][r] != ids[n]][:k]
-                            out_v += mine.tolist()
-                            out_s += [c] * len(mine)
-                            out_q += [int(ids[n])] * len(mine)
-                yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.float64())], names=["query_id", "vec_id", "score"])
+                own = b.column(0)[i]
+                found = _nearest(s, *(pickle.loads(own.as_buffer()) if isinstance(own, pa.BinaryScalar) else _block(own.values)), k, factor)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
 
     return met.select("own", "body").mapInArrow(run, "query_id long, vec_id long, score double")
 
@@ -210,8 +263,8 @@ def search(
     best = first.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("best"))
     far = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.get("best", F.lit(k - 1)))) + F.lit(1e-6)
     bounded = homes.join(best.select(F.col("query_id").alias("id"), far.alias("bound")), "id", "left")
-    # Blocks of queries of neighbouring shards, as they ask the same others; few, as a shard is unpacked for each.
-    count = homes.count()
+    # Blocks of queries of neighbouring shards, as they ask the same others; few, as a shard is sent and unpacked for each.
+    count, block = homes.count(), 4 * block
     bounded = materialize(bounded.withColumn("range", F.floor(F.col("shard") * F.lit(-(-count // block) / max(1, len(shards)))).cast("int")), "ann-bounds")
     ranges = bounded.groupBy("range").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     ranges = bounded.join(F.broadcast(ranges), "range").withColumn("block", F.pmod(F.xxhash64(F.lit(9), "id"), F.col("blocks")))  # no more rows than shards are broadcast
@@ -222,16 +275,20 @@ def search(
         for b in batches:
             for i in range(b.num_rows):
                 own = b.column(0)[i].values
-                u, bound, home = unit(matrix(own.field("v"))), own.field("bound").to_numpy(zero_copy_only=False), own.field("shard").to_numpy(zero_copy_only=False)
+                ids, raw, bound = _block(own)
+                u, home = unit(raw), own.field("shard").to_numpy(zero_copy_only=False)
                 gap = np.sqrt(np.maximum(0, 1 + (centres**2).sum(1)[None] - 2 * u @ centres.T)) - radii[None]
                 wanted = (factor * gap <= bound[:, None] + 1e-9) & (names[None] != home[:, None])
                 for s in np.flatnonzero(wanted.any(0)).tolist():
-                    asked = own.take(pa.array(np.flatnonzero(wanted[:, s])))
-                    asked = pa.StructArray.from_arrays([asked.field(c) for c in ("id", "v", "bound")], names=["id", "v", "bound"])
-                    yield pa.RecordBatch.from_arrays([pa.array([int(names[s])], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(asked)], pa.int32()), asked)], names=["shard", "own"])
-
-    visits = packed.select("own").mapInArrow(others, f"shard int, own array<struct<id:bigint,v:{kind},bound:double>>")
-    near = first.unionByName(_answers(visits.join(bodies, "shard"), k, factor))
+                    asked = wanted[:, s]
+                    body = pickle.dumps((ids[asked], raw[asked], bound[asked]), protocol=5)
+                    yield pa.RecordBatch.from_arrays([pa.array([int(names[s])], pa.int32()), pa.array([body], pa.binary())], names=["shard", "own"])
+
+    visits = packed.select("own").mapInArrow(others, "shard int, own binary")
+    # Blocks that are sent to many shards are many times the queries: Spark, which does not see that, must not broadcast them.
+    parts = min(2 * len(shards), PARTS) or 1
+    met = visits.repartition(parts, "shard").join(bodies.repartition(parts, "shard").hint("merge"), "shard")
+    near = first.unionByName(_answers(met, k, factor))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -428,6 +428,43 @@ def test_relaxed_pruning_compares_less():
     assert loose.compared < exact.compared < 50 * 3000
 
 
+def test_a_leaf_is_met_once_by_a_block():
+    """Where nothing is skipped, the matrix products of a block are as many as the leaves, not their square; near ties are told apart in double precision."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(4000, 24))
+    x[1::2] = x[::2] + rng.normal(size=(2000, 24)) * 1e-8
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+
+    class Counted(ann.Search):
+        calls = 0
+
+        def offer(self, *args):
+            Counted.calls += 1
+            super().offer(*args)
+
+    tree, q, own = ann.build_tree(x, leaf=32), x[:300], np.arange(300)
+    got = Counted(x, tree, q, own, 9, 1.0)
+    leaves = sum(n[0] is None for n in tree)
+    assert leaves > 100 and Counted.calls <= 2 * leaves + 1
+    c = q @ x.T
+    c[own, own] = -2
+    want = np.argsort(-c, axis=1, kind="stable")[:, 1:9]  # the first is the copy, at distance 0 but for rounding
+    assert (np.sort(got.row[:, 0]) == np.sort(own ^ 1)).all() and np.allclose(np.sort(np.take_along_axis(c, got.row[:, 1:], 1), 1), np.sort(np.take_along_axis(c, want, 1), 1), atol=1e-13)
+
+
+def test_shards_grow_before_they_become_more(spark, vectors, monkeypatch):
+    """Blocks of queries are sent to every shard that cannot be skipped, and Spark is kept from broadcasting them."""
+    monkeypatch.setattr(ann, "FEW", 3)
+    df = frame(spark, vectors)
+    index = ann.build_index(df, shard_rows=20)
+    assert index.count() <= 5
+    got = ann.search(index, df.where("vec_id % 10 = 0"), factor=1.0, block=2)
+    assert "strategy=merge" in got._jdf.queryExecution().analyzed().toString()
+    want = brute_nearest(vectors, range(0, 210, 10), 5)
+    for q, g in got.toPandas().sort_values("rank").groupby("query_id"):
+        assert g.vec_id.tolist() == [i for i, _ in want[q]]
+
+
 # ---- substrings
 
 
