@@ -28,8 +28,6 @@ from .workspace import materialize, table
 SHARD_ROWS, SHARDS = 4096, 16_384
 #: Beyond FEW * SHARD_ROWS rows shards grow up to WIDE rows before they become more: where no shard can be skipped, the blocks of queries are sent to each.
 FEW, WIDE = 64, 65_536
-#: Tasks at most in which shards meet the blocks.
-PARTS = 1024
 #: Pairs that are measured in double precision at a time.
 PAIRS = 1 << 15
 BLOCK_QUERIES = 1024
@@ -286,9 +284,7 @@ def search(
 
     visits = packed.select("own").mapInArrow(others, "shard int, own binary")
     # Blocks that are sent to many shards are many times the queries: Spark, which does not see that, must not broadcast them.
-    parts = min(2 * len(shards), PARTS) or 1
-    met = visits.repartition(parts, "shard").join(bodies.repartition(parts, "shard").hint("merge"), "shard")
-    near = first.unionByName(_answers(met, k, factor))
+    near = first.unionByName(_answers(visits.join(bodies.hint("merge"), "shard"), k, factor))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
