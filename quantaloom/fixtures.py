@@ -20,6 +20,26 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(F.try_divide(a, b))
 
 
+def to_digits(x: Column, digits: int) -> Column:
+    """``round(x, digits)`` of the SQL twins: the double times a power of ten goes to the next whole number, halves away from zero, and what overflows stays.
+
+    ``F.round`` goes by the decimal digits instead, so that halves which are not halves as doubles end elsewhere.
+    """
+    power = F.lit(10.0**digits)
+    scaled = x * power
+    whole = F.round(scaled)
+    return F.when(whole == 0, scaled * F.lit(0.0)).when(F.abs(scaled) < float("inf"), whole / power).otherwise(x)
+
+
+def sum_in_order(c: str, order: list[str]) -> Column:
+    """The sum of a group's values added one by one in the order of columns: its last digit is the same wherever the rows lie.
+
+    A group is held as an array, so this is for groups that don't grow with the tables.
+    """
+    rows = F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(*order, c))))
+    return F.when(F.size(rows) > 0, F.aggregate(rows, F.lit(0.0), lambda total, r: total + r[c]))
+
+
 def _bars(rows: DataFrame, order: list[str], volume, amount) -> DataFrame:
     at = F.struct(*order, "price")
     return rows.groupBy("code", "date").agg(
@@ -38,7 +58,7 @@ def bars(spark: SparkSession, sf_dir: str, which: str = "f3") -> DataFrame:
         return _bars(rows, ["l_shipdate", "l_orderkey", "l_linenumber"], F.sum("q"), F.sum("a"))
     if which == "f2":
         rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("code"), F.to_date("ts").alias("date"), F.col("value").cast("double").alias("price"), "ts", "event_id")
-        return _bars(rows, ["ts", "event_id"], F.count("*"), F.sum("price"))
+        return _bars(rows, ["ts", "event_id"], F.count("*"), sum_in_order("price", ["ts", "event_id"]))
     customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("code"))
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", F.trunc("o_orderdate", "week").alias("date"), F.col("o_totalprice").cast("double").alias("price"))
     return _bars(orders.join(customers, F.col("o_custkey") == F.col("c_custkey")), ["o_orderdate", "o_orderkey"], F.count("*"), F.sum("price"))

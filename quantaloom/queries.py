@@ -40,7 +40,7 @@ def add(name: str, run: Run, sql: str | None = None) -> None:
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, so that the order of a sum does not show; -0.0 is 0.0."""
-    return df.select(*[(F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+    return df.select(*[(fixtures.to_digits(F.col(c), digits) + F.lit(0.0)).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
 def _q(columns: str, body: str, ctes: str, digits: int = 6, doubles: tuple[str, ...] = ()) -> str:
@@ -55,7 +55,7 @@ def _panel_query(which: str) -> None:
     add(
         f"panel_{which}",
         lambda spark, d: fixtures.panel(spark, d, which).df.select(
-            "code", "date", "t", "open", "high", "low", "close", "volume", F.round("amount", 2).alias("amount"), *[F.round(c, 6).alias(n) for c, n in ((fixtures.ratio(F.col("vwap"), F.col("close")), "vwap"), (F.col("returns"), "returns"), (F.col("fwd"), "fwd"))],
+            "code", "date", "t", "open", "high", "low", "close", "volume", fixtures.to_digits(F.col("amount"), 2).alias("amount"), *[fixtures.to_digits(c, 6).alias(n) for c, n in ((fixtures.ratio(F.col("vwap"), F.col("close")), "vwap"), (F.col("returns"), "returns"), (F.col("fwd"), "fwd"))],
         ),
         f"WITH {fixtures.panel_ctes(which)} SELECT code, date, t, open, high, low, close, volume, round(amount, 2) AS amount, round(vwap / close, 6) AS vwap, round(returns, 6) AS returns, round(fwd, 6) AS fwd FROM p",
     )
