@@ -15,6 +15,7 @@ from quantaloom.functions.ic import FLAT, MIN_ASSETS, hlz_threshold, ic_summary,
 from quantaloom.plans import blocks
 from quantaloom.plans.compiler import evaluate
 from quantaloom.plans.expression import validate
+from quantaloom.scratch import free, materialize_blocks
 from quantaloom.sources.panel import FEATURES, Panel
 from quantaloom.sources.stores import load_json, save_json
 
@@ -56,18 +57,22 @@ def screen(
     """Candidates that pass: enough values and IC days, |mean IC|, its sign and t, out-of-sample decay; the highest mean IC first.
 
     If more than ``max_keep`` pass (or ``always_dedup``), those whose IC series resemble a better one's are left out.  Formulas that
-    are invalid for the panel are skipped.  The panel is packed once; a batch is one plan over it; what comes back is one IC a day per survivor.
+    are invalid for the panel are skipped.  The panel is packed once, into a table of the shared folder; a batch is dealt out in rounds whose shuffle files
+    go when its figures are there, one row a day and candidate.  Candidates that roll over ranks are one plan a batch over the panel itself.
     """
     known = {c for c in panel.df.columns if c not in ("code", "date", "t", "fwd")}
     good = [f for f in formulas if validate(f, known)[0]]
     need = hlz_threshold(len(formulas)) if use_hlz else 0.0
     passed: list[Screened] = []
     trees = blocks.trees_of({f: f for f in good}, known, panel.n_dates)
-    packed = blocks.pack(panel.df, {*blocks.needed(trees), "fwd"}).persist() if good else panel.df
-    for part in batches(sorted(good, key=lambda f: not blocks.fits(trees[f])), batch):
-        if all(blocks.fits(trees[f]) for f in part):
+    ready = {f: blocks.fits(trees[f]) for f in good}
+    columns = {*blocks.needed({f: trees[f] for f in good if ready[f]}), "fwd"}
+    packed = materialize_blocks(blocks.pack(panel.df, columns), "blocks") if any(ready.values()) else None
+    cells = blocks.cells_of(packed, len(columns)) if packed is not None else 0
+    for part in [p for fit in (True, False) for p in batches([f for f in good if ready[f] is fit], batch)]:
+        if ready[part[0]]:
             wide = None
-            found = blocks.ics(packed, {f"f{i}": trees[f] for i, f in enumerate(part)}, MIN_ASSETS, FLAT).persist()
+            found = blocks.ics_by_rounds(packed, {f"f{i}": trees[f] for i, f in enumerate(part)}, MIN_ASSETS, FLAT, cells)
             ics, absent = found.where("n > 0"), found.groupBy("name").agg((F.sum("missing") / F.sum("cells")).alias("missing"))
         else:
             wide = signals(panel, part).persist()
@@ -86,12 +91,12 @@ def screen(
         series = {n: np.zeros(panel.n_dates) for n in kept}
         for r in ics.where(F.col("name").isin(list(kept)) & F.col("ic").isNotNull()).select("name", "t", "ic").collect() if kept else []:
             series[r["name"]][r["t"]] = r["ic"]
-        found.unpersist()
         if wide is not None:
+            found.unpersist()
             wide.unpersist()
         passed += [Screened(part[int(n[1:])], r["ic_mean"], r["icir"], r["ic_t"], r["oos_ic"], series[n]) for n, r in kept.items()]
-    if good:
-        packed.unpersist()
+    if packed is not None:
+        free(packed)
     passed.sort(key=lambda s: (-s.ic_mean, s.expression))
     return dedup(passed, max_corr, max_keep) if always_dedup or len(passed) > max_keep else passed
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantaloom.operators.registry import EPS
+from quantaloom.scratch import dropping_shuffles
 
 from .compiler import Stages, lower
 from .expression import Call, Field, Node, Number, fields, parse, resolve
@@ -24,6 +25,8 @@ from .expression import Call, Field, Node, Number, fields, parse, resolve
 #: Rows of a block, and signals that are dealt out together.
 BLOCK_ROWS = 32_768
 CHUNK = 8
+#: Bytes of cells that are dealt out before their shuffle files go, unless those of one chunk of signals are more.
+DEALT = 1 << 30
 _BODY = "t int, chunk int, body binary"
 
 
@@ -390,6 +393,25 @@ def ics(blocks: DataFrame, trees: Mapping[str, Node], least: int, flat: float) -
     return _figures(blocks, trees, of, "name string, t int, n long, ic double, cells long, missing long", ["fwd"])
 
 
+def cells_of(blocks: DataFrame, columns: int) -> int:
+    """About how many cells of a panel the blocks hold for each of their columns."""
+    with dropping_shuffles(blocks.sparkSession):
+        held = blocks.agg(F.sum(F.octet_length("body")).alias("bytes")).toArrow()["bytes"][0].as_py() or 0
+    return held // 8 // (columns + 1)
+
+
+def ics_by_rounds(blocks: DataFrame, trees: Mapping[str, Node], least: int, flat: float, cells: int) -> DataFrame:
+    """``ics``, dealt out in rounds of as many signals as fit ``DEALT``, and gathered: a row of figures a signal and date.
+
+    The disk that a round takes is given back before the next, so that it does not grow with the number of signals.
+    """
+    names, spark = list(trees), blocks.sparkSession
+    step = CHUNK * max(1, DEALT // max(1, cells * 8 * (CHUNK + 1)))
+    with dropping_shuffles(spark):
+        found = [ics(blocks, {n: trees[n] for n in names[i : i + step]}, least, flat).toArrow() for i in range(0, len(names), step)]
+    return spark.createDataFrame(pa.concat_tables(found))
+
+
 def totals(blocks: DataFrame, trees: Mapping[str, Node]) -> DataFrame:
     """(name, n, total, most): parts of the number of present cells, their sum and largest size, to be added up by name."""
 

@@ -354,11 +354,8 @@ _PLAIN_ONES = [f for f in candidates(1) if f not in set(_NEAR_TIES)]
 
 
 def screened(spark: SparkSession, d: str, formulas: list[str] | None = None) -> DataFrame:
-    """The screen over candidates, in batches of one plan each over a panel that is computed once."""
-    p = fixtures.panel(spark, d, "f1")
-    p = Panel(p.df.persist(), p.n_dates)
-    found = lib.screen(p, formulas if formulas is not None else _PLAIN_ONES, ic_threshold=0.005, max_keep=10_000)
-    p.df.unpersist()
+    """The screen over candidates, in batches over a panel that is packed once."""
+    found = lib.screen(fixtures.panel(spark, d, "f1"), formulas if formulas is not None else _PLAIN_ONES, ic_threshold=0.005, max_keep=10_000)
     rows = [(s.expression, s.ic_mean, s.icir, s.t_stat) for s in found]
     return rounded(spark.createDataFrame(rows, "expression string, ic_mean double, icir double, t_stat double"), 4)
 
@@ -374,9 +371,7 @@ add(
 
 def chosen(spark: SparkSession, d: str) -> DataFrame:
     """The corpus after greedy de-duplication of IC series that correlate above a half."""
-    p = fixtures.panel(spark, d, "f1")
-    kept = lib.screen(Panel(p.df.persist(), p.n_dates), list(CORPUS), ic_threshold=0.0, max_corr=0.5, always_dedup=True)
-    p.df.unpersist()
+    kept = lib.screen(fixtures.panel(spark, d, "f1"), list(CORPUS), ic_threshold=0.0, max_corr=0.5, always_dedup=True)
     return spark.createDataFrame([(s.expression, i) for i, s in enumerate(kept)], "expression string, place int")
 
 

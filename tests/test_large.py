@@ -125,6 +125,25 @@ def test_screen_makes_no_window_per_candidate(spark, monkeypatch):
     assert {s.expression for s in found} == set(formulas) and used == ["ts_mean(cs_rank(close), 3)"]
 
 
+def test_screen_gives_back_its_disk(spark, monkeypatch):
+    """Shuffle files go round by round and the packed panel at the end: after the screen none are left, and a round takes no more than one chunk of signals."""
+    from quantaloom import library
+    from quantaloom.plans import blocks
+
+    def files():
+        where = [str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+        return {f for d in where for _, _, fs in os.walk(d) for f in fs if f.startswith("shuffle_") and f.endswith(".data")}
+
+    monkeypatch.setattr(blocks, "DEALT", 1)
+    p, formulas, dealt, one = holey(spark), [f"ts_mean(close, {k})" for k in range(2, 26)], [], blocks.ics
+    before = files()
+    monkeypatch.setattr(blocks, "ics", lambda b, trees, *a: dealt.append((len(trees), len(files() - before))) or one(b, trees, *a))
+    found = library.screen(p, formulas, ic_threshold=0.0, least_days=10)
+    assert {s.expression for s in found} == set(formulas)
+    assert dealt == [(8, 0), (8, 0), (8, 0)]
+    assert os.path.isdir(path := spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) and all(os.path.getsize(os.path.join(at, f)) < 10_000 for at, _, fs in os.walk(path) if "/blocks-" in at for f in fs)
+
+
 @pytest.mark.parametrize("name", ["alpha_corpus", "engineered_features", "combiner_features"])
 def test_no_sort_of_a_date_per_signal(spark, name):
     """Plans hold the windows of the panel and of the summary, not one per ranked signal, each of which would sort a date's assets in one task."""
