@@ -16,6 +16,7 @@ from quantaloom.functions import analytics, ic, performance
 from quantaloom.generate import candidates, combiner_features, engineered
 from quantaloom.plans import blocks
 from quantaloom.plans.compiler import evaluate
+from quantaloom.scratch import free, materialize
 from quantaloom.sources import fundamentals, stores
 from quantaloom.sources.panel import Panel, build_panel, common_dates, panel_of_frames, read_bars, universe, with_forward
 
@@ -353,9 +354,22 @@ _NEAR_TIES = [f for f in candidates(1) if f.startswith(("ts_skew", "ts_std(volum
 _PLAIN_ONES = [f for f in candidates(1) if f not in set(_NEAR_TIES)]
 
 
+def _screen(spark: SparkSession, d: str, formulas: list[str], **how) -> list[lib.Screened]:
+    """The screen over fixture f1, whose bars are a table while it lasts, so that the line items' shuffle files go before the panel's come."""
+    held: list[DataFrame] = []
+
+    def cut(bars: DataFrame) -> DataFrame:
+        held.append(materialize(bars, "bars"))
+        return held[0]
+
+    found = lib.screen(fixtures.panel(spark, d, "f1", cut), formulas, **how)
+    free(*held)
+    return found
+
+
 def screened(spark: SparkSession, d: str, formulas: list[str] | None = None) -> DataFrame:
     """The screen over candidates, in batches over a panel that is packed once."""
-    found = lib.screen(fixtures.panel(spark, d, "f1"), formulas if formulas is not None else _PLAIN_ONES, ic_threshold=0.005, max_keep=10_000)
+    found = _screen(spark, d, formulas if formulas is not None else _PLAIN_ONES, ic_threshold=0.005, max_keep=10_000)
     rows = [(s.expression, s.ic_mean, s.icir, s.t_stat) for s in found]
     return rounded(spark.createDataFrame(rows, "expression string, ic_mean double, icir double, t_stat double"), 4)
 
@@ -371,7 +385,7 @@ add(
 
 def chosen(spark: SparkSession, d: str) -> DataFrame:
     """The corpus after greedy de-duplication of IC series that correlate above a half."""
-    kept = lib.screen(fixtures.panel(spark, d, "f1"), list(CORPUS), ic_threshold=0.0, max_corr=0.5, always_dedup=True)
+    kept = _screen(spark, d, list(CORPUS), ic_threshold=0.0, max_corr=0.5, always_dedup=True)
     return spark.createDataFrame([(s.expression, i) for i, s in enumerate(kept)], "expression string, place int")
 
 

@@ -144,6 +144,18 @@ def test_screen_gives_back_its_disk(spark, monkeypatch):
     assert os.path.isdir(path := spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) and all(os.path.getsize(os.path.join(at, f)) < 10_000 for at, _, fs in os.walk(path) if "/blocks-" in at for f in fs)
 
 
+def test_screen_reads_line_items_once(spark, monkeypatch):
+    """The panel of the registered screens is made of a table of bars, which is emptied at the end."""
+    from quantaloom import queries
+
+    seen = []
+    monkeypatch.setattr(queries.lib, "screen", lambda p, formulas, **_: seen.append((p.df.inputFiles(), p.df.count())) or [])
+    assert queries.screened(spark, "/root/testdata/sf0.001").count() == 0
+    (files, n) = seen[0]
+    assert n == 830 and all("/bars-" in f for f in files) and not any("lineitem" in f for f in files)
+    assert not spark.read.parquet(os.path.dirname(files[0])).count()
+
+
 @pytest.mark.parametrize("name", ["alpha_corpus", "engineered_features", "combiner_features"])
 def test_no_sort_of_a_date_per_signal(spark, name):
     """Plans hold the windows of the panel and of the summary, not one per ranked signal, each of which would sort a date's assets in one task."""
